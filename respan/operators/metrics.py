@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from respan.functions.hashing import uniform
+from respan.functions.hashing import with_stream_seed, with_stream_uniform
 from respan.functions.quantiles import exact_percentiles
 
 # Fixed values (must equal the reference's constants)
@@ -270,20 +270,23 @@ def bootstrap_replicates(df: DataFrame, groups: Sequence[str], key: str = "row_i
                          yhat: str = "yhat", n_boot: int = 1000, seed: int = 42) -> DataFrame:
     """A22 (part 1): per group and replicate weighted metrics under Poisson(1) weights.
 
-    Weight of (row, replicate) = inverse Poisson(1) CDF of md5-uniform(row:b:seed),
-    capped at 7.  The weights are a function of the row key only, so every target and
+    Weight of (row, replicate) = inverse Poisson(1) CDF of the replicate's uniform in
+    the row's random stream (integer key mixed with the seed), capped at 7.  The weights are a function of the row key only, so every target and
     model scored on the same rows sees the same resample.  Rows are never copied to
     a resampled table: each row contributes weighted sums to B partial aggregates.
     """
     groups = list(groups)
     rep = F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("rep")
-    d = df.select(*groups, key, y, yhat, rep)
-    u = uniform(F.col(key), F.col("rep"), seed=seed)
+    d = with_stream_seed(df.select(*groups, key, y, yhat), key, seed)
+    d = with_stream_uniform(d.select(*groups, key, y, yhat, "_s", rep), "_s", "rep", "_u")
+    u = F.col("_u")
     wexpr = None
     for c in POISSON1_CDF:
         term = F.when(u >= F.lit(c), 1).otherwise(0)
         wexpr = term if wexpr is None else wexpr + term
-    d = d.withColumn("w", wexpr.cast("double")).where(F.col("w") > 0)
+    # no filter on w > 0: zero weights add nothing to the sums, and a filter would be
+    # pushed below the mixing projections and expand them into one huge predicate
+    d = d.withColumn("w", wexpr.cast("double"))
     err = F.col(y) - F.col(yhat)
     agg = d.groupBy(*groups, "rep").agg(
         F.sum("w").alias("sw"), F.sum(F.col("w") * err * err).alias("sse"),

@@ -321,3 +321,187 @@ def q_align(spark, sf):
 def q_correlation(spark, sf):
     al = M.align_predictions(_mp(spark, sf), ["m0", "m1", "m2"])
     return M.prediction_correlation(al, ["actual", "m0", "m1"])
+
+
+# ----------------------------------------------------------------------------- bootstrap, comparison
+
+from respan.functions import hashing as _H  # noqa: E402
+
+_N_BOOT = 1000  # reference default B
+_POISSON_SQL = " + ".join(f"CASE WHEN u >= {c!r} THEN 1 ELSE 0 END" for c in M.POISSON1_CDF)
+_BOOT_SQL = f"""
+bw AS (SELECT split, model, y, yhat, ({_POISSON_SQL}) AS w, rep FROM (
+         SELECT split, model, y, yhat, rep, {_H.sql_stream_uniform('s32', 'rep')} AS u
+         FROM (SELECT *, {_H.sql_stream_seed('row_id')} AS s32 FROM model_predictions WHERE split IN ('val', 'test')),
+              range(0, {_N_BOOT}) t(rep))),
+reps AS (SELECT split, model, rep, sum(w * (y - yhat) ^ 2) / sum(w) AS mse, sum(w * abs(y - yhat)) / sum(w) AS mae,
+                sqrt(sum(w * (y - yhat) ^ 2) / sum(w)) AS rmse,
+                CASE WHEN sum(w * y * y) - sum(w * y) * sum(w * y) / sum(w) = 0
+                     THEN CASE WHEN sum(w * (y - yhat) ^ 2) = 0 THEN 1.0 ELSE 0.0 END
+                     ELSE 1 - sum(w * (y - yhat) ^ 2) / (sum(w * y * y) - sum(w * y) * sum(w * y) / sum(w)) END AS r2
+         FROM bw WHERE w > 0 GROUP BY split, model, rep),
+ci AS (SELECT split, model, metric, quantile_cont(value, 0.025) AS ci_lower, quantile_cont(value, 0.975) AS ci_upper
+       FROM (UNPIVOT reps ON mse, mae, r2, rmse INTO NAME metric VALUE value) GROUP BY split, model, metric)
+"""
+
+
+def _boot(spark, sf):
+    p = _mp(spark, sf).where(F.col("split").isin("val", "test"))
+    return M.bootstrap_ci(p, ["split", "model"], n_boot=_N_BOOT)
+
+
+@register("bootstrap_ci", _fx(
+    f"SELECT split, model, metric, {r6('ci_lower', 'ci_lower')}, {r6('ci_upper', 'ci_upper')}, "
+    f"{r6('ci_upper - ci_lower', 'ci_width')} FROM ci", _MP, extra=_BOOT_SQL))
+def q_bootstrap_ci(spark, sf):
+    return _boot(spark, sf)
+
+
+@register("ci_width", _fx(
+    f"SELECT split || '_' || metric || '_avg' AS metric_name, model, {r6('ci_lower', 'ci_lower')}, "
+    f"{r6('ci_upper', 'ci_upper')}, {r6('ci_upper - ci_lower', 'ci_width')} FROM ci", _MP, extra=_BOOT_SQL))
+def q_ci_width(spark, sf):
+    """CI triple logged as ``{split}_{metric}_avg_ci_lower/_upper/_width``."""
+    b = _boot(spark, sf)
+    return b.select(F.concat_ws("_", "split", "metric", F.lit("avg")).alias("metric_name"), "model",
+                    "ci_lower", "ci_upper", "ci_width")
+
+
+_PM_SQL = _BOOT_SQL + """,
+pm AS (SELECT split, model, metric, value FROM (UNPIVOT (
+         SELECT split, model, avg((y - yhat) ^ 2) AS mse, avg(abs(y - yhat)) AS mae, sqrt(avg((y - yhat) ^ 2)) AS rmse,
+                """ + _R2_SQL + """ AS r2
+         FROM model_predictions WHERE split IN ('val', 'test') GROUP BY split, model)
+       ON mse, mae, r2, rmse INTO NAME metric VALUE value)),
+pmc AS (SELECT pm.split, pm.model, pm.split || '_' || pm.metric || '_avg' AS metric, pm.value, ci.ci_lower, ci.ci_upper
+        FROM pm JOIN ci USING (split, model, metric))
+"""
+
+
+@register("compare_models", _fx(
+    f"""SELECT a.metric, a.model AS model_a, b.model AS model_b, {r6('a.value', 'value_a')}, {r6('b.value', 'value_b')},
+        {r6('a.value - b.value', 'difference')},
+        {r6('CASE WHEN greatest(abs(a.value), abs(b.value)) = 0 THEN 0.0 ELSE abs(a.value - b.value) / greatest(abs(a.value), abs(b.value)) END', 'effect_size')},
+        NOT (a.ci_upper < b.ci_lower OR b.ci_upper < a.ci_lower) AS ci_overlap,
+        {r6('CASE WHEN NOT (a.ci_upper < b.ci_lower OR b.ci_upper < a.ci_lower) THEN 0.05 ELSE 0.01 END', 'p_value')},
+        (a.ci_upper < b.ci_lower OR b.ci_upper < a.ci_lower) AS significant
+    FROM pmc a JOIN pmc b ON a.metric = b.metric AND a.model < b.model""", _MP, extra=_PM_SQL))
+def q_compare_models(spark, sf):
+    p = _mp(spark, sf).where(F.col("split").isin("val", "test"))
+    pm = M.regression_metrics(p, ["split", "model"], relative=False)
+    pm = pm.selectExpr("split", "model", "stack(4, 'mse', mse, 'mae', mae, 'r2', r2, 'rmse', rmse) AS (metric, value)")
+    ci = M.bootstrap_ci(p, ["split", "model"], n_boot=_N_BOOT)
+    t = pm.join(ci, ["split", "model", "metric"]).withColumn("metric", F.concat_ws("_", "split", "metric", F.lit("avg")))
+    return M.compare_models(t.drop("split", "ci_width"))
+
+
+@register("interpret_metrics", _fx(
+    f"""SELECT model, {r6('mse', 'mse')}, {r6('mae', 'mae')}, {r6('bias', 'bias')}, {r6('imp', 'improvement_pct')},
+        {r6('ratio', 'mae_ratio_pct')},
+        CASE WHEN imp > 80 THEN 'excellent' WHEN imp > 50 THEN 'good' WHEN imp > 20 THEN 'moderate'
+             WHEN imp > 0 THEN 'slight' ELSE 'poor' END AS mse_interpretation,
+        CASE WHEN ratio < 5 THEN 'excellent' WHEN ratio < 10 THEN 'good' WHEN ratio < 20 THEN 'acceptable'
+             WHEN ratio < 50 THEN 'moderate' ELSE 'poor' END AS mae_interpretation,
+        CASE WHEN imp > 50 AND ratio < 10 THEN 'excellent' WHEN imp > 30 AND ratio < 20 THEN 'good'
+             WHEN imp > 10 AND ratio < 50 THEN 'acceptable' WHEN imp > 0 THEN 'marginal' ELSE 'suboptimal' END
+             AS performance_level,
+        CASE WHEN mae < 0.1 THEN 'precise' WHEN mae < 0.5 THEN 'production' WHEN mae < 1.0 THEN 'trend'
+             ELSE 'rough' END AS practical_significance,
+        CASE WHEN bias > 0.05 THEN 'overestimates' WHEN bias < -0.05 THEN 'underestimates' ELSE 'minimal' END
+             AS bias_direction
+    FROM (SELECT *, CASE WHEN mean_baseline_mse > 0 THEN (mean_baseline_mse - mse) / mean_baseline_mse * 100.0 ELSE 0.0 END AS imp,
+                 CASE WHEN target_mean > 0 THEN mae / target_mean * 100.0 ELSE 0.0 END AS ratio FROM (
+      SELECT model, avg((y - yhat) ^ 2) AS mse, avg(abs(y - yhat)) AS mae, avg(y - yhat) AS bias,
+             (SELECT mse FROM bl WHERE baseline = 'mean') AS mean_baseline_mse,
+             (SELECT avg(y) FROM predictions WHERE split = 'train') AS target_mean
+      FROM model_predictions WHERE split = 'val' GROUP BY model))""",
+    _MP, "predictions", extra=_BASELINE_SQL))
+def q_interpret(spark, sf):
+    p = _mp(spark, sf).where(F.col("split") == "val")
+    base = scalar_row_baseline = _baselines(spark, sf).where(F.col("baseline") == "mean").first()["mse"]
+    tmean = M.scalar_row(C.predictions(spark, sf).where(F.col("split") == "train").agg(F.avg("y").alias("m")))["m"]
+    rows = p.groupBy("model").agg(F.avg((F.col("y") - F.col("yhat")) ** 2).alias("mse"),
+                                  F.avg(F.abs(F.col("y") - F.col("yhat"))).alias("mae"),
+                                  F.avg(F.col("y") - F.col("yhat")).alias("bias"))
+    rows = rows.withColumn("mean_baseline_mse", F.lit(base)).withColumn("target_mean", F.lit(tmean))
+    del scalar_row_baseline
+    return M.interpret_metrics(rows).drop("mean_baseline_mse", "target_mean")
+
+
+@register("mse_vs_baselines", _fx(
+    f"""SELECT model AS name, 'model' AS kind, {r6('avg((y - yhat) ^ 2)', 'mse')} FROM model_predictions
+        WHERE split = 'val' GROUP BY model
+        UNION ALL SELECT baseline || '_baseline', 'baseline', {r6('mse')} FROM bl""",
+    _MP, "predictions", extra=_BASELINE_SQL))
+def q_mse_vs_baselines(spark, sf):
+    mm = M.regression_metrics(_mp(spark, sf).where(F.col("split") == "val"), ["model"], relative=False)
+    return M.mse_vs_baselines(mm, _baselines(spark, sf))
+
+
+# ----------------------------------------------------------------------------- folds and cross-validation
+
+from respan.operators import crossval as CV  # noqa: E402
+from respan.functions.hashing import sql_hash_hex  # noqa: E402
+
+_K = 5
+_FOLD_SQL = f"""
+fx AS (SELECT row_id, target AS y, x[1] AS x1 FROM features),
+ed AS (SELECT list_distinct(list_filter(quantile_cont(y, [0.2, 0.4, 0.6, 0.8]), lambda e: e > min(y) AND e < max(y))) AS edges FROM fx),
+fb AS (SELECT fx.*, CAST(len(list_filter(edges, lambda e: e < y)) AS INTEGER) AS bin FROM fx, ed),
+folded AS (SELECT *, CAST((row_number() OVER (PARTITION BY bin ORDER BY {sql_hash_hex('row_id')}, row_id) - 1) % {_K} AS INTEGER) AS fold FROM fb)
+"""
+
+
+def _folded(spark, sf):
+    f = C.features(spark, sf).select("row_id", F.col("target").alias("y"), F.element_at("x", 1).alias("x1"))
+    return CV.stratified_folds(f, "row_id", "y", _K)
+
+
+@register("stratified_folds", _fx("SELECT row_id, bin, fold FROM folded", "features", extra=_FOLD_SQL))
+def q_folds(spark, sf):
+    return _folded(spark, sf).select("row_id", "bin", "fold")
+
+
+def _cv_sql(model: str, alpha: float = 1.0) -> str:
+    if model == "mean":
+        params = "SELECT fold, 0.0 AS w, (t_sy - sy) / (t_n - n) AS b FROM s, t"
+    else:
+        sxx = "((t_sxx - sxx) - (t_sx - sx) * (t_sx - sx) / (t_n - n))"
+        sxy = "((t_sxy - sxy) - (t_sx - sx) * (t_sy - sy) / (t_n - n))"
+        params = (f"SELECT fold, {sxy} / ({sxx} + {alpha}) AS w, "
+                  f"((t_sy - sy) - {sxy} / ({sxx} + {alpha}) * (t_sx - sx)) / (t_n - n) AS b FROM s, t")
+    return _FOLD_SQL + f""",
+s AS (SELECT fold, count(*) AS n, sum(y) AS sy, sum(x1) AS sx, sum(x1 * x1) AS sxx, sum(x1 * y) AS sxy FROM folded GROUP BY fold),
+t AS (SELECT sum(n) AS t_n, sum(sy) AS t_sy, sum(sx) AS t_sx, sum(sxx) AS t_sxx, sum(sxy) AS t_sxy FROM s),
+p AS ({params}),
+ex AS (SELECT p.fold, CASE WHEN f.fold = p.fold THEN 'test' ELSE 'train' END AS role,
+              f.y - ({'p.w * f.x1 + ' if model != 'mean' else ''}p.b) AS err, f.y FROM folded f, p),
+sc AS (SELECT fold, role, avg(err * err) AS mse, avg(abs(err)) AS mae,
+              CASE WHEN var_pop(y) = 0 THEN CASE WHEN sum(err * err) = 0 THEN 1.0 ELSE 0.0 END
+                   ELSE 1 - sum(err * err) / (var_pop(y) * count(*)) END AS r2 FROM ex GROUP BY fold, role),
+lg AS (SELECT fold, role, metric, score FROM (UNPIVOT sc ON mse, mae, r2 INTO NAME metric VALUE score)),
+fs AS (SELECT fold, metric, max(CASE WHEN role = 'train' THEN score END) AS train_score,
+              max(CASE WHEN role = 'test' THEN score END) AS test_score FROM lg GROUP BY fold, metric)
+"""
+
+
+def _cv(spark, sf, model):
+    f = _folded(spark, sf)
+    return CV.cross_validate(f, _K, "y", None if model == "mean" else "x1", model, alpha=1.0)
+
+
+@register("cross_validate", _fx(
+    f"SELECT 'mean' AS model, fold, metric, {r6('train_score', 'train_score')}, {r6('test_score', 'test_score')} FROM fs",
+    "features", extra=_cv_sql("mean")).replace("SELECT 'mean' AS model", "SELECT 'mean' AS model", 1))
+def q_cross_validate(spark, sf):
+    return _cv(spark, sf, "mean").select(F.lit("mean").alias("model"), "*")
+
+
+@register("cv_summary", _fx(
+    f"""SELECT metric, {r6('avg(test_score)', 'test_mean')}, {r6('stddev_pop(test_score)', 'test_std')},
+        {r6('avg(train_score)', 'train_mean')}, {r6('stddev_pop(train_score)', 'train_std')},
+        {r6('quantile_cont(test_score, 0.025)', 'test_ci_lower')}, {r6('quantile_cont(test_score, 0.975)', 'test_ci_upper')},
+        {r6('avg(train_score) - avg(test_score)', 'generalization_gap')} FROM fs GROUP BY metric""",
+    "features", extra=_cv_sql("ridge_1d")))
+def q_cv_summary(spark, sf):
+    return M.cv_summary(_cv(spark, sf, "ridge_1d"))
