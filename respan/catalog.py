@@ -108,6 +108,7 @@ _C = ["0.01", "0.1", "1", "10", "100"]
 _KERNEL = ["linear", "rbf", "poly", "sigmoid"]
 _LR = ["0.001", "0.01", "0.1"]
 _BATCH = ["16", "32", "64"]
+_EPOCHS = ["50", "100"]
 
 
 def _pick(values, idx: F.Column) -> F.Column:
@@ -143,7 +144,13 @@ def _runs_wide_spark(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(model == "svm", _pick(_KERNEL, kdiv20)).alias("kernel"),
         F.when((model == "torch") & ~missing, _pick(_LR, kdiv5)).alias("learning_rate"),
         F.when(model == "torch", _pick(_BATCH, kdiv20)).alias("batch_size"),
+        F.when(model == "torch", _pick(_EPOCHS, kdiv20)).alias("epochs"),
+        F.when(k % 13 != 0, emb).alias("embedding"),
+        model.alias("model"),
+        F.lit("summary").alias("prediction_mode"),
     )
+    k = F.col("k")
+    kdiv5 = F.expr("k div 5")
     swept = (F.when(F.col("model_type") == "rf", F.concat(F.lit("n_estimators="), _pick(_N_EST, kdiv5)))
              .when(F.col("model_type").isin("ridge", "lasso"), F.concat(F.lit("alpha="), _pick(_ALPHA, kdiv5)))
              .when(F.col("model_type") == "svm", F.concat(F.lit("C="), _pick(_C, kdiv5)))
@@ -166,8 +173,8 @@ def _runs_wide_spark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w
 
 
-RUN_PARAM_KEYS = ["model_type", "embedding_type", "normalize_targets", "n_estimators", "max_depth",
-                  "alpha", "C", "kernel", "learning_rate", "batch_size"]
+RUN_PARAM_KEYS = ["model_type", "model", "embedding", "prediction_mode", "normalize_targets", "n_estimators",
+                  "max_depth", "alpha", "C", "kernel", "learning_rate", "batch_size", "epochs"]
 RUN_METRIC_KEYS = ["val_mse_avg", "val_mae_avg", "val_r2_avg", "test_mse_avg", "test_mae_avg",
                    "test_r2_avg"]
 
@@ -297,7 +304,8 @@ SELECT 'r' || CAST({_K} AS VARCHAR) AS run_id,
        {_sql_pick(_LR, f'{_K} // 5')} AS sweep_learning_rate,
        {_sql_pick(_DEPTH, f'{_K} // 20')} AS v_max_depth,
        {_sql_pick(_KERNEL, f'{_K} // 20')} AS v_kernel,
-       {_sql_pick(_BATCH, f'{_K} // 20')} AS v_batch_size
+       {_sql_pick(_BATCH, f'{_K} // 20')} AS v_batch_size,
+       {_sql_pick(_EPOCHS, f'{_K} // 20')} AS v_epochs
 FROM orders) o
 """
 FIXTURE_SQL["runs_wide"] = f"""
@@ -311,6 +319,8 @@ SELECT run_id, experiment_id, status, start_time_ms,
        CASE WHEN model_type = 'svm' THEN v_kernel END AS kernel,
        CASE WHEN model_type = 'torch' AND NOT _missing THEN sweep_learning_rate END AS learning_rate,
        CASE WHEN model_type = 'torch' THEN v_batch_size END AS batch_size,
+       CASE WHEN model_type = 'torch' THEN v_epochs END AS epochs,
+       CASE WHEN o_orderkey % 13 <> 0 THEN embedding_type END AS embedding,
        CASE WHEN model_type = 'rf' THEN 'n_estimators=' || sweep_n_estimators
             WHEN model_type IN ('ridge', 'lasso') THEN 'alpha=' || sweep_alpha
             WHEN model_type = 'svm' THEN 'C=' || sweep_C
