@@ -18,6 +18,8 @@ from respan.plans.registry import r6, register
 
 
 def _fx(body: str, *names: str, extra: str = "") -> str:
+    if not names:
+        return ("WITH " + extra.strip() + "\n" + body) if extra else body
     sql = with_fixtures("", *names)
     if extra:
         sql = sql.rstrip() + ",\n" + extra.strip() + "\n"
