@@ -62,7 +62,9 @@ def regression_metrics(df: DataFrame, groups: Sequence[str] = (), y: str = "y",
     out = out.withColumn("rmse", F.sqrt("mse")).withColumn("r2", _r2(F.col("_sse"), F.col("_sst")))
     if relative:
         nonzero = F.col("_mean_y") != 0
-        out = (out.withColumn("mape", F.when(nonzero, F.least(F.col("_ape") * 100.0, F.lit(MAPE_CAP))))
+        # least() skips nulls, so an empty mask must be tested explicitly (MAPE absent)
+        has_mask = F.col("_ape").isNotNull()
+        out = (out.withColumn("mape", F.when(nonzero & has_mask, F.least(F.col("_ape") * 100.0, F.lit(MAPE_CAP))))
                .withColumn("rrmse", F.when(nonzero, F.col("rmse") / F.col("_mean_y") * 100.0)))
         out = out.drop("_mean_y", "_ape")
     return out.drop("_sse", "_sst")

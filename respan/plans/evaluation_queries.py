@@ -129,7 +129,7 @@ _R2_SQL = ("CASE WHEN var_pop(y) = 0 THEN CASE WHEN sum((y - yhat) ^ 2) = 0 THEN
            "ELSE 1 - sum((y - yhat) ^ 2) / (var_pop(y) * count(*)) END")
 _METRIC_COLS_SQL = (f"count(*) AS n, {r6('avg((y - yhat) ^ 2)', 'mse')}, {r6('avg(abs(y - yhat))', 'mae')}, "
                     f"{r6('sqrt(avg((y - yhat) ^ 2))', 'rmse')}, {r6(_R2_SQL, 'r2')}")
-_REL_SQL = (f"{r6('CASE WHEN avg(y) <> 0 THEN least(avg(CASE WHEN abs(y) > 1e-6 THEN abs((y - yhat) / y) END) * 100.0, 1000.0) END', 'mape')}, "
+_REL_SQL = (f"{r6('CASE WHEN avg(y) <> 0 AND avg(CASE WHEN abs(y) > 1e-6 THEN abs((y - yhat) / y) END) IS NOT NULL THEN least(avg(CASE WHEN abs(y) > 1e-6 THEN abs((y - yhat) / y) END) * 100.0, 1000.0) END', 'mape')}, "
             f"{r6('CASE WHEN avg(y) <> 0 THEN sqrt(avg((y - yhat) ^ 2)) / avg(y) * 100.0 END', 'rrmse')}")
 
 
@@ -152,7 +152,7 @@ long AS (
 m AS (SELECT split, target, avg((y - yhat) ^ 2) AS mse, avg(abs(y - yhat)) AS mae,
         sqrt(avg((y - yhat) ^ 2)) AS rmse,
         """ + _R2_SQL + """ AS r2,
-        CASE WHEN avg(y) <> 0 THEN least(avg(CASE WHEN abs(y) > 1e-6 THEN abs((y - yhat) / y) END) * 100.0, 1000.0) END AS mape,
+        CASE WHEN avg(y) <> 0 AND avg(CASE WHEN abs(y) > 1e-6 THEN abs((y - yhat) / y) END) IS NOT NULL THEN least(avg(CASE WHEN abs(y) > 1e-6 THEN abs((y - yhat) / y) END) * 100.0, 1000.0) END AS mape,
         CASE WHEN avg(y) <> 0 THEN sqrt(avg((y - yhat) ^ 2)) / avg(y) * 100.0 END AS rrmse
       FROM long GROUP BY split, target)
 """
