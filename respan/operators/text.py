@@ -46,11 +46,12 @@ def with_ngrams(tokens: Column) -> Column:
     return F.concat(tokens, bigrams)
 
 
-def term_counts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, term, tf) rows for uni+bigrams (tokenised once per document)."""
-    t = docs.select(key, tokenize(F.col(text)).alias("_t"))
-    t = t.select(key, F.explode(with_ngrams(F.col("_t"))).alias("term"))
-    return t.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+def term_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """(doc, [keep...], term, tf) rows for uni+bigrams (tokenised once per document)."""
+    keep = list(keep)
+    t = docs.select(key, *keep, tokenize(F.col(text)).alias("_t"))
+    t = t.select(key, *keep, F.explode(with_ngrams(F.col("_t"))).alias("term"))
+    return t.groupBy(key, *keep, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def document_frequency(tf: DataFrame, min_df: int = MIN_DF) -> DataFrame:
@@ -74,6 +75,33 @@ def fit_tfidf(train_docs: DataFrame, key: str = "doc_id", text: str = "text",
     return voc.select("term", "df", (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
 
 
+def model_from_counts(tf_train: DataFrame, n_docs: int, max_features: int = MAX_FEATURES,
+                      min_df: int = MIN_DF) -> DataFrame:
+    """T3-T6 from precomputed training term counts."""
+    voc = vocabulary(document_frequency(tf_train, min_df), max_features)
+    return voc.select("term", "df", (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+
+
+def fit_transform_tfidf(docs: DataFrame, is_train, key: str = "doc_id", text: str = "text",
+                        keep: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Fit on the training rows and weight *all* rows from one tokenisation pass: the
+    term-count table feeds both the vocabulary and the weights, so its shuffle is
+    planned once and reused (ReusedExchange) instead of re-tokenising the texts."""
+    n_docs = docs.where(is_train).count()
+    tf = term_counts(docs.withColumn("_train", is_train), key, text, list(keep) + ["_train"])
+    model = model_from_counts(tf.where(F.col("_train")), n_docs)
+    return model, weights_from_counts(tf.drop("_train"), model, key)
+
+
+def weights_from_counts(tf: DataFrame, model: DataFrame, key: str = "doc_id") -> DataFrame:
+    """T5, T7, T8 on precomputed counts (extra columns of ``tf`` are kept)."""
+    extra = [c for c in tf.columns if c not in (key, "term", "tf")]
+    w = tf.join(F.broadcast(model.select("term", "idf")), "term", "inner") \
+        .withColumn("w", (F.lit(1.0) + F.log(F.col("tf").cast("double"))) * F.col("idf"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    return w.select(key, *extra, "term", (F.col("w") / norm).alias("weight"))
+
+
 def transform_tfidf(docs: DataFrame, model: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Sublinear tf x idf over the frozen vocabulary (unseen terms dropped),
     L2-normalised per document.  The model table is bounded by max_features rows."""

@@ -92,17 +92,21 @@ def q_tf_sublinear(spark, sf):
     return tf.select("doc_id", "term", "tf", (F.lit(1.0) + F.log(F.col("tf").cast("double"))).alias("tf_sub"))
 
 
+def _weights(spark, sf):
+    d = _split_docs(spark, sf)
+    _, w = T.fit_transform_tfidf(d, F.col("split") == "train", keep=["split"])
+    return w
+
+
 @register("tfidf", _fx(f"SELECT doc_id, term, {r6('weight', 'weight')} FROM tfidf WHERE split = 'train'", extra=_TFIDF_SQL))
 def q_tfidf(spark, sf):
-    d = _split_docs(spark, sf)
-    return T.transform_tfidf(d.where(F.col("split") == "train"), _model(spark, sf))
+    return _weights(spark, sf).where(F.col("split") == "train").drop("split")
 
 
 @register("tfidf_transform", _fx(
     f"SELECT doc_id, term, {r6('weight', 'weight')} FROM tfidf WHERE split <> 'train'", extra=_TFIDF_SQL))
 def q_tfidf_transform(spark, sf):
-    d = _split_docs(spark, sf)
-    return T.transform_tfidf(d.where(F.col("split") != "train"), _model(spark, sf))
+    return _weights(spark, sf).where(F.col("split") != "train").drop("split")
 
 
 def _chunk_sql(mode: str) -> str:

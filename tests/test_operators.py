@@ -146,3 +146,14 @@ def test_scan_documents_and_collect_pairs(spark, tmp_path):
     (b / "Usage_Scenario_x.csv").write_text("h", encoding="utf-8")  # header only -> dropped
     pairs = collect_pairs(spark, str(root)).toPandas()
     assert list(pairs["model"]) == ["generated__A"]
+
+
+def test_bootstrap_vectorised_equals_sql(spark):
+    pdf = pd.DataFrame({"row_id": np.arange(500), "g": np.where(np.arange(500) % 2 == 0, "a", "b"),
+                        "y": np.linspace(0, 10, 500)})
+    pdf["yhat"] = pdf["y"] + np.cos(pdf["row_id"])
+    df = spark.createDataFrame(pdf)
+    a = M.bootstrap_ci(df, ["g"], n_boot=64, vectorised=True).orderBy("g", "metric").toPandas()
+    b = M.bootstrap_ci(df, ["g"], n_boot=64, vectorised=False).orderBy("g", "metric").toPandas()
+    assert np.allclose(a["ci_lower"], b["ci_lower"], atol=1e-10)
+    assert np.allclose(a["ci_upper"], b["ci_upper"], atol=1e-10)
