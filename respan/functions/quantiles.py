@@ -50,7 +50,15 @@ def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float], groups:
         F.percentile_approx("_v", edge_probs, 4 * buckets).alias("_edges"),
         F.count(F.lit(1)).alias("_n"))
 
-    bucketed = data.join(edges, groups, "inner")
+    if user_groups:
+        bucketed = data.join(edges, groups, "inner")  # one edge row per group
+    else:
+        # a single global group: its edge row (B-1 numbers and n) becomes literals
+        row = edges.first()
+        if row is None:
+            return edges.select(*[F.lit(None).cast("double").alias(n) for n in names]).limit(0)
+        bucketed = data.select("*", F.array(*[F.lit(float(e)) for e in row["_edges"]]).alias("_edges"),
+                               F.lit(int(row["_n"])).cast("bigint").alias("_n"))
     # bucket 2k: strictly between edges k and k+1; bucket 2k+1: equal to edge k+1
     # (so a heavily repeated value forms its own point-mass bucket)
     below = F.size(F.filter("_edges", lambda e: e < F.col("_v")))

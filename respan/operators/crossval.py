@@ -70,8 +70,11 @@ def _fold_params(folded: DataFrame, k: int, model: str, x: str | None, y: str, a
         F.count(F.lit(1)).alias("n"), F.sum(y).alias("sy"),
         *([F.sum(x).alias("sx"), F.sum(F.col(x) * F.col(x)).alias("sxx"), F.sum(F.col(x) * F.col(y)).alias("sxy")]
           if x else []))
-    tot = sums.agg(*[F.sum(c).alias(f"t_{c}") for c in sums.columns if c != "fold"])
-    p = sums.withColumn("_one", F.lit(1)).join(tot.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    # totals over the k fold rows by a window (k rows in one partition, bounded by k)
+    everything = Window.partitionBy()
+    p = sums
+    for c in [c for c in sums.columns if c != "fold"]:
+        p = p.withColumn(f"t_{c}", F.sum(c).over(everything))
     for c in [c for c in sums.columns if c != "fold"]:
         p = p.withColumn(f"tr_{c}", F.col(f"t_{c}") - F.col(c))
     if model == "mean":

@@ -102,8 +102,17 @@ def target_stats(df: DataFrame, groups: Sequence[str] = ("split",), y: str = "y"
 
 
 def _join_one(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Join two single-row frames (global aggregates) on a constant key."""
-    return a.withColumn("_one", F.lit(1)).join(b.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    """Attach the columns of a single-row global aggregate ``b`` to every row of ``a``.
+
+    The row is fetched to the driver (one row, bounded) and added as literals, so no
+    join - and no cross join - is planned."""
+    r = b.first()
+    vals = r.asDict() if r is not None else {c: None for c in b.columns}
+    cols = []
+    for f in b.schema.fields:
+        v = vals.get(f.name)
+        cols.append(F.lit(v).cast(f.dataType).alias(f.name))
+    return a.select("*", *cols)
 
 
 def scalar_row(df: DataFrame) -> dict:

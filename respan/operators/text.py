@@ -98,7 +98,9 @@ def weights_from_counts(tf: DataFrame, model: DataFrame, key: str = "doc_id") ->
     extra = [c for c in tf.columns if c not in (key, "term", "tf")]
     w = tf.join(F.broadcast(model.select("term", "idf")), "term", "inner") \
         .withColumn("w", (F.lit(1.0) + F.log(F.col("tf").cast("double"))) * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    # extra columns (e.g. split) are per-document, so partitioning by them too is the
+    # same window, and lets a later filter on them move below the window
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key, *extra)))
     return w.select(key, *extra, "term", (F.col("w") / norm).alias("weight"))
 
 

@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ["evaluation_queries", "run_queries", "text_queries", "model_queries", "source_queries"]
+_MODULES = ["evaluation_queries", "run_queries", "text_queries", "model_queries", "source_queries", "extra_queries"]
 
 
 def load_all() -> None:
