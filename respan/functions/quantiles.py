@@ -7,17 +7,21 @@ them (the numpy/DuckDB ``quantile_cont`` definition is reproduced exactly):
 
 1. per group: a bounded ``percentile_approx`` sketch gives ``B-1`` bucket edges and
    the row count ``n``;
-2. each row gets its bucket (number of edges strictly below the value); per
-   (group, bucket) we count rows and keep min/max -> at most G*B small rows;
+2. each row gets its bucket (number of edges strictly below the value; a value equal
+   to an edge gets its own point-mass bucket); per (group, bucket) we count rows and
+   keep min/max -> at most G*2B small rows;
 3. for every requested probability the two neighbouring ranks
    ``floor(p(n-1))`` and ``ceil(p(n-1))`` are located in a bucket from the
    running counts;
-4. only rows of those target buckets are ranked with a window partitioned by
-   (group, bucket).  A target bucket whose min equals its max (a tie block,
-   e.g. a value holding a third of the rows) is answered from its min without
-   touching the rows.
+4. a target bucket whose min equals its max (a tie block, e.g. a value holding a
+   third of the rows) answers from its min without touching the rows; other target
+   buckets are ranked with a window partitioned by (group, bucket) - or, when a
+   target bucket still holds more than ``max_bucket_rows`` rows, the same procedure
+   is applied again to the rows of the target buckets only (each level shrinks the
+   bucket ~B times; the size check is one small aggregate).
 
-The edge table is joined on the group keys (one row per group), never collected.
+The edge table is joined on the group keys (one row per group), never collected,
+except for a single global group whose edge row becomes literals.
 For tiny groups (bootstrap replicates, fold scores) call ``F.percentile`` directly.
 """
 
@@ -28,68 +32,83 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+MAX_BUCKET_ROWS = 2_000_000
+MAX_DEPTH = 4
+
+
+def _bucketize(data: DataFrame, groups: list[str], buckets: int, literal_edges: bool,
+              bk: str = "_bk") -> tuple[DataFrame, DataFrame]:
+    """Rows with their bucket, and per-bucket stats with running [start, end) ranks."""
+    edge_probs = [i / buckets for i in range(1, buckets)]
+    edges = data.groupBy(*groups).agg(F.percentile_approx("_v", edge_probs, 4 * buckets).alias("_edges"))
+    if literal_edges:
+        row = edges.first()
+        vals = [float(e) for e in row["_edges"]] if row is not None else []
+        bucketed = data.select("*", F.array(*[F.lit(e) for e in vals]).cast("array<double>").alias("_edges"))
+    else:
+        bucketed = data.join(edges, groups, "inner")  # one edge row per group
+    below = F.size(F.filter("_edges", lambda e: e < F.col("_v")))
+    bucketed = bucketed.withColumn(
+        bk, below * 2 + F.when(F.array_contains("_edges", F.col("_v")), 1).otherwise(0)).drop("_edges")
+    stats = (bucketed.groupBy(*groups, bk)
+             .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
+    w = Window.partitionBy(*groups).orderBy(bk)
+    stats = stats.withColumn("_end", F.sum("_c").over(w)).withColumn("_start", F.col("_end") - F.col("_c"))
+    return bucketed, stats
+
+
+def _select_ranks(data: DataFrame, groups: list[str], ranks: DataFrame, buckets: int, max_rows: int,
+                  depth: int, literal_edges: bool) -> DataFrame:
+    """Values at 0-based ranks ``_r`` within each group: (groups..., _r, _val)."""
+    bk = f"_bk{depth}"  # each refinement level adds its own bucket column
+    bucketed, stats = _bucketize(data, groups, buckets, literal_edges, bk)
+    located = ranks.join(stats, groups, "inner").where((F.col("_r") >= F.col("_start")) & (F.col("_r") < F.col("_end")))
+    point = located.where(F.col("_lo") == F.col("_hi")).select(*groups, "_r", F.col("_lo").alias("_val"))
+    need = located.where(F.col("_lo") != F.col("_hi")).select(*groups, bk, "_start", "_c", "_r")
+    biggest = need.agg(F.max("_c").alias("m")).first()["m"] if depth < MAX_DEPTH else None
+    need_b = need.select(*groups, bk, "_start").distinct()
+    rows = bucketed.select(*groups, bk, "_v").join(need_b, groups + [bk], "inner")
+    if biggest is not None and biggest > max_rows:
+        # refine: the target buckets become groups of their own; ranks become local
+        sub_groups = groups + [bk]
+        local = need.select(*sub_groups, "_start", "_r").distinct()
+        sub_ranks = local.select(*sub_groups, (F.col("_r") - F.col("_start")).alias("_r")).distinct()
+        sub = _select_ranks(rows.drop("_start"), sub_groups, sub_ranks, buckets, max_rows, depth + 1, False)
+        picked = (local.join(sub.withColumnRenamed("_r", "_lr"), sub_groups, "inner")
+                  .where(F.col("_lr") == F.col("_r") - F.col("_start"))
+                  .select(*groups, "_r", "_val"))
+    else:
+        wr = Window.partitionBy(*groups, bk).orderBy("_v")
+        rows = rows.withColumn("_r", F.col("_start") + F.row_number().over(wr) - 1)
+        picked = (rows.join(need.select(*groups, bk, "_r").distinct(), groups + [bk, "_r"], "inner")
+                  .select(*groups, "_r", F.col("_v").alias("_val")))
+    return point.distinct().unionByName(picked)
+
 
 def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float], groups: Sequence[str] = (),
-                      buckets: int = 256, names: Sequence[str] | None = None) -> DataFrame:
+                      buckets: int = 256, names: Sequence[str] | None = None,
+                      max_bucket_rows: int = MAX_BUCKET_ROWS) -> DataFrame:
     """One row per group with one column per probability (default names ``p_<i>``).
 
-    Null values are ignored; groups with no non-null value are absent.
+    Null (and NaN) values are ignored; groups with no value are absent.
     """
     names = list(names) if names is not None else [f"p_{i}" for i in range(len(probs))]
     user_groups = list(groups)
-    # a global percentile is a single group keyed by a constant; every step below is
-    # then an equi-join against a one-row side instead of a cross join
     groups = user_groups or ["_g"]
     data = df.select(*user_groups, F.col(value).cast("double").alias("_v"))
     if not user_groups:
         data = data.withColumn("_g", F.lit(0))
-    data = data.where(F.col("_v").isNotNull())
-    data = data.where(~F.isnan("_v"))
-    edge_probs = [i / buckets for i in range(1, buckets)]
-    edges = data.groupBy(*groups).agg(
-        F.percentile_approx("_v", edge_probs, 4 * buckets).alias("_edges"),
-        F.count(F.lit(1)).alias("_n"))
+    data = data.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
 
-    if user_groups:
-        bucketed = data.join(edges, groups, "inner")  # one edge row per group
-    else:
-        # a single global group: its edge row (B-1 numbers and n) becomes literals
-        row = edges.first()
-        if row is None:
-            return edges.select(*[F.lit(None).cast("double").alias(n) for n in names]).limit(0)
-        bucketed = data.select("*", F.array(*[F.lit(float(e)) for e in row["_edges"]]).alias("_edges"),
-                               F.lit(int(row["_n"])).cast("bigint").alias("_n"))
-    # bucket 2k: strictly between edges k and k+1; bucket 2k+1: equal to edge k+1
-    # (so a heavily repeated value forms its own point-mass bucket)
-    below = F.size(F.filter("_edges", lambda e: e < F.col("_v")))
-    bucketed = bucketed.withColumn(
-        "_bk", below * 2 + F.when(F.array_contains("_edges", F.col("_v")), 1).otherwise(0))
-    stats = (bucketed.groupBy(*groups, "_bk")
-             .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
-                  F.first("_n").alias("_n")))
-    wcum = Window.partitionBy(*groups).orderBy("_bk")
-    stats = stats.withColumn("_end", F.sum("_c").over(wcum)).withColumn("_start", F.col("_end") - F.col("_c"))
-
-    # target ranks per probability (0-based): floor and ceil of p*(n-1)
+    counts = data.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
     targets = F.explode(F.array(*[
         F.struct(F.lit(i).alias("pi"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)]))
-    tg = (edges.select(*groups, "_n", targets.alias("_t"))
+    tg = (counts.select(*groups, "_n", targets.alias("_t"))
           .select(*groups, "_n", F.col("_t.pi").alias("_pi"), F.col("_t.p").alias("_p"))
           .withColumn("_pos", F.col("_p") * (F.col("_n") - 1))
           .withColumn("_r_lo", F.floor("_pos")).withColumn("_r_hi", F.ceil("_pos")))
-    ranks = tg.select(*groups, "_pi", "_pos", F.explode(F.array("_r_lo", "_r_hi")).alias("_r")).distinct()
-    located = ranks.join(stats.drop("_n"), groups, "inner")
-    located = located.where((F.col("_r") >= F.col("_start")) & (F.col("_r") < F.col("_end")))
-
-    point = located.where(F.col("_lo") == F.col("_hi")).select(*groups, "_r", F.col("_lo").alias("_val"))
-    need = located.where(F.col("_lo") != F.col("_hi")).select(*groups, "_bk", "_start", "_r").distinct()
-    need_b = need.select(*groups, "_bk", "_start").distinct()
-    rows = bucketed.select(*groups, "_bk", "_v").join(need_b, groups + ["_bk"], "inner")
-    wr = Window.partitionBy(*groups, "_bk").orderBy("_v")
-    rows = rows.withColumn("_r", F.col("_start") + F.row_number().over(wr) - 1)
-    picked = rows.join(need.select(*groups, "_bk", "_r"), groups + ["_bk", "_r"], "inner") \
-        .select(*groups, "_r", F.col("_v").alias("_val"))
-    values = point.unionByName(picked)
+    ranks = tg.select(*groups, F.explode(F.array("_r_lo", "_r_hi")).alias("_r")).distinct()
+    values = _select_ranks(data, groups, ranks, buckets, max_bucket_rows, 0, literal_edges=not user_groups)
 
     out = tg.join(values.withColumnRenamed("_r", "_r_lo").withColumnRenamed("_val", "_v_lo"),
                   groups + ["_r_lo"], "inner")

@@ -157,3 +157,22 @@ def test_bootstrap_vectorised_equals_sql(spark):
     b = M.bootstrap_ci(df, ["g"], n_boot=64, vectorised=False).orderBy("g", "metric").toPandas()
     assert np.allclose(a["ci_lower"], b["ci_lower"], atol=1e-10)
     assert np.allclose(a["ci_upper"], b["ci_upper"], atol=1e-10)
+
+
+@pytest.mark.parametrize("grouped", [True, False])
+def test_exact_percentiles_refinement(spark, grouped):
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=2000)
+    v[:300] = 1.5  # tie block
+    pdf = pd.DataFrame({"g": np.where(np.arange(2000) % 2 == 0, "a", "b"), "v": v})
+    probs = [0.05, 0.5, 0.9]
+    groups = ["g"] if grouped else []
+    out = exact_percentiles(spark.createDataFrame(pdf), "v", probs, groups, buckets=4,
+                            max_bucket_rows=20).toPandas()
+    cols = [f"p_{i}" for i in range(len(probs))]
+    if grouped:
+        out = out.set_index("g")
+        for grp, sub in pdf.groupby("g"):
+            assert np.allclose(out.loc[grp, cols].to_numpy(float), np.percentile(sub["v"], [5, 50, 90]), atol=1e-12)
+    else:
+        assert np.allclose(out[cols].to_numpy(float)[0], np.percentile(pdf["v"], [5, 50, 90]), atol=1e-12)
