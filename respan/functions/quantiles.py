@@ -58,14 +58,14 @@ def _bucketize(data: DataFrame, groups: list[str], buckets: int, literal_edges:
 
 
 def _select_ranks(data: DataFrame, groups: list[str], ranks: DataFrame, buckets: int, max_rows: int,
-                  depth: int, literal_edges: bool) -> DataFrame:
+                  depth: int, literal_edges: bool, may_refine: bool = True) -> DataFrame:
     """Values at 0-based ranks ``_r`` within each group: (groups..., _r, _val)."""
     bk = f"_bk{depth}"  # each refinement level adds its own bucket column
     bucketed, stats = _bucketize(data, groups, buckets, literal_edges, bk)
     located = ranks.join(stats, groups, "inner").where((F.col("_r") >= F.col("_start")) & (F.col("_r") < F.col("_end")))
     point = located.where(F.col("_lo") == F.col("_hi")).select(*groups, "_r", F.col("_lo").alias("_val"))
     need = located.where(F.col("_lo") != F.col("_hi")).select(*groups, bk, "_start", "_c", "_r")
-    biggest = need.agg(F.max("_c").alias("m")).first()["m"] if depth < MAX_DEPTH else None
+    biggest = need.agg(F.max("_c").alias("m")).first()["m"] if (may_refine and depth < MAX_DEPTH) else None
     need_b = need.select(*groups, bk, "_start").distinct()
     rows = bucketed.select(*groups, bk, "_v").join(need_b, groups + [bk], "inner")
     if biggest is not None and biggest > max_rows:
@@ -108,7 +108,11 @@ def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float], groups:
           .withColumn("_pos", F.col("_p") * (F.col("_n") - 1))
           .withColumn("_r_lo", F.floor("_pos")).withColumn("_r_hi", F.ceil("_pos")))
     ranks = tg.select(*groups, F.explode(F.array("_r_lo", "_r_hi")).alias("_r")).distinct()
-    values = _select_ranks(data, groups, ranks, buckets, max_bucket_rows, 0, literal_edges=not user_groups)
+    # no bucket can hold more rows than its group: skip the (two-pass) bucket-size check
+    # unless some group is larger than the limit (one cheap, column-pruned count)
+    largest = counts.agg(F.max("_n").alias("m")).first()["m"] or 0
+    values = _select_ranks(data, groups, ranks, buckets, max_bucket_rows, 0, literal_edges=not user_groups,
+                           may_refine=largest > max_bucket_rows)
 
     out = tg.join(values.withColumnRenamed("_r", "_r_lo").withColumnRenamed("_val", "_v_lo"),
                   groups + ["_r_lo"], "inner")

@@ -28,10 +28,11 @@ def hash_encode_chunks(chunks: DataFrame, dim: int = HASH_DIM, key: str = "doc_i
     """T15 default encoder: signed hashing of the chunk's tokens into ``dim`` buckets,
     each chunk vector L2-normalised.  Output (doc, chunk_idx, dim, value), zeros omitted."""
     t = chunks.select(key, "chunk_idx", F.explode("tokens").alias("token"))
-    h = F.md5(F.col("token"))
+    # one hex->int conversion per token: 5 hex digits = 4 bucket digits + 1 sign digit
+    t = t.select(key, "chunk_idx", F.conv(F.substring(F.md5(F.col("token")), 1, 5), 16, 10).cast("int").alias("_h5"))
     t = t.select(key, "chunk_idx",
-                 (F.conv(F.substring(h, 1, 4), 16, 10).cast("int") % dim).alias("dim"),
-                 F.when(F.conv(F.substring(h, 5, 1), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0).alias("s"))
+                 (F.expr("_h5 div 16") % dim).cast("int").alias("dim"),
+                 F.when((F.col("_h5") % 16) % 2 == 0, 1.0).otherwise(-1.0).alias("s"))
     v = t.groupBy(key, "chunk_idx", "dim").agg(F.sum("s").alias("value")).where(F.col("value") != 0)
     return l2_normalize(v, [key, "chunk_idx"])
 
