@@ -144,6 +144,8 @@ def q_embed_store(spark, sf):
     from respan.operators.vectors import encode_with
 
     def make():
+        import zlib
+
         import numpy as np
 
         def enc(texts):
@@ -151,7 +153,8 @@ def q_embed_store(spark, sf):
             for t in texts:
                 v = np.zeros(16)
                 for tok in t.lower().split():
-                    v[hash(tok) % 16] += 1.0
+                    # stable across processes and retries (Python's hash() is salted per process)
+                    v[zlib.crc32(tok.encode("utf-8")) % 16] += 1.0
                 n = np.linalg.norm(v)
                 out.append(v / n if n else v)
             return out

@@ -1,7 +1,8 @@
 """Process only new documents: the skip-already-done behaviour (J3) as a file-source
 stream with ``trigger(availableNow=True)``.  The stream checkpoint records which
 files were consumed, so a rerun processes only files added since; each micro-batch
-is encoded and appended to a Parquet store (exactly-once via the checkpoint)."""
+is encoded and written to its own ``batch=<epoch>`` folder of a Parquet store; a
+retried batch overwrites its folder, so the store holds each batch exactly once."""
 
 from __future__ import annotations
 
@@ -29,8 +30,8 @@ def embed_new_documents(spark: SparkSession, docs_folder: str, out_path: str, ch
         meta = T.document_metadata(df, key="base_name")
         out = vecs.groupBy("base_name").agg(
             F.map_from_entries(F.collect_list(F.struct("dim", "value"))).alias("vec"))
-        meta.join(out, "base_name", "left").withColumn("batch", F.lit(epoch)) \
-            .write.mode("append").parquet(out_path)
+        # one folder per epoch, overwritten on a retried batch: exactly-once output
+        meta.join(out, "base_name", "left").write.mode("overwrite").parquet(f"{out_path}/batch={epoch}")
 
     q = (docs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
