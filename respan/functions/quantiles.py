@@ -86,7 +86,7 @@ def _select_ranks(data: DataFrame, groups: list[str], ranks: DataFrame, buckets:
 
 
 def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float], groups: Sequence[str] = (),
-                      buckets: int = 256, names: Sequence[str] | None = None,
+                      buckets: int = 64, names: Sequence[str] | None = None,
                       max_bucket_rows: int = MAX_BUCKET_ROWS) -> DataFrame:
     """One row per group with one column per probability (default names ``p_<i>``).
 
