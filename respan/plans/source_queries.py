@@ -175,3 +175,15 @@ def q_stream_pending(spark, sf):
     embed_new_documents(spark, folder, out, ck)
     embed_new_documents(spark, folder, out, ck)
     return spark.read.parquet(out).select("base_name", "token_count", "batch")
+
+
+@register("scan_runs_partitioned", _fx(
+    f"SELECT run_id, {r6('val_mse_avg', 'val_mse_avg')} FROM runs_wide WHERE model_type = 'rf' "
+    "ORDER BY val_mse_avg DESC NULLS LAST, run_id LIMIT 10000", "runs_wide"))
+def q_scan_runs_partitioned(spark, sf):
+    """S9 over the stored run table: the model filter prunes partitions at the scan."""
+    from respan.operators.runs import metric, scan_runs
+    path = _tmp(spark, "runs")
+    SC.write_run_table(C.runs(spark, sf), path)
+    rf = SC.read_run_table(spark, path, "rf")
+    return scan_runs(rf, None, "val_mse_avg").select("run_id", metric("val_mse_avg").alias("val_mse_avg"))
