@@ -23,3 +23,39 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = crc_mod("doc_id", 4) == 2
     out = identify(table(spark, sf_dir, "documents"), ~held)
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from respan.llm.pii import find_personal_data
+
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from respan.llm.packing import pack
+    from respan.llm.util import tokenizer_path
+
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+@query
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from respan.llm.sharding import shard
+
+    return shard(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from respan.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from respan.llm.substrings import deduplicate
+
+    return deduplicate(table(spark, sf_dir, "documents"))

@@ -67,15 +67,64 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(_POWERS[0]) < n:
+        size = max(n, 1 << 16)
+        for k, base in enumerate((_BASE, _INVERSE)):
+            p = np.full(size, base, np.uint64)
+            p[0] = 1
+            _POWERS[k] = np.cumprod(p, dtype=np.uint64)
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
 def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all k-grams of a sequence of 64-bit hashes (empty if it is shorter)."""
+    """Hashes of all k-grams of a sequence of 64-bit hashes (empty if it is shorter):
+    a rolling polynomial modulo 2**64 over an odd base, then mixed."""
     n = len(h) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    out = np.full(n, k, np.uint64)
-    for j in range(k):
-        out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + h[j:j + n])
-    return out
+    up, down = _powers(len(h))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up, dtype=np.uint64)])
+    return mix64((sums[k:] - sums[:n]) * down[:n] + np.uint64(k))
+
+
+class WordHashes(dict):
+    """64-bit hashes of words, remembered within a worker (emptied when large)."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        v = xxhash.xxh3_64_intdigest(word)
+        if len(self) < 600_000:
+            self[word] = v
+        return v
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def bitmap(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A bitmap of ``2 ** bits`` bits over a column of 64-bit hashes, whatever their
+    number: set words are combined on the executors, so the driver gets 2 ** (bits - 6)
+    words at most."""
+    at = f"shiftrightunsigned({column}, {64 - bits})"
+    words = (hashes.groupBy(F.expr(f"shiftright({at}, 6)").alias("w"))
+             .agg(F.expr(f"bit_or(shiftleft(1L, cast({at} & 63 as int)))").alias("v")))
+    out = np.zeros(1 << (bits - 6), np.int64)
+    for batch in words.toArrow().to_batches():
+        out[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
+    return out.view(np.uint64)
+
+
+def in_bitmap(h: np.ndarray, words: np.ndarray) -> np.ndarray:
+    bits = 6 + int(len(words)).bit_length() - 1
+    at = h >> np.uint64(64 - bits)
+    return (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
 def batched(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
@@ -83,3 +132,10 @@ def batched(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
     for b in batches:
         if b.num_rows:
             yield {n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)}
+
+
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer's vocabulary file (installed on every worker)."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
