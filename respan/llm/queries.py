@@ -59,3 +59,20 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from respan.llm.substrings import deduplicate
 
     return deduplicate(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from respan.llm.toxicity import score
+
+    held = crc_mod("doc_id", 5) == 0
+    out = score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held)
+    return out.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+@query
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from respan.llm.decontamination import leaks
+
+    out = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "item_id", "tokens", "item_tokens")
