@@ -76,3 +76,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "item_id", "tokens", "item_tokens")
+
+
+@query
+def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from respan.llm.winnowing import compare_with_edits
+
+    return compare_with_edits(table(spark, sf_dir, "documents"))

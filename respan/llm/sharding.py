@@ -26,7 +26,7 @@ from respan.llm.util import stored
 
 CELLS = 1 << 14
 #: Weights of the dimensions in the products.
-WEIGHTS = {"bytes": 4.0, "tokens": 1.0, "rows": 1.0}
+WEIGHTS = {"bytes": 8.0, "tokens": 1.0, "rows": 1.0}
 DIMS = tuple(WEIGHTS)
 #: Parts a shard's share is cut into when a group is larger than a share.
 PARTS_PER_SHARE = 64
