@@ -199,3 +199,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     judged = diagonal.mapInArrow(judge, "key long, doc_id long, item_id long, tokens int, item_tokens int")
     return judged.groupBy("key", "doc_id", "item_id").agg(F.max("tokens").alias("tokens"),
                                                           F.max("item_tokens").alias("item_tokens"))
+
+
+def remove_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text",
+                 item_id: str = "item_id", item_text: str = "text", run: int = RUN) -> DataFrame:
+    """``docs`` without the rows that hold a benchmark item; all columns are kept."""
+    bad = leaks(docs, benchmark, doc_id, text, item_id, item_text, run)
+    bad = stored(bad.select(F.col("doc_id").alias("_id1"), F.col("key").alias("_key1")).distinct(), "decontamination-leaks")
+    mine = F.xxhash64(F.col(doc_id).cast("long"), F.col(text).cast("binary"))
+    out = docs.withColumn("_key0", mine)
+    return out.join(bad, (out["_key0"] == bad["_key1"]) & out[doc_id].cast("long").eqNullSafe(bad["_id1"]),
+                    "left_anti").select(*docs.columns)

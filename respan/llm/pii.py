@@ -187,11 +187,9 @@ def redacted(text: str, found: list[tuple[str, int, int]]) -> str:
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with personal data in ``text`` replaced; nulls stay null, other columns
     are untouched."""
-    from pyspark.sql.functions import pandas_udf
-
     bound_batches(docs.sparkSession)
 
-    @pandas_udf("string")
+    @F.pandas_udf("string")
     def clean(texts):
         anchors = automaton()
         return texts.map(lambda t: redacted(t, found) if t and (found := spans(t, anchors)) else t)

@@ -83,3 +83,12 @@ def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from respan.llm.winnowing import compare_with_edits
 
     return compare_with_edits(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from respan.llm.language_model import score
+
+    held = crc_mod("doc_id", 5) == 1
+    out = score(table(spark, sf_dir, "documents"), ~held)
+    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

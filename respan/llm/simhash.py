@@ -70,18 +70,19 @@ def fingerprint(text: bytes, k: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) with the 64 bits as a signed long."""
+    """(doc_id, key, fp): ``key`` is a hash of id and text, ``fp`` the 64 bits as a long."""
     bound_batches(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("fp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols in batched(batches):
             fp = np.array([fingerprint(t or b"", shingle) for t in cols["t"]], np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(cols["d"], pa.int64()), pa.array(fp.view(np.int64))],
-                                             schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(cols["d"], pa.int64()), pa.array(cols["key"], pa.int64()),
+                                              pa.array(fp.view(np.int64))], schema=schema)
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).cast("binary").alias("t"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    d, raw = F.col(doc_id).cast("long"), F.col(text).cast("binary")
+    rows = docs.select(d.alias("d"), F.xxhash64(d, raw).alias("key"), raw.alias("t"))
+    return rows.mapInArrow(run, "doc_id long, key long, fp long")
 
 
 def bucket_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -212,17 +213,35 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             return labels.select("node", F.col("label").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
-                    max_bits: int = MAX_BITS) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every row: 16 hexadecimal digits, and the
-    smallest doc_id that links lead to."""
-    rows = stored(fingerprints(docs, doc_id, text, shingle), "simhash-fingerprints")
+def _component_of_fingerprint(rows: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, component, component_id) of the distinct fingerprints of ``rows`` (doc_id, fp)."""
     # nodes are fingerprints, so a group of copies is one node; its least id is aggregated
     least = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     found = components(links(least, max_bits), "simhash")
     member = (least.join(found.withColumnRenamed("node", "fp"), "fp", "left")
               .select("fp", "least", F.coalesce("component", "fp").alias("component")))
     lowest = member.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_fp = stored(member.join(lowest, "component").select("fp", "component_id"), "simhash-components")
-    return (rows.join(of_fp, "fp", "left")
+    return stored(member.join(lowest, "component").select("fp", "component", "component_id"), "simhash-components")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
+                    max_bits: int = MAX_BITS) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every row: 16 hexadecimal digits, and the
+    smallest doc_id that links lead to."""
+    rows = stored(fingerprints(docs, doc_id, text, shingle).drop("key"), "simhash-fingerprints")
+    return (rows.join(_component_of_fingerprint(rows, max_bits), "fp", "left")
             .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
+             max_bits: int = MAX_BITS) -> DataFrame:
+    """``docs`` with one document of each near-duplicate group: the smallest non-null id,
+    among equal ids the smallest text hash, of repeated rows any one."""
+    rows = stored(fingerprints(docs, doc_id, text, shingle), "simhash-fingerprints")
+    best = (rows.join(_component_of_fingerprint(rows, max_bits).select("fp", "component"), "fp")
+            .groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("b")))
+    kept = stored(best.select(F.col("b.doc_id").alias("_id"), F.col("b.key").alias("_key")), "simhash-kept")
+    mine = docs.withColumn("_key0", F.xxhash64(F.col(doc_id).cast("long"), F.col(text).cast("binary")))
+    kept = kept.select(F.col("_id").alias("_id1"), F.col("_key").alias("_key0"))
+    out = mine.join(kept, (mine["_key0"] == kept["_key0"]) & mine[doc_id].cast("long").eqNullSafe(kept["_id1"]), "left_semi")
+    return out.dropDuplicates([doc_id, "_key0"]).select(*docs.columns)

@@ -24,6 +24,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -218,27 +219,39 @@ def fit(docs: DataFrame, labels: DataFrame, trains: Column, doc_id: str, text: s
     return lexicon, coef, intercept
 
 
+def score_column(model, text: str) -> Column:
+    """The score of column ``text`` under a model of :func:`fit`."""
+    if model is None:
+        return F.lit(0.0)
+    lexicon, coef, intercept = model
+
+    @F.pandas_udf("double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        voters = Voters(lexicon)
+        for series in batches:
+            out = [np.empty(0)]
+            texts = [t or "" for t in series]
+            for i in range(0, len(texts), 512):
+                part = texts[i:i + 512]
+                x = voters.dense([voters.hits(t) for t in part], [t.count(" ") + 1 for t in part])[1]
+                out.append(1 / (1 + np.exp(-np.clip(x @ coef + intercept, -30, 30))))
+            yield pd.Series(np.concatenate(out))
+
+    return run(F.col(text))
+
+
 def score(docs: DataFrame, labels: DataFrame, trains: Column, doc_id: str = "doc_id", text: str = "text",
           label: str = "toxic") -> DataFrame:
-    """(key, doc_id, score, predicted) of every row of ``docs``; ``labels`` has the id and
-    ``label`` (0/1), learned where ``trains`` holds.  ``key`` is a hash of id and text."""
+    """(doc_id, score, predicted) of every row of ``docs``; ``labels`` has the id and
+    ``label`` (0/1), learned where ``trains`` holds."""
     bound_batches(docs.sparkSession)
     model = fit(docs, labels, trains, doc_id, text, label)
-    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32())])
+    out = docs.select(F.col(doc_id).cast("long").alias("doc_id"), score_column(model, text).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voters = Voters(model[0]) if model else None
-        for cols in batched(batches):
-            p = np.zeros(len(cols["d"]))
-            if model:
-                texts = [t or "" for t in cols["t"]]
-                for i in range(0, len(texts), 512):
-                    part = texts[i:i + 512]
-                    x = voters.dense([voters.hits(t) for t in part], [t.count(" ") + 1 for t in part])[1]
-                    p[i:i + 512] = 1 / (1 + np.exp(-np.clip(x @ model[1] + model[2], -30, 30)))
-            yield pa.RecordBatch.from_arrays([pa.array(cols["key"], pa.int64()), pa.array(cols["d"], pa.int64()),
-                                              pa.array(p), pa.array((p >= 0.5).astype(np.int32))], schema=schema)
-
-    d = F.col(doc_id).cast("long")
-    rows = docs.select(F.xxhash64(d, text).alias("key"), d.alias("d"), F.col(text).alias("t"))
-    return rows.mapInArrow(run, "key long, doc_id long, score double, predicted int")
+
+def reject(docs: DataFrame, labels: DataFrame, trains: Column, doc_id: str = "doc_id", text: str = "text",
+           label: str = "toxic") -> DataFrame:
+    """``docs`` without the rows whose text is predicted toxic; all columns are kept."""
+    bound_batches(docs.sparkSession)
+    return docs.where(score_column(fit(docs, labels, trains, doc_id, text, label), text) < 0.5)
