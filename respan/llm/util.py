@@ -28,7 +28,7 @@ def bound_batches(spark: SparkSession, max_bytes: int = BATCH_BYTES, max_rows: i
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(max_bytes))
 
 
-def stored(df: DataFrame, name: str, compression: str = "lz4_raw") -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` once below the shared checkpoint folder and read it back: cuts the
     lineage with files that survive lost executors."""
     spark = df.sparkSession
