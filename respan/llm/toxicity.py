@@ -33,9 +33,11 @@ from respan.llm.util import batched, bound_batches, stored
 
 #: Bound of the training sample: labelled documents of each class.
 PER_CLASS = 6000
-#: Voters taken from the association test, and the least toxic documents of one.
-VOTERS, LEAST_DOCUMENTS = 300, 4
+#: Voters taken from the association test; least toxic documents, z value and precision.
+VOTERS, LEAST_DOCUMENTS, LEAST_Z, LEAST_PRECISION = 300, 4, 6.0, 0.9
 STEMS = (4, 5, 6)
+#: Votes that correlate more than this within the classes share their weight.
+CORRELATED = 0.5
 EDGE = " \t\r\n.,;:!?\"'()[]{}<>«»„“”‘’…*_-"
 _SHOUT = re.compile(r"\b[A-Z]{4,}\b")
 PATTERNS = ("shouting", "exclaims", "addresses", "long", "quiet")
@@ -65,8 +67,11 @@ def sample(docs: DataFrame, labels: DataFrame, trains: Column, doc_id: str, text
     return stored(texts.join(F.broadcast(picked), "_id").select("t", "y", "rate"), "toxicity-sample")
 
 
-def associated(rows: DataFrame, n1: int, n0: int) -> list[str]:
-    """Features that fire in toxic documents more than chance explains, strongest first."""
+def associated(rows: DataFrame, n1: int, n0: int, odds: float) -> list[str]:
+    """Features that fire in toxic documents more than chance explains, strongest first.
+
+    ``odds`` is the sampling rate of toxic rows over that of the others; the precision is
+    that among all labelled rows."""
     schema = pa.schema([("f", pa.string()), ("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,8 +96,9 @@ def associated(rows: DataFrame, n1: int, n0: int) -> list[str]:
     p = (F.col("a") + F.col("b")) / F.lit(float(n1 + n0))
     gap = F.col("a") / F.lit(float(n1)) - F.col("b") / F.lit(float(n0))
     z = gap / F.sqrt(p * (1 - p) * F.lit(1 / n1 + 1 / n0) + F.lit(1e-12))
-    strong = (total.withColumn("z", z).where(f"a >= {LEAST_DOCUMENTS} and z > 4")
-              .where(F.col("a") / F.lit(n1) > 3 * F.col("b") / F.lit(n0)).orderBy(F.desc("z"), "f").limit(VOTERS))
+    strong = (total.withColumn("z", z).where(f"a >= {LEAST_DOCUMENTS} and z > {LEAST_Z}")
+              .where(F.col("a") / (F.col("a") + F.lit(odds) * F.col("b")) >= LEAST_PRECISION)
+              .orderBy(F.desc("z"), "f").limit(VOTERS))
     return [r["f"] for r in strong.collect()]
 
 
@@ -162,7 +168,8 @@ def label_model(votes: np.ndarray, gold: np.ndarray, weight: np.ndarray, rounds:
             sd = np.sqrt(np.diag(cov)) + 1e-6
             corr += 0.5 * np.abs(cov / np.outer(sd, sd))
         np.fill_diagonal(corr, 1.0)
-        share = 1 / (corr * (corr > 0.1)).sum(axis=1)  # correlated voters share their weight
+        share = 1 / (corr * (corr > CORRELATED)).sum(axis=1)  # correlated voters share their weight
+        llr[:, 1] = 0.0  # a voter that abstains says nothing
         logit = math.log(prior / (1 - prior)) + np.einsum("rvk,vk->r", onehot, llr * share[:, None])
         post = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
     return post
@@ -189,10 +196,12 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 400
 def fit(docs: DataFrame, labels: DataFrame, trains: Column, doc_id: str, text: str, label: str):
     """(lexicon, coefficients, intercept), or None without a row of each class."""
     rows = sample(docs, labels, trains, doc_id, text, label)
-    n = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
-    if not n.get(1) or not n.get(0):
+    per = {r["y"]: (r["n"], r["rate"]) for r in rows.groupBy("y").agg(F.count("*").alias("n"), F.max("rate").alias("rate"))
+           .collect()}
+    if not {0, 1} <= set(per):
         return None
-    lexicon = associated(rows, n[1], n[0])
+    (n0, rate0), (n1, rate1) = per[0], per[1]
+    lexicon = associated(rows, n1, n0, rate1 / rate0)
     schema = pa.schema([("y", pa.int32()), ("rate", pa.float64()), ("size", pa.int64()),
                         ("voter", pa.list_(pa.int32())), ("count", pa.list_(pa.int32())),
                         ("pattern", pa.list_(pa.float64()))])
