@@ -82,10 +82,15 @@ def assign(rows: DataFrame, shards: int, cells: int = CELLS) -> DataFrame:
     share = max(total["bytes"], 1) / shards
     parts = {k: 1 if r["bytes"] <= share else int(np.ceil(r["bytes"] / share)) * PARTS_PER_SHARE
              for k, r in heavy.items()}
-    for k in sorted(heavy):
-        for part in range(parts[k]):
-            names.append((k, None, part))
-            sizes.append([heavy[k][d] / parts[k] for d in DIMS])
+    turn = F.pmod(F.xxhash64("doc_id", "key"), F.col("parts")).cast("int")
+    dealt = {(k, 0): heavy[k] for k in heavy if parts[k] == 1}
+    if len(dealt) < len(heavy):  # at most ``shards`` groups are larger than a share
+        cut = spark.createDataFrame([(k, n) for k, n in parts.items() if n > 1], "key string, parts int")
+        dealt |= {(r["key"], r["part"]): r for r in rows.join(F.broadcast(cut), "key")
+                  .groupBy("key", turn.alias("part")).agg(*[F.sum(d).alias(d) for d in DIMS]).collect()}
+    for k, part in sorted((k, part) for k in heavy for part in range(parts[k])):
+        names.append((k, None, part))
+        sizes.append([dealt[k, part][d] for d in DIMS] if (k, part) in dealt else [0] * len(DIMS))
     where = place(np.array(sizes, float).reshape(-1, len(DIMS)), shards)
     found = list(zip(names, where.tolist(), strict=True))
     # both tables are bounded by the number of cells, so they may be broadcast
@@ -95,7 +100,6 @@ def assign(rows: DataFrame, shards: int, cells: int = CELLS) -> DataFrame:
                                    or [("", 0, 1, 0)], "key string, part int, parts int, key_shard int")
     of_key = by_key.groupBy("key", "parts").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("part", "key_shard"))), lambda x: x["key_shard"]).alias("at"))
-    turn = F.pmod(F.xxhash64("doc_id", "key"), F.col("parts")).cast("int")
     return (rows.withColumn("cell", _cell(cells))
             .join(F.broadcast(by_cell), "cell", "left").join(F.broadcast(of_key), "key", "left")
             .withColumn("shard", F.coalesce(F.get("at", turn), "cell_shard"))
