@@ -155,8 +155,9 @@ def label_model(votes: np.ndarray, gold: np.ndarray, weight: np.ndarray, rounds:
     onehot = (votes[:, :, None] == values).astype(np.float64)  # rows, voters, value
     post = np.where(gold > 0, 0.9, 0.1)
     share = np.ones(votes.shape[1])
+    # the classes' shares are the annotator's: else a class could drift over silent rows
+    prior = float(np.clip(((gold > 0) * weight).sum() / weight.sum(), 1e-3, 1 - 1e-3))
     for _ in range(rounds):
-        prior = float(np.clip((post * weight).sum() / weight.sum(), 1e-3, 1 - 1e-3))
         llr = np.zeros((votes.shape[1], 3))
         corr = np.zeros((votes.shape[1],) * 2)
         for sign, q in ((1, post), (-1, 1 - post)):
