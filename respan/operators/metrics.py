@@ -17,6 +17,7 @@ Conventions kept from the reference:
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -32,8 +33,21 @@ TARGET_NAMES = ["avg", "min", "max"]
 ERROR_PERCENTILES = [1, 5, 25, 75, 95, 99]
 WITHIN_PCTS = [1, 5, 10, 20]
 COMBINED_LOSS_WEIGHTS = (0.8, 0.2)
-POISSON1_CDF = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
-                0.9963401531726563, 0.9994058151824183, 0.9999167177070283]
+
+
+def _poisson1_cdf(resolution: float = 2.0 ** -33) -> list[float]:
+    """P(X <= k) of a Poisson(1) variable, until the rest is below the resolution of the
+    32-bit uniforms (so no weight is cut off)."""
+    out, term, total, k = [], math.exp(-1.0), 0.0, 0
+    while 1.0 - total > resolution:
+        total += term
+        out.append(total)
+        k += 1
+        term /= k
+    return out
+
+
+POISSON1_CDF = _poisson1_cdf()
 
 
 def _r2(sse: Column, sst: Column) -> Column:
@@ -42,8 +56,9 @@ def _r2(sse: Column, sst: Column) -> Column:
 
 
 def regression_metrics(df: DataFrame, groups: Sequence[str] = (), y: str = "y", yhat: str = "yhat",
-                       relative: bool = True) -> DataFrame:
-    """A3 + A4: n, mse, mae, rmse, r2 (+ mape, rrmse) per group."""
+                       relative: bool = True, mape_cap: float | None = MAPE_CAP) -> DataFrame:
+    """A3 + A4: n, mse, mae, rmse, r2 (+ mape, rrmse) per group; ``mape_cap`` None reports
+    the mean as it is."""
     err = F.col(y) - F.col(yhat)
     aggs = [
         F.count(F.lit(1)).alias("n"),
@@ -64,7 +79,8 @@ def regression_metrics(df: DataFrame, groups: Sequence[str] = (), y: str = "y",
         nonzero = F.col("_mean_y") != 0
         # least() skips nulls, so an empty mask must be tested explicitly (MAPE absent)
         has_mask = F.col("_ape").isNotNull()
-        out = (out.withColumn("mape", F.when(nonzero & has_mask, F.least(F.col("_ape") * 100.0, F.lit(MAPE_CAP))))
+        mape = F.col("_ape") * 100.0 if mape_cap is None else F.least(F.col("_ape") * 100.0, F.lit(mape_cap))
+        out = (out.withColumn("mape", F.when(nonzero & has_mask, mape))
                .withColumn("rrmse", F.when(nonzero, F.col("rmse") / F.col("_mean_y") * 100.0)))
         out = out.drop("_mean_y", "_ape")
     return out.drop("_sse", "_sst")
@@ -282,7 +298,7 @@ def bootstrap_replicates(df: DataFrame, groups: Sequence[str], key: str = "row_i
     """A22 (part 1): per group and replicate weighted metrics under Poisson(1) weights.
 
     Weight of (row, replicate) = inverse Poisson(1) CDF of the replicate's uniform in
-    the row's random stream (integer key mixed with the seed), capped at 7.  The weights are a function of the row key only, so every target and
+    the row's random stream (integer key mixed with the seed).  The weights are a function of the row key only, so every target and
     model scored on the same rows sees the same resample.  Rows are never copied to
     a resampled table: each row contributes weighted sums to B partial aggregates.
     """
@@ -330,11 +346,13 @@ def _poisson_partial_sums(groups: list[str], key: str, y: str, yhat: str, n_boot
         return x
 
     def run(batches):
+        sums = {}  # one set of B sums for each group of the task, whatever its batches
         for pdf in batches:
             if not len(pdf):
                 continue
             for gkey, sub in (pdf.groupby(groups, sort=False) if groups else [((), pdf)]):
-                acc = np.zeros((5, n_boot))
+                gk = gkey if isinstance(gkey, tuple) else (gkey,)
+                acc = sums.setdefault(gk, np.zeros((5, n_boot)))
                 k = np.mod(sub[key].to_numpy(dtype=np.int64), MOD32).astype(np.uint64)
                 s0 = mix((k + np.uint64(seed * GOLDEN32 % MOD32)) % np.uint64(MOD32))
                 yy = sub[y].to_numpy(dtype=float)
@@ -346,11 +364,11 @@ def _poisson_partial_sums(groups: list[str], key: str, y: str, yhat: str, n_boot
                     u = mix(x).astype(float) / 4294967296.0
                     w = np.searchsorted(cdf, u, side="right").astype(float)
                     acc += cols[:, sl] @ w
-                gk = gkey if isinstance(gkey, tuple) else (gkey,)
-                out = {g: [v] * n_boot for g, v in zip(groups, gk)}
-                out.update({"rep": np.arange(n_boot, dtype=np.int32), "sw": acc[0], "sse": acc[1], "sae": acc[2],
-                            "swy": acc[3], "swyy": acc[4]})
-                yield pd.DataFrame(out)
+        for gk, acc in sums.items():
+            out = {g: [v] * n_boot for g, v in zip(groups, gk)}
+            out.update({"rep": np.arange(n_boot, dtype=np.int32), "sw": acc[0], "sse": acc[1], "sae": acc[2],
+                        "swy": acc[3], "swyy": acc[4]})
+            yield pd.DataFrame(out)
     return run
 
 

@@ -4,7 +4,7 @@ Fitting uses MLlib where it has the estimator (ridge/lasso via LinearRegression,
 random forest, PCA, SVD); closed-form one-feature ridge and the mean predictor are
 aggregates over sufficient statistics, so learning curves and fold scores need no
 model objects at all.  ``predict_with`` runs an arbitrary Python model batch-wise
-inside ``mapInPandas`` (loaded once per task).
+inside ``mapInPandas`` (loaded once per task); the support vector regression is in svr.py.
 """
 
 from __future__ import annotations
@@ -21,14 +21,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from respan.functions.hashing import uniform
+from respan.operators import svr
 from respan.operators.crossval import hash_rank
-from respan.operators.metrics import scalar_row
+from respan.operators.metrics import regression_metrics, scalar_row
 
 # Fixed values (reference defaults)
 RF_DEFAULTS = {"n_estimators": 10, "max_depth": 5, "min_samples_split": 2, "min_samples_leaf": 1}
 RIDGE_ALPHA = 1.0
 LASSO_ALPHA = 1.0
-SVR_DEFAULTS = {"C": 1.0, "epsilon": 0.1}
+SVR_DEFAULTS = svr.DEFAULTS
 LEARNING_CURVE_FRACTIONS = [0.1, 0.2, 0.4, 0.6, 0.8, 1.0]
 N_TRIALS = 30
 RF_SPACE = {"n_estimators": [5, 10, 20], "max_depth": [3, 5, 7], "min_samples_split": (2, 10),
@@ -126,8 +127,12 @@ def lasso_estimator(alpha: float, y: str) -> LinearRegression:
 
 
 def rf_estimator(y: str, n_estimators: int = 10, max_depth: int = 5, min_samples_leaf: int = 1,
-                 seed: int = 42) -> RandomForestRegressor:
-    """M4: random forest with the reference defaults (binned splits: equal in kind)."""
+                 seed: int = 42, min_samples_split: int = 2) -> RandomForestRegressor:
+    """M4: random forest with the reference defaults (binned splits: equal in kind).
+
+    The estimator has no least size of a node to split; children of at least half of it
+    mean that no smaller node is split."""
+    min_samples_leaf = max(min_samples_leaf, min_samples_split // 2)
     return RandomForestRegressor(featuresCol="features", labelCol=y, numTrees=n_estimators, maxDepth=max_depth,
                                  minInstancesPerNode=min_samples_leaf, seed=seed)
 
@@ -142,15 +147,15 @@ def fit(train: DataFrame, kind: str, x: str, y: str, params: dict | None = None)
         return lasso_estimator(params.get("alpha", LASSO_ALPHA), y).fit(t)
     if kind == "rf":
         return rf_estimator(y, params.get("n_estimators", 10), params.get("max_depth", 5),
-                            params.get("min_samples_leaf", 1)).fit(t)
-    if kind == "svr":
-        return fit_linear_svr(train, x, y, params.get("C", 1.0), params.get("epsilon", 0.1))
+                            params.get("min_samples_leaf", 1), min_samples_split=params.get("min_samples_split", 2)).fit(t)
+    if kind in ("svm", "svr"):
+        return svr.fit_svr(train, x, y, **{**SVR_DEFAULTS, **params})
     raise ValueError(f"Unknown model type: {kind}")
 
 
 def score(model, df: DataFrame, x: str, out: str = "yhat") -> DataFrame:
-    """M7: batch scoring (MLlib transform, or the SVR linear model)."""
-    if isinstance(model, LinearSVRModel):
+    """M7: batch scoring (MLlib transform, or the SVR model)."""
+    if isinstance(model, svr.SVRModel):
         return model.transform(df, x, out)
     return model.transform(_vec(df, x)).withColumnRenamed("prediction", out).drop("features")
 
@@ -174,52 +179,6 @@ def predict_with(df: DataFrame, make_model: Callable[[], Callable[[np.ndarray],
     return df.select(*keep, x).mapInPandas(run, schema)
 
 
-# ---------------------------------------------------------------- M5 linear epsilon-SVR
-
-class LinearSVRModel:
-    def __init__(self, w: np.ndarray, b: float):
-        self.w, self.b = w, b
-
-    def transform(self, df: DataFrame, x: str, out: str = "yhat") -> DataFrame:
-        wl = [float(v) for v in self.w]
-        pred = F.aggregate(F.zip_with(F.col(x), F.array(*[F.lit(v) for v in wl]), lambda a, c: a * c),
-                           F.lit(0.0), lambda acc, v: acc + v) + F.lit(float(self.b))
-        return df.withColumn(out, pred)
-
-
-def fit_linear_svr(train: DataFrame, x: str, y: str, C: float = 1.0, epsilon: float = 0.1,
-                   iterations: int = 60, lr: float = 0.05) -> LinearSVRModel:
-    """M5 (re-aimed): linear epsilon-insensitive regression, 0.5||w||^2 + C/n sum max(0,|r|-eps),
-    by full-batch sub-gradient descent; each iteration is one distributed pass whose
-    partial gradients (d+1 numbers per partition) are summed on the driver."""
-    d = len(train.select(x).first()[0])
-    n = train.count()
-    w, b = np.zeros(d), 0.0
-    data = train.select(x, y)
-    for it in range(iterations):
-        wb = (w.tolist(), b)
-
-        def grad(batches, wb=wb):
-            wv, bv = np.asarray(wb[0]), wb[1]
-            g = np.zeros(len(wv) + 1)
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                X = np.vstack(pdf[x].to_numpy())
-                r = pdf[y].to_numpy() - (X @ wv + bv)
-                s = np.where(np.abs(r) > epsilon, np.sign(r), 0.0)
-                g[:-1] -= X.T @ s
-                g[-1] -= s.sum()
-            yield pd.DataFrame({"g": [g.tolist()]})
-
-        parts = data.mapInPandas(grad, "g array<double>").collect()  # one row per partition
-        g = np.sum([np.asarray(p["g"]) for p in parts], axis=0) * (C / n)
-        step = lr / np.sqrt(it + 1.0)
-        w = w - step * (w + g[:-1])
-        b = b - step * g[-1]
-    return LinearSVRModel(w, b)
-
-
 # ---------------------------------------------------------------- M8 uncertainty
 
 def predictive_uncertainty(draws: DataFrame, key: str = "row_id") -> DataFrame:
@@ -251,19 +210,47 @@ def search_space(trials: DataFrame, seed: int = 42) -> DataFrame:
         F.exp(F.lit(lo) + ua * F.lit(hi - lo)).alias("alpha"))
 
 
-def hyperparameter_search(train: DataFrame, val: DataFrame, x: str, y: str, configs: list[dict], kind: str = "ridge",
-                          parallelism: int = 4) -> DataFrame:
-    """Fit every configuration (driver threads submit concurrent Spark jobs) and
-    score validation MSE; returns one row per trial, best first."""
-    def run(cfg):
-        m = fit(train, kind, x, y, cfg)
-        s = score(m, val, x).agg(F.avg((F.col(y) - F.col("yhat")) ** 2).alias("mse")).first()["mse"]
-        return {**cfg, "val_mse": float(s)}
+OBJECTIVES = ("val_mse", "val_mae", "val_r2")
+SPACE_PARAMS = {"rf": ("n_estimators", "max_depth", "min_samples_split", "min_samples_leaf"), "ridge": ("alpha",),
+                "lasso": ("alpha",)}
+
 
+def validation_metrics(kind: str, params: dict, train: DataFrame, val: DataFrame, x: str, y: str) -> dict:
+    """Fit one configuration and score it on validation: the three objectives."""
+    m = regression_metrics(score(fit(train, kind, x, y, params), val, x), [], y=y, relative=False).first()
+    return {"val_mse": float(m["mse"]), "val_mae": float(m["mae"]), "val_r2": float(m["r2"])}
+
+
+def hyperparameter_search(train: DataFrame, val: DataFrame, x: str, y: str, configs: Sequence[dict],
+                          kinds: Sequence[str] = ("rf", "ridge", "lasso"), metric: str = "val_mse",
+                          objective: Callable[[str, dict, DataFrame, DataFrame, str, str], dict] = validation_metrics,
+                          parallelism: int = 4) -> DataFrame:
+    """Every configuration (rows of :func:`search_space`) for every kind, with that
+    kind's parameters only; driver threads submit concurrent jobs.  ``objective`` is any
+    callable with the arguments of :func:`validation_metrics`.  One row per (kind, trial)
+    and its value to be minimised (r2 is negated, a failed trial is +infinity); equal
+    configurations of a kind are fitted once.  Best first."""
+    if metric not in OBJECTIVES:
+        raise ValueError(f"unknown objective metric {metric!r}")
+
+    def run(job):
+        kind, params = job
+        try:
+            found = objective(kind, dict(params), train, val, x, y)
+        except Exception as ex:  # a failed trial does not end the study
+            return job, {m: float("inf") for m in OBJECTIVES}, repr(ex)
+        return job, found, None
+
+    wanted = [(k, tuple((p, c[p]) for p in SPACE_PARAMS[k])) for k in kinds for c in configs]
     with ThreadPoolExecutor(max_workers=parallelism) as ex:
-        rows = list(ex.map(run, configs))
-    spark = train.sparkSession
-    return spark.createDataFrame(pd.DataFrame(rows)).orderBy("val_mse")
+        done = {job: (found, error) for job, found, error in ex.map(run, list(dict.fromkeys(wanted)))}
+    rows = []
+    for n, job in enumerate(wanted):
+        found, error = done[job]
+        value = -found[metric] if metric == "val_r2" and error is None else found[metric]
+        rows.append((job[0], n % len(configs), str(dict(job[1])), *[found[m] for m in OBJECTIVES], value, error))
+    schema = "kind string, trial int, params string, val_mse double, val_mae double, val_r2 double, objective double, error string"
+    return train.sparkSession.createDataFrame(rows, schema).orderBy("objective", "kind", "trial")
 
 
 # ---------------------------------------------------------------- T9, T20, T21

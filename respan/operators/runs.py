@@ -42,15 +42,15 @@ def start_time_str(col: str = "start_time_ms") -> Column:
 
 
 def scan_runs(runs: DataFrame, model_type: str | None = None, order_metric: str | None = None,
-              max_results: int = 10000) -> DataFrame:
-    """All runs (optionally of one model type), ordered by a metric descending,
-    capped like the run store's ``max_results``."""
+              max_results: int | None = None) -> DataFrame:
+    """All runs (optionally of one model type), ordered by a metric descending;
+    ``max_results`` asks for the first so many only."""
     df = runs
     if model_type is not None:
         df = df.where(param("model_type") == model_type)
     if order_metric is not None:
         df = df.orderBy(metric(order_metric).desc_nulls_last(), F.col("run_id"))
-    return df.limit(max_results)
+    return df if max_results is None else df.limit(max_results)
 
 
 def runs_long(runs: DataFrame) -> DataFrame:

@@ -4,18 +4,21 @@ keyword positions and document metadata (T1-T8, T10, T11, T16, T23).
 TF-IDF follows the scikit-learn definition the reference uses (lower-case, tokens of
 two or more word characters, uni+bigrams, min_df = 2, top 10 000 terms by corpus
 frequency, sublinear tf, smoothed idf ln((1+n)/(1+df)) + 1, L2 row norm).  The model
-is a *table*: (term, idf) for at most ``max_features`` terms, so applying it to other
-documents is a join against a table with a proven size bound (broadcast).  Features
-stay sparse as (doc, term, weight) rows.
+is a *table* (term, idf).  Without ``max_features`` it holds every term and meets the
+counts in a shuffle join on the term; with it (the top-k the reference takes by default)
+its size is bounded, so it is broadcast.  Features stay sparse as (doc, term, weight) rows.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from respan.session import scratch_path
+
 # Fixed values (must equal the reference's constants)
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 MAX_FEATURES = 10000
@@ -60,22 +63,24 @@ def document_frequency(tf: DataFrame, min_df: int = MIN_DF) -> DataFrame:
             .where(F.col("df") >= min_df))
 
 
-def vocabulary(dfreq: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
-    """T4: top ``max_features`` terms by corpus frequency (ties: term ascending).
+def vocabulary(dfreq: DataFrame, max_features: int | None = MAX_FEATURES) -> DataFrame:
+    """T4: top ``max_features`` terms by corpus frequency (ties: term ascending); None: all.
     A top-k (per-partition heaps of k rows), so at most k rows reach one task."""
+    if max_features is None:
+        return dfreq
     return dfreq.orderBy(F.col("cf").desc(), F.col("term").asc()).limit(max_features)
 
 
 def fit_tfidf(train_docs: DataFrame, key: str = "doc_id", text: str = "text",
-              max_features: int = MAX_FEATURES, min_df: int = MIN_DF) -> DataFrame:
-    """The fitted model as a table (term, df, idf) of <= max_features rows."""
+              max_features: int | None = None, min_df: int = MIN_DF) -> DataFrame:
+    """The fitted model as a table (term, df, idf)."""
     tf = term_counts(train_docs, key, text)
     n_docs = train_docs.select(key).distinct().count()
     voc = vocabulary(document_frequency(tf, min_df), max_features)
     return voc.select("term", "df", (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
 
 
-def model_from_counts(tf_train: DataFrame, n_docs: int, max_features: int = MAX_FEATURES,
+def model_from_counts(tf_train: DataFrame, n_docs: int, max_features: int | None = None,
                       min_df: int = MIN_DF) -> DataFrame:
     """T3-T6 from precomputed training term counts."""
     voc = vocabulary(document_frequency(tf_train, min_df), max_features)
@@ -83,20 +88,31 @@ def model_from_counts(tf_train: DataFrame, n_docs: int, max_features: int = MAX_
 
 
 def fit_transform_tfidf(docs: DataFrame, is_train, key: str = "doc_id", text: str = "text",
-                        keep: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+                        keep: Sequence[str] = (), max_features: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Fit on the training rows and weight *all* rows from one tokenisation pass: the
-    term-count table feeds both the vocabulary and the weights, so its shuffle is
-    planned once and reused (ReusedExchange) instead of re-tokenising the texts."""
-    n_docs = docs.where(is_train).count()
+    term counts are written once below the shared checkpoint folder, and both the
+    vocabulary and the weights read that table."""
     tf = term_counts(docs.withColumn("_train", is_train), key, text, list(keep) + ["_train"])
-    model = model_from_counts(tf.where(F.col("_train")), n_docs)
-    return model, weights_from_counts(tf.drop("_train"), model, key)
+    spark = docs.sparkSession
+    path = scratch_path(spark, f"term-counts-{uuid.uuid4().hex}")
+    tf.write.parquet(path)
+    tf = spark.read.schema(tf.schema).parquet(path)
+    n_docs = docs.where(is_train).count()
+    model = model_from_counts(tf.where(F.col("_train")), n_docs, max_features)
+    return model, weights_from_counts(tf.drop("_train"), model, key, max_features)
 
 
-def weights_from_counts(tf: DataFrame, model: DataFrame, key: str = "doc_id") -> DataFrame:
+def _bounded(model: DataFrame, max_features: int | None) -> DataFrame:
+    """The model for a join: broadcast only if a bound on its rows is known."""
+    m = model.select("term", "idf")
+    return F.broadcast(m) if max_features is not None and max_features <= MAX_FEATURES else m
+
+
+def weights_from_counts(tf: DataFrame, model: DataFrame, key: str = "doc_id",
+                        max_features: int | None = None) -> DataFrame:
     """T5, T7, T8 on precomputed counts (extra columns of ``tf`` are kept)."""
     extra = [c for c in tf.columns if c not in (key, "term", "tf")]
-    w = tf.join(F.broadcast(model.select("term", "idf")), "term", "inner") \
+    w = tf.join(_bounded(model, max_features), "term", "inner") \
         .withColumn("w", (F.lit(1.0) + F.log(F.col("tf").cast("double"))) * F.col("idf"))
     # extra columns (e.g. split) are per-document, so partitioning by them too is the
     # same window, and lets a later filter on them move below the window
@@ -104,11 +120,12 @@ def weights_from_counts(tf: DataFrame, model: DataFrame, key: str = "doc_id") ->
     return w.select(key, *extra, "term", (F.col("w") / norm).alias("weight"))
 
 
-def transform_tfidf(docs: DataFrame, model: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def transform_tfidf(docs: DataFrame, model: DataFrame, key: str = "doc_id", text: str = "text",
+                    max_features: int | None = None) -> DataFrame:
     """Sublinear tf x idf over the frozen vocabulary (unseen terms dropped),
-    L2-normalised per document.  The model table is bounded by max_features rows."""
+    L2-normalised per document; ``max_features`` is the bound the model was fitted with."""
     tf = term_counts(docs, key, text)
-    w = tf.join(F.broadcast(model.select("term", "idf")), "term", "inner") \
+    w = tf.join(_bounded(model, max_features), "term", "inner") \
         .withColumn("w", (F.lit(1.0) + F.log(F.col("tf").cast("double"))) * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
     return w.select(key, "term", (F.col("w") / norm).alias("weight"))
@@ -118,38 +135,44 @@ def chunk_starts(n: Column, step: int) -> Column:
     return F.sequence(F.lit(0), n - 1, F.lit(step))
 
 
-def chunk_tokens(tokens: Column, mode: str = "plain") -> Column:
+def chunk_tokens(tokens: Column, mode: str = "plain", max_chunks: int | None = None) -> Column:
     """T11 chunkers as an array of token arrays.
 
-    plain      : used when len+2 > 510; step = width = 510-50-2 (no overlap), <= 12 chunks;
-                 shorter documents are one chunk truncated to 510 tokens
-    overlap    : width W = max_length, step W-50, <= 12 chunks, when len > W
-    precompute : width 1024, step 1024-100, no cap, when len > 1024
+    plain      : used when len+2 > 510; step = width = 510-50-2 (no overlap);
+                 shorter documents are one chunk
+    overlap    : width W = max_length, step W-50, when len > W
+    precompute : width 1024, step 1024-100, when len > 1024
+
+    Every token is in a chunk; ``max_chunks`` (the reference takes MAX_CHUNKS = 12 in the
+    first two) keeps the first so many only.
     """
     n = F.size(tokens)
     if mode == "plain":
         width = step = BERT_MAX_LENGTH - CHUNK_OVERLAP - 2
-        long_doc, cap, short_w = n + 2 > BERT_MAX_LENGTH, MAX_CHUNKS, BERT_MAX_LENGTH
+        long_doc, short_w = n + 2 > BERT_MAX_LENGTH, BERT_MAX_LENGTH
     elif mode == "overlap":
         width, step = BERT_MAX_LENGTH, BERT_MAX_LENGTH - CHUNK_OVERLAP
-        long_doc, cap, short_w = n > width, MAX_CHUNKS, width
+        long_doc, short_w = n > width, width
     elif mode == "precompute":
         width, step = PRECOMPUTE_MAX_LENGTH, PRECOMPUTE_MAX_LENGTH - PRECOMPUTE_OVERLAP
-        long_doc, cap, short_w = n > width, None, width
+        long_doc, short_w = n > width, width
     else:
         raise ValueError(mode)
     chunks = F.transform(chunk_starts(n, step), lambda s: F.slice(tokens, s + 1, width))
-    if cap is not None:
-        chunks = F.slice(chunks, 1, cap)
+    if max_chunks is not None:
+        chunks = F.slice(chunks, 1, max_chunks)
     single = F.array(F.slice(tokens, 1, short_w))
     return F.when(n == 0, F.array().cast("array<array<string>>")).when(long_doc, chunks).otherwise(single)
 
 
-def chunk_table(docs: DataFrame, mode: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, chunk_idx, tokens) rows."""
-    d = docs.select(key, tokenize(F.col(text)).alias("_t"))
-    d = d.select(key, chunk_tokens(F.col("_t"), mode).alias("chunks"))
-    return d.select(key, F.posexplode("chunks").alias("chunk_idx", "tokens"))
+def chunk_table(docs: DataFrame, mode: str, key: str = "doc_id", text: str = "text",
+                max_chunks: int | None = None) -> DataFrame:
+    """(doc, n_chunks, chunk_idx, tokens) rows; a document without a token has one row with
+    n_chunks 0 and nulls.  The outer explode keeps Spark from adding a size filter that
+    would run the tokeniser again."""
+    d = docs.select(key, tokenize(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
+    d = d.select(key, chunk_tokens(F.col("_t"), mode, max_chunks).alias("chunks"))
+    return d.select(key, F.size("chunks").alias("n_chunks"), F.posexplode_outer("chunks").alias("chunk_idx", "tokens"))
 
 
 def keyword_positions(docs: DataFrame, keywords: Sequence[str] = DSL_KEYWORDS, key: str = "doc_id",

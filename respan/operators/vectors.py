@@ -26,15 +26,28 @@ LAST_WEIGHT = 1.3
 
 def hash_encode_chunks(chunks: DataFrame, dim: int = HASH_DIM, key: str = "doc_id") -> DataFrame:
     """T15 default encoder: signed hashing of the chunk's tokens into ``dim`` buckets,
-    each chunk vector L2-normalised.  Output (doc, chunk_idx, dim, value), zeros omitted."""
-    t = chunks.select(key, "chunk_idx", F.explode("tokens").alias("token"))
+    each chunk vector L2-normalised.  Output (doc, n_chunks, chunk_idx, dim, value), zeros
+    omitted; a chunk or document without a token is a zero vector: one row (dim 0, value 0)."""
+    part = [key, "n_chunks", "chunk_idx"]
+    t = chunks.select(key, "n_chunks", F.coalesce("chunk_idx", F.lit(0)).alias("chunk_idx"),
+                      F.explode_outer("tokens").alias("token"))
     # one hex->int conversion per token: 5 hex digits = 4 bucket digits + 1 sign digit
-    t = t.select(key, "chunk_idx", F.conv(F.substring(F.md5(F.col("token")), 1, 5), 16, 10).cast("int").alias("_h5"))
-    t = t.select(key, "chunk_idx",
-                 (F.expr("_h5 div 16") % dim).cast("int").alias("dim"),
-                 F.when((F.col("_h5") % 16) % 2 == 0, 1.0).otherwise(-1.0).alias("s"))
-    v = t.groupBy(key, "chunk_idx", "dim").agg(F.sum("s").alias("value")).where(F.col("value") != 0)
-    return l2_normalize(v, [key, "chunk_idx"])
+    t = t.select(*part, F.conv(F.substring(F.md5(F.col("token")), 1, 5), 16, 10).cast("int").alias("_h5"))
+    t = t.select(*part,
+                 F.coalesce((F.expr("_h5 div 16") % dim).cast("int"), F.lit(0)).alias("dim"),
+                 F.when(F.col("_h5").isNull(), 0.0).when((F.col("_h5") % 16) % 2 == 0, 1.0).otherwise(-1.0).alias("s"))
+    return _sparse(t.groupBy(*part, "dim").agg(F.sum("s").alias("value")), part, dim_zero=True)
+
+
+def _sparse(v: DataFrame, part: list[str], dim_zero: bool = False) -> DataFrame:
+    """L2-normalised vectors without their zeros; a vector of zeros keeps one row
+    (dimension 0 with ``dim_zero``, else its least one), so nothing disappears."""
+    w = Window.partitionBy(*part)
+    v = (v.withColumn("_top", F.max(F.abs("value")).over(w)).withColumn("_d0", F.min("dim").over(w))
+         .where((F.abs("value") > 1e-12) | ((F.col("_top") <= 1e-12) & (F.col("dim") == F.col("_d0")))))
+    if dim_zero:
+        v = v.withColumn("dim", F.when(F.col("_top") <= 1e-12, F.lit(0)).otherwise(F.col("dim")))
+    return l2_normalize(v.drop("_top", "_d0"), part)
 
 
 def l2_normalize(long: DataFrame, part) -> DataFrame:
@@ -46,8 +59,7 @@ def pool_chunks(vecs: DataFrame, how: str = "mean", key: str = "doc_id") -> Data
     """Pool chunk vectors per document: ``mean``; ``first_last`` (mean of first and
     last chunk, the only chunk when single); ``weighted`` (first 1.5, last 1.3, others
     1, divided by the weight sum).  Unknown names fall back to mean.  Result L2-normalised."""
-    n = vecs.groupBy(key).agg(F.max("chunk_idx").alias("_last"))
-    v = vecs.join(n, key)
+    v = vecs.withColumn("_last", F.greatest(F.col("n_chunks") - 1, F.lit(0)))
     first, last = F.col("chunk_idx") == 0, F.col("chunk_idx") == F.col("_last")
     if how == "first_last":
         w = F.when(first | last, 1.0).otherwise(0.0)
@@ -60,12 +72,14 @@ def pool_chunks(vecs: DataFrame, how: str = "mean", key: str = "doc_id") -> Data
         w = F.lit(1.0)
         denom = (F.col("_last") + 1).cast("double")
     pooled = v.groupBy(key, "dim").agg(F.sum(F.col("value") * w / denom).alias("value"))
-    return l2_normalize(pooled.where(F.col("value") != 0), [key])
+    return _sparse(pooled, [key])
 
 
 def masked_mean_pool(tok: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Mean of token vectors where mask = 1, per (doc, dim)."""
-    return tok.where(F.col("mask") == 1).groupBy(key, "dim").agg(F.avg("value").alias("value"))
+    """Mean of token vectors where mask = 1, per (doc, dim), L2-normalised; a document
+    whose positions are all masked is a zero vector."""
+    mean = tok.groupBy(key, "dim").agg(F.coalesce(F.avg(F.when(F.col("mask") == 1, F.col("value"))), F.lit(0.0)).alias("value"))
+    return l2_normalize(mean, [key])
 
 
 def first_token_pool(tok: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -93,7 +107,7 @@ def encode_with(docs: DataFrame, make_encoder: Callable[[], Callable[[list[str]]
                     errs.append(None)
                 except Exception as ex:  # per-row isolation
                     vecs.append([])
-                    errs.append(repr(ex)[:500])
+                    errs.append(repr(ex))
                 secs.append(time.perf_counter() - t0)
             yield pd.DataFrame({key: b[key], "vec": vecs, "file_size_bytes": b[text].str.encode("utf-8").str.len(),
                                 "processing_time_seconds": secs, "error": errs})

@@ -334,7 +334,7 @@ _POISSON_SQL = " + ".join(f"CASE WHEN u >= {c!r} THEN 1 ELSE 0 END" for c in M.P
 _BOOT_SQL = f"""
 bw AS (SELECT split, model, y, yhat, ({_POISSON_SQL}) AS w, rep FROM (
          SELECT split, model, y, yhat, rep, {_H.sql_stream_uniform('s32', 'rep')} AS u
-         FROM (SELECT *, {_H.sql_stream_seed('row_id')} AS s32 FROM model_predictions WHERE split IN ('val', 'test')),
+         FROM (SELECT *, {_H.sql_stream_seed('row_id')} AS s32 FROM model_predictions),
               range(0, {_N_BOOT}) t(rep))),
 reps AS (SELECT split, model, rep, sum(w * (y - yhat) ^ 2) / sum(w) AS mse, sum(w * abs(y - yhat)) / sum(w) AS mae,
                 sqrt(sum(w * (y - yhat) ^ 2) / sum(w)) AS rmse,
@@ -348,8 +348,7 @@ ci AS (SELECT split, model, metric, quantile_cont(value, 0.025) AS ci_lower, qua
 
 
 def _boot(spark, sf):
-    p = _mp(spark, sf).where(F.col("split").isin("val", "test"))
-    return M.bootstrap_ci(p, ["split", "model"], n_boot=_N_BOOT)
+    return M.bootstrap_ci(_mp(spark, sf), ["split", "model"], n_boot=_N_BOOT)
 
 
 @register("bootstrap_ci", _fx(
@@ -373,7 +372,7 @@ _PM_SQL = _BOOT_SQL + """,
 pm AS (SELECT split, model, metric, value FROM (UNPIVOT (
          SELECT split, model, avg((y - yhat) ^ 2) AS mse, avg(abs(y - yhat)) AS mae, sqrt(avg((y - yhat) ^ 2)) AS rmse,
                 """ + _R2_SQL + """ AS r2
-         FROM model_predictions WHERE split IN ('val', 'test') GROUP BY split, model)
+         FROM model_predictions GROUP BY split, model)
        ON mse, mae, r2, rmse INTO NAME metric VALUE value)),
 pmc AS (SELECT pm.split, pm.model, pm.split || '_' || pm.metric || '_avg' AS metric, pm.value, ci.ci_lower, ci.ci_upper
         FROM pm JOIN ci USING (split, model, metric))
@@ -389,7 +388,7 @@ pmc AS (SELECT pm.split, pm.model, pm.split || '_' || pm.metric || '_avg' AS met
         (a.ci_upper < b.ci_lower OR b.ci_upper < a.ci_lower) AS significant
     FROM pmc a JOIN pmc b ON a.metric = b.metric AND a.model < b.model""", _MP, extra=_PM_SQL))
 def q_compare_models(spark, sf):
-    p = _mp(spark, sf).where(F.col("split").isin("val", "test"))
+    p = _mp(spark, sf)
     pm = M.regression_metrics(p, ["split", "model"], relative=False)
     pm = pm.selectExpr("split", "model", "stack(4, 'mse', mse, 'mae', mae, 'r2', r2, 'rmse', rmse) AS (metric, value)")
     ci = M.bootstrap_ci(p, ["split", "model"], n_boot=_N_BOOT)
@@ -420,13 +419,12 @@ def q_compare_models(spark, sf):
     _MP, "predictions", extra=_BASELINE_SQL))
 def q_interpret(spark, sf):
     p = _mp(spark, sf).where(F.col("split") == "val")
-    base = scalar_row_baseline = _baselines(spark, sf).where(F.col("baseline") == "mean").first()["mse"]
+    base = _baselines(spark, sf).where(F.col("baseline") == "mean").first()["mse"]
     tmean = M.scalar_row(C.predictions(spark, sf).where(F.col("split") == "train").agg(F.avg("y").alias("m")))["m"]
     rows = p.groupBy("model").agg(F.avg((F.col("y") - F.col("yhat")) ** 2).alias("mse"),
                                   F.avg(F.abs(F.col("y") - F.col("yhat"))).alias("mae"),
                                   F.avg(F.col("y") - F.col("yhat")).alias("bias"))
     rows = rows.withColumn("mean_baseline_mse", F.lit(base)).withColumn("target_mean", F.lit(tmean))
-    del scalar_row_baseline
     return M.interpret_metrics(rows).drop("mean_baseline_mse", "target_mean")
 
 

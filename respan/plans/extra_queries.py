@@ -78,7 +78,7 @@ def q_batch_counters(spark, sf):
 @register("comprehensive_eval", _fx(
     f"""SELECT m.split, m.model, m.metric, {r6('m.value', 'value')}, {r6('ci.ci_lower', 'ci_lower')},
           {r6('ci.ci_upper', 'ci_upper')}, m.n AS n_samples,
-          CAST(CASE WHEN m.split = 'train' THEN NULL ELSE {_N_BOOT} END AS DOUBLE) AS n_bootstrap
+          CAST({_N_BOOT} AS DOUBLE) AS n_bootstrap
         FROM (SELECT split, model, metric, value, n FROM (UNPIVOT (
                 SELECT split, model, count(*) AS n, avg((y - yhat) ^ 2) AS mse, avg(abs(y - yhat)) AS mae,
                        sqrt(avg((y - yhat) ^ 2)) AS rmse, {_R2_SQL} AS r2
@@ -86,15 +86,14 @@ def q_batch_counters(spark, sf):
         LEFT JOIN ci ON ci.split = m.split AND ci.model = m.model AND ci.metric = m.metric""",
     "model_predictions", extra=_BOOT_SQL))
 def q_comprehensive(spark, sf):
-    """M10 (metric part): train/val/test metrics per model with bootstrap CIs on val/test."""
+    """M10 (metric part): train/val/test metrics per model with bootstrap CIs on all three."""
     p = C.model_predictions(spark, sf)
     pm = M.regression_metrics(p, ["split", "model"], relative=False)
     pm = pm.selectExpr("split", "model", "n AS n_samples",
                        "stack(4, 'mse', mse, 'mae', mae, 'r2', r2, 'rmse', rmse) AS (metric, value)")
-    ci = M.bootstrap_ci(p.where(F.col("split") != "train"), ["split", "model"], n_boot=_N_BOOT).drop("ci_width")
+    ci = M.bootstrap_ci(p, ["split", "model"], n_boot=_N_BOOT).drop("ci_width")
     out = pm.join(ci, ["split", "model", "metric"], "left")
-    # nullable count compared as double (pandas turns nullable ints into floats)
-    return out.withColumn("n_bootstrap", F.when(F.col("split") != "train", F.lit(_N_BOOT)).cast("double"))
+    return out.withColumn("n_bootstrap", F.lit(_N_BOOT).cast("double"))
 
 
 @register("union_runs", _fx(

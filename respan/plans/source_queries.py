@@ -13,6 +13,7 @@ from respan.operators import samples as S
 from respan.operators.split import exact_split, split_sql
 from respan.plans.evaluation_queries import _SAMPLES_SQL, _samples
 from respan.plans.registry import r6, register
+from respan.plans.text_queries import _TFIDF_SQL
 from respan.session import scratch_path
 from respan.sources import scans as SC
 
@@ -71,7 +72,7 @@ def q_split_cache(spark, sf):
 def q_read_splits(spark, sf):
     """Train as CSV, val/test as Parquet in one folder, read back by extension."""
     base = _tmp(spark, "split-files")
-    s = exact_split(_samples(spark, sf), ["base_name"]).select("base_name", "avg_resp_time", "split").cache()
+    s = exact_split(_samples(spark, sf), ["base_name"]).select("base_name", "avg_resp_time", "split")
     SC.write_csv(s.where("split = 'train'").drop("split"), f"{base}/train.csv")
     for sp in ("val", "test"):
         s.where(F.col("split") == sp).drop("split").write.mode("overwrite").parquet(f"{base}/{sp}.parquet")
@@ -92,7 +93,7 @@ def q_csv_roundtrip(spark, sf):
 
 @register("feature_checkpoint", _fx(
     "SELECT doc_id, term, " + r6("weight", "weight") + " FROM tfidf WHERE split = 'train'",
-    extra=__import__("respan.plans.text_queries", fromlist=["x"])._TFIDF_SQL))
+    extra=_TFIDF_SQL))
 def q_feature_checkpoint(spark, sf):
     """TF-IDF features stored under features/embedding=tfidf/mode=summary;
     a second call loads instead of recomputing."""
@@ -124,7 +125,7 @@ def q_pending(spark, sf):
     return S.pending_documents(C.dsl_docs(spark, sf).select("base_name"), done)
 
 
-@register("model_roundtrip")
+@register("model_roundtrip", _fx("SELECT row_id, true AS agrees FROM features", "features"))
 def q_model_roundtrip(spark, sf):
     """Fitted MLlib model saved, loaded and used for scoring."""
     from pyspark.ml.regression import LinearRegressionModel
@@ -134,10 +135,12 @@ def q_model_roundtrip(spark, sf):
     path = _tmp(spark, "model")
     m.write().overwrite().save(path)
     m2 = LinearRegressionModel.load(path)
-    return MD.score(m2, f, "x").select("row_id", "target", "yhat")
+    both = MD.score(m2, MD.score(m, f, "x", "before"), "x")
+    return both.select("row_id", (F.col("yhat") == F.col("before")).alias("agrees"))
 
 
-@register("embed_store")
+@register("embed_store", "SELECT doc_id, CAST(16 AS INTEGER) AS dim, CAST(strlen(text) AS BIGINT) AS file_size_bytes, "
+          "NULL::VARCHAR AS error FROM documents")
 def q_embed_store(spark, sf):
     """Documents encoded by a per-task Python encoder with per-row metadata and
     error capture, appended to a Parquet store."""
@@ -165,7 +168,9 @@ def q_embed_store(spark, sf):
     return spark.read.parquet(path).select("doc_id", F.size("vec").alias("dim"), "file_size_bytes", "error")
 
 
-@register("stream_pending")
+@register("stream_pending", _fx(
+    "SELECT 'model_' || CAST(doc_id AS VARCHAR) AS base_name, CAST(len(t) AS INTEGER) AS token_count FROM tok",
+    extra="tok AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}') AS t FROM documents)"))
 def q_stream_pending(spark, sf):
     """J3 as a stream: availableNow pass over the document folder; a second pass after
     no new files adds nothing."""
@@ -174,12 +179,12 @@ def q_stream_pending(spark, sf):
     SC.write_documents(C.dsl_docs(spark, sf), folder)
     embed_new_documents(spark, folder, out, ck)
     embed_new_documents(spark, folder, out, ck)
-    return spark.read.parquet(out).select("base_name", "token_count", "batch")
+    return spark.read.parquet(out).select("base_name", F.col("token_count").cast("int").alias("token_count"))
 
 
 @register("scan_runs_partitioned", _fx(
     f"SELECT run_id, {r6('val_mse_avg', 'val_mse_avg')} FROM runs_wide WHERE model_type = 'rf' "
-    "ORDER BY val_mse_avg DESC NULLS LAST, run_id LIMIT 10000", "runs_wide"))
+    "ORDER BY val_mse_avg DESC NULLS LAST, run_id", "runs_wide"))
 def q_scan_runs_partitioned(spark, sf):
     """S9 over the stored run table: the model filter prunes partitions at the scan."""
     from respan.operators.runs import metric, scan_runs

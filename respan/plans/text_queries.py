@@ -31,7 +31,7 @@ tok AS (SELECT doc_id, split, regexp_extract_all(lower(text), '{_PAT}') AS t FRO
 terms AS (SELECT doc_id, split, unnest({_TERMS_EXPR}) AS term FROM tok),
 tf AS (SELECT doc_id, split, term, count(*) AS tf FROM terms GROUP BY ALL),
 dfq AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM tf WHERE split = 'train' GROUP BY term HAVING count(*) >= 2),
-voc AS (SELECT term, df, cf FROM dfq ORDER BY cf DESC, term ASC LIMIT 10000),
+voc AS (SELECT term, df, cf FROM dfq),
 ntr AS (SELECT count(*) AS n FROM sp WHERE split = 'train'),
 model AS (SELECT term, df, ln((1.0 + n) / (1.0 + df)) + 1.0 AS idf FROM voc, ntr),
 wt AS (SELECT doc_id, split, term, (1.0 + ln(tf)) * idf AS w FROM tf JOIN model USING (term)),
@@ -52,18 +52,23 @@ def _model(spark, sf):
     return T.fit_tfidf(d.where(F.col("split") == "train"))
 
 
-@register("tokenize", _fx("SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, CAST(len(list_distinct(t)) AS BIGINT) AS n_distinct FROM tok",
+@register("tokenize", _fx("SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, CAST(len(list_distinct(t)) AS BIGINT) AS n_distinct, "
+                          "md5(array_to_string(t, ' ')) AS tokens_md5 FROM tok",
                           extra=_TOK_SQL))
 def q_tokenize(spark, sf):
     t = _docs(spark, sf).select("doc_id", T.tokenize(F.col("text")).alias("t"))
     return t.select("doc_id", F.size("t").cast("bigint").alias("n_tokens"),
-                    F.size(F.array_distinct("t")).cast("bigint").alias("n_distinct"))
+                    F.size(F.array_distinct("t")).cast("bigint").alias("n_distinct"),
+                    F.md5(F.concat_ws(" ", "t").cast("binary")).alias("tokens_md5"))
 
 
-@register("ngrams", _fx(f"SELECT doc_id, CAST(len({_TERMS_EXPR}) AS BIGINT) AS n_terms FROM tok", extra=_TOK_SQL))
+@register("ngrams", _fx(f"SELECT doc_id, CAST(len({_TERMS_EXPR}) AS BIGINT) AS n_terms, "
+                       f"md5(array_to_string({_TERMS_EXPR}, '|')) AS terms_md5 FROM tok", extra=_TOK_SQL))
 def q_ngrams(spark, sf):
     t = _docs(spark, sf).select("doc_id", T.tokenize(F.col("text")).alias("t"))
-    return t.select("doc_id", F.size(T.with_ngrams(F.col("t"))).cast("bigint").alias("n_terms"))
+    t = t.select("doc_id", T.with_ngrams(F.col("t")).alias("g"))
+    return t.select("doc_id", F.size("g").cast("bigint").alias("n_terms"),
+                    F.md5(F.concat_ws("|", "g").cast("binary")).alias("terms_md5"))
 
 
 @register("document_frequency", _fx("SELECT term, df, CAST(cf AS BIGINT) AS cf FROM dfq", extra=_TFIDF_SQL))
@@ -72,7 +77,7 @@ def q_document_frequency(spark, sf):
     return T.document_frequency(T.term_counts(d))
 
 
-@register("vocabulary", _fx("SELECT term, df, CAST(cf AS BIGINT) AS cf FROM voc", extra=_TFIDF_SQL))
+@register("vocabulary", _fx("SELECT term, df, CAST(cf AS BIGINT) AS cf FROM voc ORDER BY cf DESC, term ASC LIMIT 10000", extra=_TFIDF_SQL))
 def q_vocabulary(spark, sf):
     d = _split_docs(spark, sf).where(F.col("split") == "train")
     return T.vocabulary(T.document_frequency(T.term_counts(d)))
@@ -88,7 +93,7 @@ def q_idf(spark, sf):
     extra=_TFIDF_SQL))
 def q_tf_sublinear(spark, sf):
     d = _split_docs(spark, sf).where(F.col("split") == "train")
-    tf = T.term_counts(d).join(F.broadcast(_model(spark, sf).select("term")), "term", "left_semi")
+    tf = T.term_counts(d).join(_model(spark, sf).select("term"), "term", "left_semi")
     return tf.select("doc_id", "term", "tf", (F.lit(1.0) + F.log(F.col("tf").cast("double"))).alias("tf_sub"))
 
 
@@ -112,26 +117,27 @@ def q_tfidf_transform(spark, sf):
 def _chunk_sql(mode: str) -> str:
     if mode == "plain":
         w = s = 458
-        cond, cap, short = "len(t) + 2 > 510", 12, 510
+        cond, short = "len(t) + 2 > 510", 510
     elif mode == "overlap":
-        w, s, cond, cap, short = 510, 460, "len(t) > 510", 12, 510
+        w, s, cond, short = 510, 460, "len(t) > 510", 510
     else:
-        w, s, cond, cap, short = 1024, 924, "len(t) > 1024", None, 1024
+        w, s, cond, short = 1024, 924, "len(t) > 1024", 1024
     chunks = f"list_transform(range(0, len(t), {s}), lambda st: list_slice(t, st + 1, st + {w}))"
-    if cap:
-        chunks = f"list_slice({chunks}, 1, {cap})"
     return _TOK_SQL + f""",
 ch AS (SELECT doc_id, CASE WHEN len(t) = 0 THEN []::VARCHAR[][] WHEN {cond} THEN {chunks} ELSE [list_slice(t, 1, {short})] END AS chunks FROM tok),
-ct AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS chunk_idx, c FROM (SELECT doc_id, unnest(chunks) AS c, generate_subscripts(chunks, 1) AS i FROM ch))
+ct AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS chunk_idx, c FROM (SELECT doc_id, unnest(chunks) AS c, generate_subscripts(chunks, 1) AS i FROM ch
+       UNION ALL SELECT doc_id, NULL, NULL FROM ch WHERE len(chunks) = 0)),
+nch AS (SELECT doc_id, CAST(len(chunks) AS INTEGER) AS n_chunks FROM ch)
 """
 
 
 def _chunk_out(df):
-    return df.select("doc_id", "chunk_idx", F.size("tokens").cast("bigint").alias("n_tokens"),
-                     F.element_at("tokens", 1).alias("first_token"), F.element_at("tokens", -1).alias("last_token"))
+    return df.select("doc_id", "chunk_idx", F.coalesce(F.size("tokens"), F.lit(0)).cast("bigint").alias("n_tokens"),
+                     F.md5(F.concat_ws(" ", "tokens").cast("binary")).alias("tokens_md5"))
 
 
-_CHUNK_SELECT = "SELECT doc_id, chunk_idx, CAST(len(c) AS BIGINT) AS n_tokens, c[1] AS first_token, c[-1] AS last_token FROM ct"
+_CHUNK_SELECT = ("SELECT doc_id, chunk_idx, CAST(coalesce(len(c), 0) AS BIGINT) AS n_tokens, "
+                 "md5(coalesce(array_to_string(c, ' '), '')) AS tokens_md5 FROM ct")
 
 
 @register("chunk_plain", _fx(_CHUNK_SELECT, extra=_chunk_sql("plain")))
@@ -189,8 +195,10 @@ tk AS (SELECT doc_id, chunk_idx, unnest(c) AS token FROM ct),
 hv AS (SELECT doc_id, chunk_idx, CAST(CAST(('0x' || substr(md5(token), 1, 4)) AS INTEGER) % 64 AS INTEGER) AS dim,
               CASE WHEN CAST(('0x' || substr(md5(token), 5, 1)) AS INTEGER) % 2 = 0 THEN 1.0 ELSE -1.0 END AS s FROM tk),
 cv0 AS (SELECT doc_id, chunk_idx, dim, sum(s) AS value FROM hv GROUP BY ALL HAVING sum(s) <> 0),
-cv AS (SELECT doc_id, chunk_idx, dim, value / sqrt(sum(value * value) OVER (PARTITION BY doc_id, chunk_idx)) AS value FROM cv0),
-nl AS (SELECT doc_id, max(chunk_idx) AS last FROM cv GROUP BY doc_id)
+cv1 AS (SELECT doc_id, chunk_idx, dim, value / sqrt(sum(value * value) OVER (PARTITION BY doc_id, chunk_idx)) AS value FROM cv0),
+cv AS (SELECT * FROM cv1 UNION ALL SELECT doc_id, coalesce(chunk_idx, 0), 0, 0.0 FROM ct
+       WHERE (doc_id, coalesce(chunk_idx, -1)) NOT IN (SELECT (doc_id, chunk_idx) FROM cv0)),
+nl AS (SELECT doc_id, greatest(n_chunks - 1, 0) AS last FROM nch)
 """
 
 
@@ -203,9 +211,12 @@ def _pool_sql(how: str) -> str:
     else:
         w = "CASE WHEN chunk_idx = 0 THEN 1.5 WHEN chunk_idx = last THEN 1.3 ELSE 1.0 END"
         d = "CASE WHEN last = 0 THEN 1.5 ELSE 1.5 + 1.3 + CAST(last - 1 AS DOUBLE) END"
-    return (f"SELECT doc_id, dim, {r6('value / sqrt(sum(value * value) OVER (PARTITION BY doc_id))', 'value')} FROM ("
-            f"SELECT doc_id, dim, sum(value * ({w}) / ({d})) AS value FROM cv JOIN nl USING (doc_id) "
-            "GROUP BY doc_id, dim HAVING sum(value * (" + w + ") / (" + d + ")) <> 0)")
+    pooled = f"SELECT doc_id, dim, sum(value * ({w}) / ({d})) AS value FROM cv JOIN nl USING (doc_id) GROUP BY doc_id, dim"
+    unit = "CASE WHEN sum(value * value) OVER p > 0 THEN value / sqrt(sum(value * value) OVER p) ELSE value END"
+    # a zero vector is one row (dimension 0)
+    return (f"SELECT doc_id, dim, {r6(unit, 'value')} FROM (SELECT *, max(abs(value)) OVER (PARTITION BY doc_id) AS top, "
+            f"min(dim) OVER (PARTITION BY doc_id) AS d0 FROM ({pooled})) "
+            "WHERE abs(value) > 1e-12 OR (top <= 1e-12 AND dim = d0) WINDOW p AS (PARTITION BY doc_id)")
 
 
 def _chunk_vectors(spark, sf):
@@ -214,7 +225,7 @@ def _chunk_vectors(spark, sf):
 
 @register("encode_documents", _fx(f"SELECT doc_id, chunk_idx, dim, {r6('value', 'value')} FROM cv", extra=_HASH_SQL))
 def q_encode(spark, sf):
-    return _chunk_vectors(spark, sf)
+    return _chunk_vectors(spark, sf).drop("n_chunks")
 
 
 @register("pool_mean", _fx(_pool_sql("mean"), extra=_HASH_SQL))
@@ -249,7 +260,9 @@ def _token_vectors(spark, sf):
 
 
 @register("masked_mean_pool", _fx(
-    f"SELECT doc_id, dim, {r6('avg(value)', 'value')} FROM tv WHERE mask = 1 GROUP BY doc_id, dim", extra=_TOKVEC_SQL))
+    f"SELECT doc_id, dim, {r6('CASE WHEN sum(v * v) OVER p > 0 THEN v / sqrt(sum(v * v) OVER p) ELSE v END', 'value')} FROM ("
+    "SELECT doc_id, dim, coalesce(avg(value) FILTER (WHERE mask = 1), 0.0) AS v FROM tv GROUP BY doc_id, dim) "
+    "WINDOW p AS (PARTITION BY doc_id)", extra=_TOKVEC_SQL))
 def q_masked_mean(spark, sf):
     return V.masked_mean_pool(_token_vectors(spark, sf))
 
