@@ -25,7 +25,10 @@ KERNEL_ORDER = ["linear", "rbf", "poly", "sigmoid"]
 GAMMA_ORDER = ["scale", "auto"]
 MODEL_ORDER = ["rf", "ridge", "lasso", "svm", "torch"]
 EMBEDDING_ORDER = ["tfidf", "bert", "llama"]
+#: Trial numbers of one block of the running best.
+BLOCK = 4096
 TOP_SORT_FALLBACK = ["val_mse", "val_mae", "val_r2_score", "start_time"]
+TARGET_PATTERNS = ("response_time", "response", "time", "latency", "duration", "y", "target", "label", "output")
 START_FMT = "yyyy-MM-dd HH:mm:ss"
 
 
@@ -54,11 +57,24 @@ def scan_runs(runs: DataFrame, model_type: str | None = None, order_metric: str
 
 
 def runs_long(runs: DataFrame) -> DataFrame:
-    """Params and metrics as long (run_id, kind, key, value) rows for logging sinks."""
-    p = runs.select("run_id", F.lit("param").alias("kind"), F.explode("params").alias("key", "svalue"))
+    """Params and metrics as long (run_id, kind, key, svalue, dvalue) rows for logging
+    sinks: a param has its string, a metric its number."""
+    p = runs.select("run_id", F.lit("param").alias("kind"), F.explode("params").alias("key", "svalue"),
+                    ).withColumn("dvalue", F.lit(None).cast("double"))
     m = runs.select("run_id", F.lit("metric").alias("kind"), F.explode("metrics").alias("key", "dvalue"))
-    return (p.select("run_id", "kind", "key", F.col("svalue").alias("value"))
-            .unionByName(m.select("run_id", "kind", "key", F.col("dvalue").cast("string").alias("value"))))
+    return p.unionByName(m.withColumn("svalue", F.lit(None).cast("string")))
+
+
+def history_long(history: DataFrame) -> DataFrame:
+    """Per-epoch history rows for the sink; values that are null or NaN are not logged."""
+    return (history.where(F.col("value").isNotNull() & ~F.isnan("value"))
+            .select("run_id", F.lit("history").alias("kind"), "key", "step", F.col("value").alias("dvalue")))
+
+
+def interval_long(intervals: DataFrame) -> DataFrame:
+    """Confidence intervals (metric_name, model, ci_lower, ci_upper) as three metric rows."""
+    return intervals.selectExpr("model", "stack(3, concat(metric_name, '_ci_lower'), ci_lower, concat(metric_name, '_ci_upper'), "
+                                "ci_upper, concat(metric_name, '_ci_width'), ci_upper - ci_lower) AS (key, dvalue)")
 
 
 def summary_frame(runs: DataFrame) -> DataFrame:
@@ -126,6 +142,22 @@ def normalize_bool(c: Column) -> Column:
     return F.when(c.isin(*TRUE_STRINGS), F.lit(True)).when(c.isin(*FALSE_STRINGS), F.lit(False))
 
 
+def normalized_or_named(runs: DataFrame) -> DataFrame:
+    """P8 with its fallback: ``normalize_targets`` of the params; where it is absent, true if the
+    run name says ``norm=true``, else false."""
+    named = F.col("run_name").contains("norm=true")
+    flag = F.when(param("normalize_targets").isNull(), F.coalesce(named, F.lit(False))).otherwise(
+        normalize_bool(param("normalize_targets")))
+    return runs.select("run_id", flag.alias("normalize_targets"))
+
+
+def prepare_linear_runs(runs: DataFrame) -> DataFrame:
+    """P9 for linear models: ridge and lasso runs with an embedding; alpha as a number."""
+    return (runs.where(param("model_type").isin("ridge", "lasso") & param("embedding").isNotNull())
+            .select("run_id", param("model_type").alias("model_type"), param("embedding").alias("embedding"),
+                    coerce_numeric(param("alpha")).alias("alpha")))
+
+
 def prepare_rf_runs(runs: DataFrame) -> DataFrame:
     """P5-P9 as in the forest figure script: rf runs only, params filled from the run
     name when missing (keys n_estimators, max_depth, embedding, normalize; names carry
@@ -146,8 +178,7 @@ def prepare_rf_runs(runs: DataFrame) -> DataFrame:
     return df.where(F.col("embedding").isNotNull() & F.col("n_estimators").isin(*VALID_N_ESTIMATORS))
 
 
-def detect_target(columns: Sequence[str], patterns: Sequence[str] = (
-        "response_time", "response", "time", "latency", "duration", "y", "target", "label", "output")) -> str:
+def detect_target(columns: Sequence[str], patterns: Sequence[str] = TARGET_PATTERNS) -> str:
     """P10 (schema-time): first column whose lower-case name contains a pattern, else the last."""
     for c in columns:
         if any(p in c.lower() for p in patterns):
@@ -155,11 +186,27 @@ def detect_target(columns: Sequence[str], patterns: Sequence[str] = (
     return columns[-1]
 
 
+def feature_columns(columns: Sequence[str], patterns: Sequence[str] = TARGET_PATTERNS) -> list[str]:
+    """P10: the columns that are features - none whose name contains a target pattern (they
+    would leak the target), and not the target."""
+    target = detect_target(columns, patterns)
+    return [c for c in columns if c != target and not any(p in c.lower() for p in patterns)]
+
+
 def metric_lookup(name: str) -> Column:
     """``m``, else ``m_avg``, else +inf."""
     return F.coalesce(metric(name), metric(name + "_avg"), F.lit(float("inf")))
 
 
+def pairwise_metric(runs: DataFrame, name: str, suffixes: Sequence[str] = ("_avg", "_min", "_max")) -> DataFrame:
+    """P11 for comparisons: the first suffix whose metric every run carries (else none):
+    (run_id, metric, value); one aggregate decides."""
+    row = runs.agg(*[(F.count(metric(name + s)) == F.count(F.lit(1))).alias(s) for s in suffixes]).first()
+    chosen = next((name + s for s in suffixes if row[s]), None)
+    out = runs if chosen else runs.where(F.lit(False))
+    return out.select("run_id", F.lit(chosen or name).alias("metric"), metric(chosen or name).alias("value"))
+
+
 def run_durations(runs: DataFrame) -> DataFrame:
     """Epoch-ms to timestamp, formatted string and duration in minutes (null end stays null)."""
     return runs.select("run_id", F.timestamp_millis("start_time_ms").alias("start_ts"),
@@ -172,9 +219,10 @@ def run_label(embedding: Column, model: Column) -> Column:
     return F.concat_ws(" + ", embedding, model)
 
 
-def experiment_prefix(runs: DataFrame) -> DataFrame:
-    """Deterministic part of the experiment id: model_embedding_mode plus model-specific
-    key parameters (the timestamp and uuid suffix are appended at run time)."""
+def experiment_prefix(runs: DataFrame, kind: str | None = None) -> DataFrame:
+    """Deterministic part of the experiment id: model_embedding_mode plus the suffix of a
+    kind of study (``arch_compare``, ``arch_opt_<architecture>``, ``hyper_opt``), else the
+    model-specific key parameters (the timestamp and uuid are appended at run time)."""
     m = param("model")
     base = F.concat_ws("_", m, param("embedding"), param("prediction_mode"))
     torch_arch = F.when(m == "torch", F.concat(F.lit("_"), F.coalesce(param("architecture"), F.lit("mlp"))))
@@ -183,6 +231,10 @@ def experiment_prefix(runs: DataFrame) -> DataFrame:
              .when(m == "svm", F.concat(F.lit("_C"), param("C"), F.lit("_eps"), F.coalesce(param("epsilon"), F.lit("0.1")),
                                         F.lit("_"), param("kernel")))
              .when(m == "torch", F.concat(F.lit("_b"), param("batch_size"), F.lit("_e"), param("epochs"))))
+    if kind is not None:
+        tail = F.concat(F.lit("_arch_opt_"), F.coalesce(param("architecture"), F.lit("mlp"))) if kind == "arch_opt" \
+            else F.lit(f"_{kind}")
+        return runs.select("run_id", F.concat(base, tail).alias("experiment_prefix"))
     return runs.select("run_id", F.concat(base, F.coalesce(torch_arch, F.lit("")), F.coalesce(extra, F.lit("")))
                        .alias("experiment_prefix"))
 
@@ -344,10 +396,16 @@ def grid_from_dimensions(dims: DataFrame, names: Sequence[str]) -> DataFrame:
 
 def best_so_far(trials: DataFrame, value: str = "value") -> DataFrame:
     """Running minimum of the objective over trial numbers per study (failed trials,
-    value null, do not change it).  A study holds n_trials rows.  A range frame makes
-    rows sharing a trial number see the same value."""
-    w = Window.partitionBy("study").orderBy("number").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    return trials.select("study", "number", F.min(value).over(w).alias("best_so_far"))
+    value null, do not change it).  Rows are windowed within blocks of numbers; the best of
+    all earlier blocks comes from one row a block, so a study is not one task.  A range
+    frame makes rows sharing a trial number see the same value."""
+    t = trials.select("study", "number", F.col(value).alias("_v"), F.floor(F.col("number") / BLOCK).alias("_block"))
+    before = Window.partitionBy("study").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = (t.groupBy("study", "_block").agg(F.min("_v").alias("_m"))
+               .select("study", "_block", F.min("_m").over(before).alias("_earlier")))
+    w = Window.partitionBy("study", "_block").orderBy("number").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return (t.withColumn("_in", F.min("_v").over(w)).join(earlier, ["study", "_block"])
+            .select("study", "number", F.least("_in", "_earlier").alias("best_so_far")))
 
 
 def early_stop(history: DataFrame, key: str = "val_loss", patience: int = 30) -> DataFrame:
@@ -358,8 +416,9 @@ def early_stop(history: DataFrame, key: str = "val_loss", patience: int = 30) ->
     h = h.withColumn("_best_before", F.min("value").over(w_prev))
     h = h.withColumn("_improved", F.col("_best_before").isNull() | (F.col("value") < F.col("_best_before")))
     w_run = Window.partitionBy("run_id").orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    h = h.withColumn("_last_imp", F.max(F.when(F.col("_improved"), F.col("step"))).over(w_run))
-    h = h.withColumn("_since", F.col("step") - F.col("_last_imp"))
+    h = h.withColumn("_seen", F.row_number().over(Window.partitionBy("run_id").orderBy("step")))  # observed epochs
+    h = h.withColumn("_last_imp", F.max(F.when(F.col("_improved"), F.col("_seen"))).over(w_run))
+    h = h.withColumn("_since", F.col("_seen") - F.col("_last_imp"))
     return h.groupBy("run_id").agg(
         F.min("value").alias("best_value"),
         F.min_by("step", F.struct("value", "step")).alias("best_epoch"),

@@ -127,8 +127,25 @@ def exact_split(df: DataFrame, keys: Sequence[str], layout: str = "70_15_15", se
     if not boundary:
         return plain.drop("_h", "_b")
 
-    offsets = F.create_map(*[x for b, off in boundary.items() for x in (F.lit(b), F.lit(off))])
+    # rows of the few boundary buckets are ranked to find the hashes that begin each split
+    # (and those before them); a label is then a comparison with literals
     w = Window.partitionBy("_b").orderBy("_h", *keys)
+    cuts = [ub for ub in bounds[:-1] if 0 < ub < n]
+    want = [(b, ub - off) for ub in cuts for b, off, end in _spans(counts) if off <= ub < end]
+    wanted = {(b, r) for b, k in want for r in (k - 1, k)}
+    edge = (keyed.where(F.col("_b").isin(sorted({b for b, _ in want}))).withColumn("_r", F.row_number().over(w) - 1)
+            .where(F.struct("_b", "_r").isin([F.struct(F.lit(b), F.lit(r)) for b, r in sorted(wanted)]))
+            .select("_b", "_r", "_h").collect())
+    found = {(r["_b"], r["_r"]): r["_h"] for r in edge}
+    if all(found.get((b, k - 1)) != found[b, k] for b, k in want):
+        expr = F.lit(labels[-1])
+        for (b, k), ub in sorted(zip(want, cuts, strict=True), key=lambda p: -p[1]):
+            # of equal bounds (an empty split) the later label never applies
+            expr = F.when(F.col("_h") < found[b, k], F.lit(labels[bounds.index(ub)])).otherwise(expr)
+        return keyed.withColumn(out_col, expr).drop("_h", "_b")
+
+    # equal keys stand on both sides of a cut: rank those buckets' rows one by one
+    offsets = F.create_map(*[x for b, off in boundary.items() for x in (F.lit(b), F.lit(off))])
     ranked = keyed.where(F.col("_b").isin(list(boundary)))
     ranked = ranked.withColumn("_rank", F.element_at(offsets, F.col("_b")) + F.row_number().over(w) - 1)
     ridx = None
@@ -138,6 +155,15 @@ def exact_split(df: DataFrame, keys: Sequence[str], layout: str = "70_15_15", se
     return plain.unionByName(ranked).drop("_h", "_b")
 
 
+def _spans(counts: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """(bucket, first rank, end rank) of each bucket."""
+    out, start = [], 0
+    for b, c in counts:
+        out.append((b, start, start + c))
+        start += c
+    return out
+
+
 def split_sql(table: str, keys: Sequence[str], layout: str = "70_15_15", seed: int = 42,
               out_col: str = "split") -> str:
     """DuckDB twin (global row_number) used as the oracle for :func:`exact_split`."""

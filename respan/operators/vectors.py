@@ -127,11 +127,12 @@ def last_layer_head_mean(edges: DataFrame) -> DataFrame:
     return s.join(heads, "doc").select("doc", "from_pos", "to_pos", (F.col("sw") / F.col("_h")).alias("w"))
 
 
-def token_importance(edges: DataFrame, top_k: int = 10, seq_len: int = 16) -> DataFrame:
+def token_importance(edges: DataFrame, top_k: int = 10) -> DataFrame:
     """T17 + W13: mean attention each position receives in the last layer (heads
-    averaged, missing edges count as 0 over ``seq_len`` sources), top-k per document."""
+    averaged, missing edges count as 0 over the document's positions), top-k per document."""
     m = last_layer_head_mean(edges)
-    recv = m.groupBy("doc", "to_pos").agg((F.sum("w") / F.lit(float(seq_len))).alias("importance"))
+    size = edges.groupBy("doc").agg((F.greatest(F.max("from_pos"), F.max("to_pos")) + 1).alias("_n"))
+    recv = m.join(size, "doc").groupBy("doc", "to_pos").agg((F.sum("w") / F.max("_n")).alias("importance"))
     w = Window.partitionBy("doc").orderBy(F.col("importance").desc(), F.col("to_pos"))
     return recv.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)
 

@@ -505,3 +505,16 @@ def q_cross_validate(spark, sf):
     "features", extra=_cv_sql("ridge_1d")))
 def q_cv_summary(spark, sf):
     return M.cv_summary(_cv(spark, sf, "ridge_1d"))
+
+
+@register("cross_validate_ridge", f"""SELECT CAST(fold AS INTEGER) AS fold, metric, true AS sane FROM range(0, {_K}) t(fold),
+    (SELECT unnest(['mse', 'mae', 'r2']) AS metric)""")
+def q_cv_ridge(spark, sf):
+    """M9 with ridge on all features: scores of every fold; training rows are explained at
+    least as well as by their mean, test errors are not negative."""
+    from respan.operators.gram import cross_validate_ridge
+    f = C.features(spark, sf).select("row_id", "x", F.col("target").alias("y"))
+    out = cross_validate_ridge(CV.stratified_folds(f, "row_id", "y", _K), "x", "y")
+    ok = F.when(F.col("metric") == "r2", F.col("train_score") >= -1e-9).otherwise(
+        (F.col("train_score") >= 0) & (F.col("test_score") >= 0))
+    return out.select("fold", "metric", ok.alias("sane"))

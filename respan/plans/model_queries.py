@@ -104,6 +104,23 @@ def q_learning_curve(spark, sf):
     return MD.learning_curve(d.where(F.col("split") == "train"), d.where(F.col("split") == "val"), "row_id", "x1", "y")
 
 
+@register("learning_curve_ridge", _fx(
+    """SELECT CAST(fraction AS DOUBLE) AS fraction, CAST(n_f AS INTEGER) AS n, split, metric, true AS sane FROM nf,
+         (SELECT unnest(['train', 'val', 'test']) AS split), (SELECT unnest(['mse', 'mae', 'r2']) AS metric)""",
+    "features", extra=_LC_SQL))
+def q_learning_curve_ridge(spark, sf):
+    """M16 on all 64 features: metrics of train, validation and test for each prefix; on train
+    the error is at most that of the mean."""
+    from respan.operators.gram import learning_curve_ridge
+    d = _feat_split(spark, sf)
+    ranked = MD._global_hash_rank(d.where(F.col("split") == "train"), "row_id", 42)
+    out = learning_curve_ridge(ranked, {k: d.where(F.col("split") == k) for k in ("val", "test")}, "x", "y", "_rank",
+                               MD.LEARNING_CURVE_FRACTIONS)
+    ok = F.when((F.col("split") == "train") & (F.col("metric") == "r2"), F.col("value") >= -1e-9).otherwise(
+        (F.col("metric") == "r2") | (F.col("value") >= 0))
+    return out.select("fraction", "n", "split", "metric", ok.alias("sane"))
+
+
 _DRAWS_SQL = """
 dr AS (SELECT row_id, yhat + ((row_id * (d + 3)) % 17 - 8) / 10.0 AS pred
        FROM model_predictions, range(0, 10) t(d) WHERE model = 'm0')

@@ -62,11 +62,54 @@ _METRIC_KEYS = C.RUN_METRIC_KEYS
     "UNION ALL SELECT run_id, 'metric', key, NULL, " + r6("dvalue") + " FROM (UNPIVOT (SELECT run_id, "
     + ", ".join(_METRIC_KEYS) + f" FROM {W}) ON " + ", ".join(_METRIC_KEYS) + " INTO NAME key VALUE dvalue)", W))
 def q_log_runs_long(spark, sf):
+    return R.runs_long(_runs(spark, sf))
+
+
+@register("log_history_long", _fx(
+    f"SELECT run_id, 'history' AS kind, key, step, {r6('value', 'dvalue')} FROM metric_history "
+    "WHERE value IS NOT NULL AND step % 3 <> 0", "metric_history"))
+def q_log_history(spark, sf):
+    """History rows for the sink; every third step is made NaN and must be skipped."""
+    h = C.metric_history(spark, sf)
+    return R.history_long(h.withColumn("value", F.when(F.col("step") % 3 == 0, F.lit(float("nan"))).otherwise(F.col("value"))))
+
+
+@register("normalize_from_name", _fx(
+    f"""SELECT run_id, CASE WHEN normalize_targets IS NULL THEN contains(run_name, 'norm=true')
+              WHEN normalize_targets IN ('true', 'True') THEN true WHEN normalize_targets IN ('false', 'False') THEN false END
+              AS normalize_targets FROM {W}""", W))
+def q_normalize_from_name(spark, sf):
+    """P8 with the run-name fallback."""
+    return R.normalized_or_named(_runs(spark, sf))
+
+
+@register("whitelist_linear_runs", _fx(
+    f"SELECT run_id, model_type, embedding, {r6('try_cast(alpha AS DOUBLE)', 'alpha')} FROM {W} "
+    "WHERE model_type IN ('ridge', 'lasso') AND embedding IS NOT NULL", W))
+def q_whitelist_linear(spark, sf):
+    """P9 for the linear models."""
+    return R.prepare_linear_runs(_runs(spark, sf))
+
+
+@register("pairwise_metric", _fx(f"SELECT run_id, 'val_mse_avg' AS metric, {r6('val_mse_avg', 'value')} FROM {W} "
+                                 "WHERE val_mse_avg IS NOT NULL", W))
+def q_pairwise_metric(spark, sf):
+    """P11 for comparisons, over the runs that carry the metric."""
     r = _runs(spark, sf)
-    p = r.select("run_id", F.lit("param").alias("kind"), F.explode("params").alias("key", "svalue"))
-    m = r.select("run_id", F.lit("metric").alias("kind"), F.explode("metrics").alias("key", "dvalue"))
-    return (p.withColumn("dvalue", F.lit(None).cast("double"))
-            .unionByName(m.withColumn("svalue", F.lit(None).cast("string"))))
+    return R.pairwise_metric(r.where(R.metric("val_mse_avg").isNotNull()), "val_mse")
+
+
+@register("experiment_prefix_kinds", _fx(
+    f"SELECT run_id, kind, concat_ws('_', model_type, embedding, 'summary') || "
+    f"CASE kind WHEN 'arch_opt' THEN '_arch_opt_mlp' ELSE '_' || kind END AS experiment_prefix FROM {W}, "
+    "(SELECT unnest(['arch_compare', 'arch_opt', 'hyper_opt']) AS kind)", W))
+def q_prefix_kinds(spark, sf):
+    """P14 for the three kinds of study."""
+    r, out = _runs(spark, sf), None
+    for kind in ("arch_compare", "arch_opt", "hyper_opt"):
+        one = R.experiment_prefix(r, kind).withColumn("kind", F.lit(kind))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @register("project_run_params", _fx(f"SELECT {_SUMMARY_COLS} FROM sm", W, extra=_SUMMARY_SQL))
@@ -524,15 +567,15 @@ def q_param_importance(spark, sf):
 
 @register("early_stop_epoch", _fx(
     """SELECT run_id, """ + r6("min(value)", "best_value") + """, arg_min(step, (value, step)) AS best_epoch,
-         CAST(min(CASE WHEN since >= 30 THEN step END) AS DOUBLE) AS stop_epoch, max(step) AS last_epoch
-       FROM (SELECT *, step - max(CASE WHEN improved THEN step END) OVER (PARTITION BY run_id ORDER BY step
+         CAST(min(CASE WHEN since >= 2 THEN step END) AS DOUBLE) AS stop_epoch, max(step) AS last_epoch
+       FROM (SELECT *, seen - max(CASE WHEN improved THEN seen END) OVER (PARTITION BY run_id ORDER BY step
                                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS since
-             FROM (SELECT *, (min(value) OVER (PARTITION BY run_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) IS NULL
+             FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY step) AS seen, (min(value) OVER (PARTITION BY run_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) IS NULL
                              OR value < min(value) OVER (PARTITION BY run_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS improved
                    FROM metric_history WHERE key = 'val_loss'))
        GROUP BY run_id""", "metric_history"))
 def q_early_stop(spark, sf):
-    out = R.early_stop(C.metric_history(spark, sf), "val_loss", patience=30)
+    out = R.early_stop(C.metric_history(spark, sf), "val_loss", patience=2)
     return out.withColumn("stop_epoch", F.col("stop_epoch").cast("double"))
 
 

@@ -179,10 +179,12 @@ def q_metadata(spark, sf):
 
 @register("blank_documents", _fx(
     "SELECT doc_id, trim(text) = '' AS is_blank, CASE WHEN trim(text) = '' THEN ' ' ELSE 'text' END AS bert_input, "
-    "CASE WHEN trim(text) = '' THEN 'zero' ELSE 'encode' END AS llama_path FROM documents"))
+    "CASE WHEN trim(text) = '' THEN 'zero' ELSE 'encode' END AS llama_path FROM (SELECT doc_id, "
+    "CASE WHEN doc_id % 7 = 0 THEN '  ' ELSE text END AS text FROM documents)"))
 def q_blank(spark, sf):
-    """Blank-document rule (BERT embeds ' ', LLaMA returns a zero vector)."""
-    d = _docs(spark, sf)
+    """Blank-document rule (BERT embeds ' ', LLaMA returns a zero vector); every
+    seventh text is made blank."""
+    d = _docs(spark, sf).withColumn("text", F.when(F.col("doc_id") % 7 == 0, "  ").otherwise(F.col("text")))
     blank = F.trim(F.col("text")) == ""
     return d.select("doc_id", blank.alias("is_blank"), F.when(blank, " ").otherwise("text").alias("bert_input"),
                     F.when(blank, "zero").otherwise("encode").alias("llama_path"))
@@ -286,7 +288,7 @@ hm AS (SELECT doc, from_pos, to_pos, sum(w) / max(h) AS w FROM (
 @register("token_importance", _fx(
     f"""SELECT doc, to_pos, {r6('importance', 'importance')}, CAST(rank AS INTEGER) AS rank FROM (
           SELECT *, row_number() OVER (PARTITION BY doc ORDER BY importance DESC, to_pos) AS rank FROM (
-            SELECT doc, to_pos, sum(w) / 16.0 AS importance FROM hm GROUP BY doc, to_pos)) WHERE rank <= 10""",
+            SELECT doc, to_pos, sum(w) / max(n) AS importance FROM hm JOIN (SELECT doc, greatest(max(from_pos), max(to_pos)) + 1 AS n FROM attention_edges GROUP BY doc) USING (doc) GROUP BY doc, to_pos)) WHERE rank <= 10""",
     "attention_edges", extra=_LAST_LAYER_SQL))
 def q_token_importance(spark, sf):
     return V.token_importance(C.attention_edges(spark, sf)).withColumn("rank", F.col("rank").cast("int"))
