@@ -139,7 +139,7 @@ def duplicate_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     """(doc, key, start, mask): window ``start + i`` of the row (doc, key) is a duplicate if
     bit ``i`` of ``mask`` is set; blocks without any are left out."""
     spark = docs.sparkSession
-    bound_batches(spark)
+    bound_batches(spark, 6 * 1024 * 1024)
     rows = _rows(docs, doc_id, text)
     seen = (_anchors(rows, window, gram).groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
             .where("lo < hi").select("anchor"))
