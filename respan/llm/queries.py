@@ -92,3 +92,20 @@ def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = crc_mod("doc_id", 5) == 1
     out = score(table(spark, sf_dir, "documents"), ~held)
     return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+ORACLE["op10_substring_dedup"] = r"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS t
+           FROM documents),
+p AS (SELECT doc_id, t, unnest(range(1, len(t) - 11)) AS i FROM w),
+g AS (SELECT doc_id, i, array_to_string(list_slice(t, i, i + 12), ' ') AS gram FROM p),
+f AS (SELECT gram, min(doc_id) AS first_doc FROM g GROUP BY gram),
+gone AS (SELECT DISTINCT doc_id, i + k AS pos FROM g JOIN f USING (gram), range(0, 13) r(k) WHERE first_doc < doc_id),
+words AS (SELECT doc_id, unnest(t) AS word, generate_subscripts(t, 1) AS pos FROM w),
+kept AS (SELECT words.doc_id, count(*) FILTER (WHERE gone.pos IS NOT NULL) AS n_removed,
+                string_agg(word, ' ' ORDER BY words.pos) FILTER (WHERE gone.pos IS NULL) AS text
+         FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.pos = words.pos GROUP BY words.doc_id)
+SELECT w.doc_id, CAST(len(t) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
+"""
