@@ -92,7 +92,8 @@ def fit_transform_tfidf(docs: DataFrame, is_train, key: str = "doc_id", text: st
     """Fit on the training rows and weight *all* rows from one tokenisation pass: the
     term counts are written once below the shared checkpoint folder, and both the
     vocabulary and the weights read that table."""
-    tf = term_counts(docs.withColumn("_train", is_train), key, text, list(keep) + ["_train"])
+    # texts move once, by document: the counts of (document, term) need no further shuffle
+    tf = term_counts(docs.withColumn("_train", is_train).repartition(key), key, text, list(keep) + ["_train"])
     spark = docs.sparkSession
     path = scratch_path(spark, f"term-counts-{uuid.uuid4().hex}")
     tf.write.parquet(path)
