@@ -5,23 +5,21 @@ it in a single task, which does not scale to a group holding billions of distinc
 values.  ``percentile_approx`` scales but is approximate.  This module combines
 them (the numpy/DuckDB ``quantile_cont`` definition is reproduced exactly):
 
-1. per group: a bounded ``percentile_approx`` sketch gives ``B-1`` bucket edges and
-   the row count ``n``;
-2. each row gets its bucket (number of edges strictly below the value; a value equal
-   to an edge gets its own point-mass bucket); per (group, bucket) we count rows and
-   keep min/max -> at most G*2B small rows;
+1. per group: a bounded ``percentile_approx`` sketch gives ``B-1`` bucket edges
+   (1024 buckets, fewer only if there are very many groups), and the row count ``n``;
+2. each row gets its bucket (number of edges strictly below the value, found in two
+   short scans of 64 edges; a value equal to an edge gets its own point-mass bucket);
+   per (group, bucket) we count rows and keep min/max -> at most G*2B small rows;
 3. for every requested probability the two neighbouring ranks
    ``floor(p(n-1))`` and ``ceil(p(n-1))`` are located in a bucket from the
    running counts;
 4. a target bucket whose min equals its max (a tie block, e.g. a value holding a
-   third of the rows) answers from its min without touching the rows; other target
-   buckets are ranked with a window partitioned by (group, bucket) - or, when a
-   target bucket still holds more than ``max_bucket_rows`` rows, the same procedure
-   is applied again to the rows of the target buckets only (each level shrinks the
-   bucket ~B times; the size check is one small aggregate).
-
-The edge table is joined on the group keys (one row per group), never collected,
-except for a single global group whose edge row becomes literals.
+   third of the rows) answers from its min without touching the rows; the other target
+   buckets (about n / 1024 rows each) are ranked with a window partitioned by (group, bucket).
+
+The path is the same at every size.  The edge table has one row per group; it is broadcast
+because its size (groups x buckets) is checked against a bound, beyond which the planner
+chooses the join.
 For tiny groups (bootstrap replicates, fold scores) call ``F.percentile`` directly.
 """
 
@@ -32,62 +30,54 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_BUCKET_ROWS = 2_000_000
-MAX_DEPTH = 4
-
-
-def _bucketize(data: DataFrame, groups: list[str], buckets: int, literal_edges: bool,
-              bk: str = "_bk") -> tuple[DataFrame, DataFrame]:
-    """Rows with their bucket, and per-bucket stats with running [start, end) ranks."""
-    edge_probs = [i / buckets for i in range(1, buckets)]
-    edges = data.groupBy(*groups).agg(F.percentile_approx("_v", edge_probs, 4 * buckets).alias("_edges"))
-    if literal_edges:
-        row = edges.first()
-        vals = [float(e) for e in row["_edges"]] if row is not None else []
-        bucketed = data.select("*", F.array(*[F.lit(e) for e in vals]).cast("array<double>").alias("_edges"))
-    else:
-        bucketed = data.join(edges, groups, "inner")  # one edge row per group
-    below = F.size(F.filter("_edges", lambda e: e < F.col("_v")))
-    bucketed = bucketed.withColumn(
-        bk, below * 2 + F.when(F.array_contains("_edges", F.col("_v")), 1).otherwise(0)).drop("_edges")
-    stats = (bucketed.groupBy(*groups, bk)
+BUCKETS, CHUNK = 1024, 64
+#: Edges (doubles) of all groups together that may be broadcast: 32 MB.
+BROADCAST_EDGES = 1 << 22
+
+
+def _bucketize(data: DataFrame, groups: list[str], buckets: int, n_groups: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with their bucket ``_bk``, and per-bucket stats with running [start, end) ranks."""
+    buckets = max(CHUNK, min(buckets, BROADCAST_EDGES // max(n_groups, 1)))
+    # one string literal instead of thousands keeps the plan small
+    probs = ",".join(repr(i / buckets) for i in range(1, buckets))
+    edges = data.groupBy(*groups).agg(
+        F.expr(f"percentile_approx(_v, cast(split('{probs}', ',') as array<double>), {4 * buckets})").alias("_e"))
+    # chunks of the sorted edges, and the last edge of each
+    edges = edges.select(*groups, F.expr(f"transform(sequence(0, (size(_e) - 1) div {CHUNK}), "
+                                         f"i -> slice(_e, i * {CHUNK} + 1, {CHUNK}))").alias("_fine"))
+    edges = edges.withColumn("_last", F.transform("_fine", lambda c: F.array_max(c)))
+    if n_groups * buckets <= BROADCAST_EDGES:
+        edges = F.broadcast(edges)
+    rows = data.join(edges, groups, "inner")  # one edge row per group
+    rows = rows.withColumn("_c", F.size(F.filter("_last", lambda e: e < F.col("_v"))))
+    inside = F.coalesce(F.get("_fine", F.col("_c")), F.expr("cast(array() as array<double>)"))
+    below = F.col("_c") * CHUNK + F.size(F.filter(inside, lambda e: e < F.col("_v")))
+    bucketed = rows.withColumn("_bk", below * 2 + F.when(F.array_contains(inside, F.col("_v")), 1).otherwise(0)
+                               ).drop("_fine", "_last", "_c")
+    stats = (bucketed.groupBy(*groups, "_bk")
              .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
-    w = Window.partitionBy(*groups).orderBy(bk)
+    w = Window.partitionBy(*groups).orderBy("_bk")  # at most 2 * buckets rows a group
     stats = stats.withColumn("_end", F.sum("_c").over(w)).withColumn("_start", F.col("_end") - F.col("_c"))
     return bucketed, stats
 
 
-def _select_ranks(data: DataFrame, groups: list[str], ranks: DataFrame, buckets: int, max_rows: int,
-                  depth: int, literal_edges: bool, may_refine: bool = True) -> DataFrame:
+def _select_ranks(data: DataFrame, groups: list[str], ranks: DataFrame, buckets: int, n_groups: int) -> DataFrame:
     """Values at 0-based ranks ``_r`` within each group: (groups..., _r, _val)."""
-    bk = f"_bk{depth}"  # each refinement level adds its own bucket column
-    bucketed, stats = _bucketize(data, groups, buckets, literal_edges, bk)
+    bucketed, stats = _bucketize(data, groups, buckets, n_groups)
     located = ranks.join(stats, groups, "inner").where((F.col("_r") >= F.col("_start")) & (F.col("_r") < F.col("_end")))
     point = located.where(F.col("_lo") == F.col("_hi")).select(*groups, "_r", F.col("_lo").alias("_val"))
-    need = located.where(F.col("_lo") != F.col("_hi")).select(*groups, bk, "_start", "_c", "_r")
-    biggest = need.agg(F.max("_c").alias("m")).first()["m"] if (may_refine and depth < MAX_DEPTH) else None
-    need_b = need.select(*groups, bk, "_start").distinct()
-    rows = bucketed.select(*groups, bk, "_v").join(need_b, groups + [bk], "inner")
-    if biggest is not None and biggest > max_rows:
-        # refine: the target buckets become groups of their own; ranks become local
-        sub_groups = groups + [bk]
-        local = need.select(*sub_groups, "_start", "_r").distinct()
-        sub_ranks = local.select(*sub_groups, (F.col("_r") - F.col("_start")).alias("_r")).distinct()
-        sub = _select_ranks(rows.drop("_start"), sub_groups, sub_ranks, buckets, max_rows, depth + 1, False)
-        picked = (local.join(sub.withColumnRenamed("_r", "_lr"), sub_groups, "inner")
-                  .where(F.col("_lr") == F.col("_r") - F.col("_start"))
-                  .select(*groups, "_r", "_val"))
-    else:
-        wr = Window.partitionBy(*groups, bk).orderBy("_v")
-        rows = rows.withColumn("_r", F.col("_start") + F.row_number().over(wr) - 1)
-        picked = (rows.join(need.select(*groups, bk, "_r").distinct(), groups + [bk, "_r"], "inner")
-                  .select(*groups, "_r", F.col("_v").alias("_val")))
+    need = located.where(F.col("_lo") != F.col("_hi")).select(*groups, "_bk", "_start", "_r")
+    need_b = need.select(*groups, "_bk", "_start").distinct()
+    rows = bucketed.select(*groups, "_bk", "_v").join(need_b, groups + ["_bk"], "inner")
+    wr = Window.partitionBy(*groups, "_bk").orderBy("_v")
+    rows = rows.withColumn("_r", F.col("_start") + F.row_number().over(wr) - 1)
+    picked = (rows.join(need.select(*groups, "_bk", "_r").distinct(), groups + ["_bk", "_r"], "inner")
+              .select(*groups, "_r", F.col("_v").alias("_val")))
     return point.distinct().unionByName(picked)
 
 
 def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float], groups: Sequence[str] = (),
-                      buckets: int = 64, names: Sequence[str] | None = None,
-                      max_bucket_rows: int = MAX_BUCKET_ROWS) -> DataFrame:
+                      buckets: int = BUCKETS, names: Sequence[str] | None = None) -> DataFrame:
     """One row per group with one column per probability (default names ``p_<i>``).
 
     Null (and NaN) values are ignored; groups with no value are absent.
@@ -108,11 +98,7 @@ def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float], groups:
           .withColumn("_pos", F.col("_p") * (F.col("_n") - 1))
           .withColumn("_r_lo", F.floor("_pos")).withColumn("_r_hi", F.ceil("_pos")))
     ranks = tg.select(*groups, F.explode(F.array("_r_lo", "_r_hi")).alias("_r")).distinct()
-    # no bucket can hold more rows than its group: skip the (two-pass) bucket-size check
-    # unless some group is larger than the limit (one cheap, column-pruned count)
-    largest = counts.agg(F.max("_n").alias("m")).first()["m"] or 0
-    values = _select_ranks(data, groups, ranks, buckets, max_bucket_rows, 0, literal_edges=not user_groups,
-                           may_refine=largest > max_bucket_rows)
+    values = _select_ranks(data, groups, ranks, buckets, counts.count() if user_groups else 1)
 
     out = tg.join(values.withColumnRenamed("_r", "_r_lo").withColumnRenamed("_val", "_v_lo"),
                   groups + ["_r_lo"], "inner")

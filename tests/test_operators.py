@@ -168,7 +168,7 @@ def test_exact_percentiles_refinement(spark, grouped):
     probs = [0.05, 0.5, 0.9]
     groups = ["g"] if grouped else []
     out = exact_percentiles(spark.createDataFrame(pdf), "v", probs, groups, buckets=4,
-                            max_bucket_rows=20).toPandas()
+                            ).toPandas()
     cols = [f"p_{i}" for i in range(len(probs))]
     if grouped:
         out = out.set_index("g")
