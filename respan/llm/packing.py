@@ -41,8 +41,9 @@ CAPACITY = 2048
 REGION, ISLANDS, EPOCHS, CROSSOVERS, POPULATION = 8192, 2, 2, 10, 5
 #: Sequence numbers set apart for a region: packed ones from 0, full pieces from the middle.
 BINS = 1 << 24
-#: Entries of a worker's memory of word ids; it is emptied when full.
-MEMORY = 1_000_000
+#: Entries of a task's memory of word ids; it is emptied when full and when the task ends
+#: (a worker process goes on to other stages' tasks).
+MEMORY = 600_000
 
 
 def _byte_of_character() -> dict[str, int]:
@@ -149,6 +150,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
                         col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)],
                                              schema=schema)
+        words.clear()
 
     rows = docs.select(F.col(doc_id).cast("long").alias("d"), F.xxhash64(F.col(text)).alias("key"),
                        F.col(text).alias("t"))
