@@ -31,12 +31,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from respan.llm import golay
-from respan.llm.util import batched, bound_batches, split_words, stored
+from respan.llm.util import batched, bitmap, bound_batches, in_bitmap, split_words, stored
 
 MAX_BITS = 3
 SHINGLE = 3
@@ -236,12 +237,27 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
              max_bits: int = MAX_BITS) -> DataFrame:
     """``docs`` with one document of each near-duplicate group: the smallest non-null id,
-    among equal ids the smallest text hash, of repeated rows any one."""
+    among equal ids the smallest text hash, of repeated rows any one.
+
+    A bitmap of fixed size has the keys of all rows that go or are repeated.  Rows it does
+    not have stay where they are read; only the others meet the kept keys in a shuffle."""
     rows = stored(fingerprints(docs, doc_id, text, shingle), "simhash-fingerprints")
     best = (rows.join(_component_of_fingerprint(rows, max_bits).select("fp", "component"), "fp")
             .groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("b")))
-    kept = stored(best.select(F.col("b.doc_id").alias("_id"), F.col("b.key").alias("_key")), "simhash-kept")
+    kept = stored(best.select(F.col("b.doc_id").alias("_id1"), F.col("b.key").alias("_key1")), "simhash-kept")
+    each = rows.groupBy("doc_id", "key").count()
+    lone = each.where("count = 1")
+    gone = lone.join(kept, (lone["key"] == kept["_key1"]) & lone["doc_id"].eqNullSafe(kept["_id1"]), "left_anti")
+    suspect = gone.select("key").unionByName(each.where("count > 1").select("key"))
+    words = docs.sparkSession.sparkContext.broadcast(bitmap(suspect, "key", 27))
+
+    @F.pandas_udf("boolean")
+    def suspected(keys: pd.Series) -> pd.Series:
+        return pd.Series(in_bitmap(keys.to_numpy(np.int64).view(np.uint64), words.value))
+
     mine = docs.withColumn("_key0", F.xxhash64(F.col(doc_id).cast("long"), F.col(text).cast("binary")))
-    kept = kept.select(F.col("_id").alias("_id1"), F.col("_key").alias("_key0"))
-    out = mine.join(kept, (mine["_key0"] == kept["_key0"]) & mine[doc_id].cast("long").eqNullSafe(kept["_id1"]), "left_semi")
-    return out.dropDuplicates([doc_id, "_key0"]).select(*docs.columns)
+    mine = mine.withColumn("_maybe0", suspected(F.col("_key0")))
+    some = mine.where("_maybe0")
+    some = some.join(kept, (some["_key0"] == kept["_key1"]) & some[doc_id].cast("long").eqNullSafe(kept["_id1"]), "left_semi")
+    out = mine.where("not _maybe0").unionByName(some.dropDuplicates([doc_id, "_key0"]))
+    return out.select(*docs.columns)
