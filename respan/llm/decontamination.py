@@ -48,47 +48,64 @@ UNITS = frozenset(b"mm cm m km in ft yd mi mg g kg lb lbs oz ml l gal s sec min
 _NUM, _NAME, _UNIT = (np.uint64(x) for x in (0x4E554D, 0x4E414D45, 0x554E4954))
 
 
-class Tokens:
-    """Token table of a worker: hashes and kinds of words by number."""
+class Tokens(dict):
+    """Token table of a task: the number of each word, and by number its canonical hash, the
+    hash of its raw core and flags (1 capitalised, 2 ends a sentence, 4 number or unit)."""
 
     def __init__(self):
-        self.clear()
+        super().__init__()
+        self.forget()
 
-    def clear(self):
-        self.number: dict[bytes, int] = {}
-        self.rows: list[tuple[int, int, int, int]] = []
-        self.table = np.empty((0, 4), np.uint64)
+    def forget(self):
+        self.clear()
+        self.rows: list[tuple[int, int, int]] = []
+        self.canon, self.raw, self.flags = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.uint8)
 
-    def add(self, word: bytes) -> int:
-        import xxhash
-
-        core = word.strip(EDGE) or word
-        low = core.lower()
-        kind = 1 if _NUMBER.fullmatch(core) or low in NUMBER_WORDS else 2 if low in UNITS else 0
-        text = core.decode("utf-8", "replace")
-        capital = int(kind == 0 and len(text) > 1 and text[0].isupper() and not text[1:2].isupper())
-        ends = int(word.rstrip(b"\"')]}>*_")[-1:] in (b".", b"!", b"?", b":"))
-        if kind == 0:
-            low = text.lower().encode()
-        self.rows.append((xxhash.xxh3_64_intdigest(low), xxhash.xxh3_64_intdigest(core), kind, capital | ends << 1))
-        self.number[word] = len(self.rows) - 1
-        return len(self.rows) - 1
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self.rows)
+        self.rows.append(_token(word))
+        return n
 
     def of(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(canonical hashes, raw hashes, is a slot) of a text's words."""
         if len(self.rows) > 600_000:
-            self.clear()
-        get, add = self.number.get, self.add
-        at = [n if (n := get(w)) is not None else add(w) for w in text.split()]
-        if len(self.table) < len(self.rows):
-            new = np.array(self.rows[len(self.table):], np.uint64).reshape(-1, 4)
-            self.table = np.concatenate([self.table, new])
-        row = self.table[np.array(at, np.int64)]
-        canon, raw, kind, flags = row.T
-        before_ends = np.r_[True, (flags[:-1] >> np.uint64(1)) == 1] if len(row) else np.empty(0, bool)
-        name = (flags & np.uint64(1) == 1) & ~before_ends
-        canon = np.where(kind == 1, _NUM, np.where(kind == 2, _UNIT, np.where(name, _NAME, canon)))
-        return canon, raw, (kind > 0) | name
+            self.forget()
+        words = text.split()
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if len(self.canon) < len(self.rows):
+            canon, raw, flags = zip(*self.rows[len(self.canon):], strict=True)
+            self.canon = np.concatenate([self.canon, np.array(canon, np.uint64)])
+            self.raw = np.concatenate([self.raw, np.array(raw, np.uint64)])
+            self.flags = np.concatenate([self.flags, np.array(flags, np.uint8)])
+        canon, flags = self.canon[at], self.flags[at]
+        slot = flags >= 4
+        name = np.flatnonzero(flags & 1)
+        if len(name):  # not one if it is the first word or the word before ends a sentence
+            name = name[(name > 0) & (flags[name - 1] & 2 == 0)]
+            canon[name] = _NAME
+            slot[name] = True
+        return canon, self.raw[at], slot
+
+
+def _token(word: bytes) -> tuple[int, int, int]:
+    """(canonical hash, raw hash, flags) of a word."""
+    import xxhash
+
+    core = word.strip(EDGE) or word
+    ends = 2 * (word.rstrip(b"\"')]}>*_")[-1:] in (b".", b"!", b"?", b":"))
+    raw = xxhash.xxh3_64_intdigest(core)
+    if core.isascii():
+        low = core.lower()
+        capital = len(core) > 1 and 65 <= core[0] <= 90 and not 65 <= core[1] <= 90
+    else:
+        text = core.decode("utf-8", "replace")
+        low = text.lower().encode()
+        capital = len(text) > 1 and text[0].isupper() and not text[1].isupper()
+    if low in NUMBER_WORDS or (core[0] in b"0123456789+-" and _NUMBER.fullmatch(core)):
+        return int(_NUM), raw, 4 | ends
+    if low in UNITS:
+        return int(_UNIT), raw, 4 | ends
+    return raw if low == core else xxhash.xxh3_64_intdigest(low), raw, capital | ends
 
 
 def windows(canon: np.ndarray, raw: np.ndarray, slot: np.ndarray, width: int) -> np.ndarray:
@@ -96,6 +113,8 @@ def windows(canon: np.ndarray, raw: np.ndarray, slot: np.ndarray, width: int) ->
     n = len(canon) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
+    if not slot.any():
+        return window_hashes(canon, width)
     literal = np.concatenate([[0], np.cumsum(~slot)])
     enough = 2 * (literal[width:] - literal[:n]) >= width
     out = window_hashes(canon, width)
