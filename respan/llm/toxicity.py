@@ -3,7 +3,8 @@
 Many weak voters look at a text: lexicon voters (a word occurs), stem voters (a word
 starts with given letters) and pattern voters (shouting, exclamation, address).  Lexicon
 and stems are found by their association with the label in a bounded sample of labelled
-training rows (:data:`PER_CLASS`).  A generative label model with the label as hidden
+training texts (:data:`PER_CLASS`), in which copies of a text are one text and every
+feature that passes is a voter.  A generative label model with the label as hidden
 class estimates by expectation maximisation how often each voter fires in each class
 (the annotator is one more voter, whose accuracy is estimated too), and from the
 votes' correlations within the classes how much of each vote is news: correlated voters
@@ -12,7 +13,8 @@ densities and patterns, which scores every whole text.
 
 Defined cases: null and empty texts have no hits and get the classifier's score for that;
 without a training label of each class every score is 0; a document with several labels
-counts as toxic if one says so; null labels are ignored; repeated rows are scored alike;
+counts as toxic if one says so, a text with several documents if half of them do; null
+labels are ignored; repeated rows are scored alike;
 extra columns are ignored.
 """
 
@@ -31,10 +33,10 @@ from pyspark.sql import functions as F
 
 from respan.llm.util import batched, bound_batches, stored
 
-#: Bound of the training sample: labelled documents of each class.
+#: Bound of the training sample: distinct labelled texts of each class.
 PER_CLASS = 6000
-#: Voters taken from the association test; least toxic documents, z value and precision.
-VOTERS, LEAST_DOCUMENTS, LEAST_Z, LEAST_PRECISION = 300, 4, 6.0, 0.9
+#: Voters taken from the association test: least toxic texts, z value and precision.
+LEAST_DOCUMENTS, LEAST_Z, LEAST_PRECISION = 4, 6.0, 0.9
 STEMS = (4, 5, 6)
 #: Votes that correlate more than this within the classes share their weight.
 CORRELATED = 0.5
@@ -52,23 +54,30 @@ def features(word: str) -> tuple[str, ...]:
 
 
 def sample(docs: DataFrame, labels: DataFrame, trains: Column, doc_id: str, text: str, label: str) -> DataFrame:
-    """(text, y, rate) of at most about ``PER_CLASS`` labelled documents a class, by hash of
-    the id; ``rate`` is the sampled share of the class.  Written once."""
+    """(text, y, rate) of at most about ``PER_CLASS`` distinct labelled texts a class, by
+    hash of the text; ``rate`` is the sampled share of the class.  Written once."""
     known = (labels.where(trains & F.col(label).isNotNull() & F.col(doc_id).isNotNull())
              .groupBy(F.col(doc_id).cast("long").alias("_id")).agg(F.max(F.col(label)).cast("int").alias("y")))
-    counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
+    t = F.coalesce(F.col(text), F.lit(""))
+    hashed = docs.select(F.col(doc_id).cast("long").alias("_id"), F.xxhash64(t).alias("_text"))
+    # copies of a text are one piece of evidence; the smallest id stands for them
+    distinct = stored(hashed.join(known, "_id").groupBy("_text")
+                      .agg((F.avg("y") >= 0.5).cast("int").alias("y"), F.min("_id").alias("_id")), "toxicity-texts")
+    counts = {r["y"]: r["count"] for r in distinct.groupBy("y").count().collect()}
     rate = F.lit(0.0)
     for y, n in counts.items():
         rate = F.when(F.col("y") == y, F.lit(min(1.0, PER_CLASS / n))).otherwise(rate)
-    u = F.pmod(F.xxhash64("_id", F.lit("toxicity sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    u = F.pmod(F.xxhash64("_text", F.lit("toxicity sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     # the expected number of rows is bounded by the classes times PER_CLASS
-    picked = known.withColumn("rate", rate).where(u < F.col("rate"))
-    texts = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("t"))
-    return stored(texts.join(F.broadcast(picked), "_id").select("t", "y", "rate"), "toxicity-sample")
+    picked = distinct.withColumn("rate", rate).where(u < F.col("rate"))
+    texts = docs.select(F.col(doc_id).cast("long").alias("_id"), F.xxhash64(t).alias("_text"), t.alias("t"))
+    return stored(texts.join(F.broadcast(picked), ["_id", "_text"]).dropDuplicates(["_text"]).select("t", "y", "rate"),
+                  "toxicity-sample")
 
 
 def associated(rows: DataFrame, n1: int, n0: int, odds: float) -> list[str]:
-    """Features that fire in toxic documents more than chance explains, strongest first.
+    """All features that fire in toxic texts more than chance explains, strongest first;
+    the sample bounds their number.
 
     ``odds`` is the sampling rate of toxic rows over that of the others; the precision is
     that among all labelled rows."""
@@ -98,7 +107,7 @@ def associated(rows: DataFrame, n1: int, n0: int, odds: float) -> list[str]:
     z = gap / F.sqrt(p * (1 - p) * F.lit(1 / n1 + 1 / n0) + F.lit(1e-12))
     strong = (total.withColumn("z", z).where(f"a >= {LEAST_DOCUMENTS} and z > {LEAST_Z}")
               .where(F.col("a") / (F.col("a") + F.lit(odds) * F.col("b")) >= LEAST_PRECISION)
-              .orderBy(F.desc("z"), "f").limit(VOTERS))
+              .orderBy(F.desc("z"), "f"))
     return [r["f"] for r in strong.collect()]
 
 
@@ -150,9 +159,9 @@ class Voters:
 
 def label_model(votes: np.ndarray, gold: np.ndarray, weight: np.ndarray, rounds: int = 12) -> np.ndarray:
     """Posterior probability of the toxic class of each row (expectation maximisation)."""
-    votes = np.concatenate([votes, np.where(gold > 0, 1, -1)[:, None]], axis=1)
+    votes = np.concatenate([votes, np.where(gold > 0, 1, -1)[:, None]], axis=1).astype(np.float32)
     values = np.array([-1, 0, 1])
-    onehot = (votes[:, :, None] == values).astype(np.float64)  # rows, voters, value
+    parts = [slice(i, i + 256) for i in range(0, votes.shape[1], 256)]  # bounds the temporary arrays
     post = np.where(gold > 0, 0.9, 0.1)
     share = np.ones(votes.shape[1])
     # the classes' shares are the annotator's: else a class could drift over silent rows
@@ -162,16 +171,19 @@ def label_model(votes: np.ndarray, gold: np.ndarray, weight: np.ndarray, rounds:
         corr = np.zeros((votes.shape[1],) * 2)
         for sign, q in ((1, post), (-1, 1 - post)):
             mass = q * weight
-            p = (np.einsum("r,rvk->vk", mass, onehot) + 0.5) / (mass.sum() + 1.5)
+            found = np.concatenate([np.stack([mass @ (votes[:, c] == v) for v in values], 1) for c in parts])
+            p = (found + 0.5) / (mass.sum() + 1.5)
             llr += sign * np.log(p)
-            centred = votes - (mass @ votes) / max(mass.sum(), 1e-9)
-            cov = (centred * mass[:, None]).T @ centred / max(mass.sum(), 1e-9)
-            sd = np.sqrt(np.diag(cov)) + 1e-6
+            mean = (found[:, 2] - found[:, 0]) / max(mass.sum(), 1e-9)
+            cov = np.concatenate([(votes[:, c] * mass[:, None]).T @ votes for c in parts]) / max(mass.sum(), 1e-9)
+            cov -= np.outer(mean, mean)
+            sd = np.sqrt(np.maximum(np.diag(cov), 0)) + 1e-6
             corr += 0.5 * np.abs(cov / np.outer(sd, sd))
         np.fill_diagonal(corr, 1.0)
         share = 1 / (corr * (corr > CORRELATED)).sum(axis=1)  # correlated voters share their weight
         llr[:, 1] = 0.0  # a voter that abstains says nothing
-        logit = math.log(prior / (1 - prior)) + np.einsum("rvk,vk->r", onehot, llr * share[:, None])
+        said = llr * share[:, None]
+        logit = math.log(prior / (1 - prior)) + sum((votes[:, c] == v) @ said[c, k] for c in parts for k, v in enumerate(values))
         post = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
     return post
 

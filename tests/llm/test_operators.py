@@ -353,6 +353,25 @@ def test_toxicity(spark, docs, empty):
     assert kept.columns == df.columns and abs(kept.count() - 320) <= 4
 
 
+def test_toxicity_copies_are_one_text(spark):
+    copied = " ".join(f"odd{i:03d}{'xyz'[i % 3]}" for i in range(400))
+    rng = random.Random(8)
+    rows = ([(i, copied, 1) for i in range(200)]
+            + [(200 + i, f"{rng.choice(PROSE)} w{i} vileword", 1) for i in range(60)]
+            + [(300 + i, f"{rng.choice(PROSE)} w{i + 60}", 0) for i in range(300)])
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    lexicon, *_ = toxicity.fit(df.drop("toxic"), df.drop("text"), F.lit(True), "doc_id", "text", "toxic")
+    assert "=vileword" in lexicon and not [f for f in lexicon if "odd" in f]
+
+
+def test_toxicity_keeps_every_voter(spark):
+    rows = ([(i, " ".join(f"{a}{b}vile{i % 2}" for a in "abcdefghij" for b in "klmnopqrstuvwxyz") + f" w{i}", 1) for i in range(80)]
+            + [(100 + i, f"{RNG.choice(PROSE)} w{i + 80}", 0) for i in range(80)])
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    lexicon, *_ = toxicity.fit(df.drop("toxic"), df.drop("text"), F.lit(True), "doc_id", "text", "toxic")
+    assert len([f for f in lexicon if f.startswith("=")]) == 320
+
+
 # ---------------------------------------------------------------- 8 decontamination
 def test_decontamination(spark, docs, empty):
     item = "If a train leaves Berlin at 9 and travels 60 km with 4 stops how many minutes does Anna wait in Berlin today"
