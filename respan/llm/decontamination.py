@@ -8,9 +8,12 @@ counts while the slots are consistent, i.e. each item value always became the sa
 document value and the reverse.  An item leaks into a document if a consistent run
 covers :data:`RUN` tokens, or the whole of a shorter item.
 
-A window with fewer words outside placeholders than half of it is hashed by its raw words, so
-tables of numbers match only if they are equal.  A name is a capitalised word that does
-not begin a sentence.
+Windows are looked up in three readings: by their plain lower-cased words; with the capitalised
+words that do not begin a sentence as names; and with all capitalised words as names but
+:data:`NEVER_NAMES`, so a passage matches wherever its first word stands.  An attached unit is a token of its own
+(``5km``), currency signs and ordinal endings belong to the number.  A window with fewer
+words outside placeholders than half of it grows until it holds :data:`SPARSE` such words,
+so number-heavy questions match by longer runs and bare tables of numbers only if equal.
 
 Scale: a bitmap of fixed size with the benchmark's windows sifts the documents' windows
 where they are read (it can only let too many pass); the rest meet the benchmark's in a
@@ -26,31 +29,43 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from respan.llm.util import batched, bitmap, bound_batches, in_bitmap, stored, window_hashes
+from respan.llm.util import batched, bitmap, bound_batches, in_bitmap, span_hashes, stored, window_hashes
 
 WINDOW, RUN, LEAST = 8, 13, 5
+#: Words outside placeholders that a window among many numbers needs.
+SPARSE = RUN // 2
 BITS = 24
 EDGE = b" \t\r\n.,;:!?\"'()[]{}<>*_"
-_NUMBER = re.compile(rb"[+-]?[0-9][0-9.,:/%-]*")
-NUMBER_WORDS = frozenset(b"zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty "
-                         b"fifty hundred thousand million".split())
+_CURRENCY = "(?:" + "|".join("$€£¥₹").replace("$", r"\$") + ")"
+_NUMBER = re.compile(f"{_CURRENCY}?[+-]?{_CURRENCY}?([0-9](?:[0-9.,:/%-]*[0-9%])?){_CURRENCY}?[.,:/-]*".encode())
+NUMBER_WORDS = frozenset(b"zero one two three four five six seven eight nine ten eleven twelve thirteen "
+                         b"fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty "
+                         b"seventy eighty ninety hundred thousand million billion trillion".split())
 UNITS = frozenset(b"mm cm m km in ft yd mi mg g kg lb lbs oz ml l gal s sec min h hr ms kb mb gb tb w kw v a hz "
                   b"inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers "
                   b"gram grams kilogram kilograms pound pounds ounce ounces liter liters litre litres gallon "
                   b"gallons second seconds minute minutes hour hours day days week weeks month months year years "
                   b"dollar dollars cent cents euro euros percent degrees".split())
+ORDINALS = frozenset((b"st", b"nd", b"rd", b"th"))
+NEVER_NAMES = frozenset(b"what which who whom whose when where why how the an this that these those it its he she they "
+                        b"we you his her their our my your is are was were do does did has have had can could will "
+                        b"would shall should may might must if in on at of to for from by with as and or but not no "
+                        b"there then than so".split())
 _NUM, _NAME, _UNIT = (np.uint64(x) for x in (0x4E554D, 0x4E414D45, 0x554E4954))
 
 
 class Tokens(dict):
-    """Token table of a task: the number of each word, and by number its canonical hash, the
-    hash of its raw core and flags (1 capitalised, 2 ends a sentence, 4 number or unit)."""
+    """Token table of a task: the number of each word, and by number the hash of its lower-cased
+    core, its canonical hash and flags (1 capitalised, 2 ends a sentence, 4 number or unit, 8 a
+    second token is attached, 16 that is a unit, 32 capitalised but never a name)."""
 
     def __init__(self):
         super().__init__()
@@ -58,42 +73,56 @@ class Tokens(dict):
 
     def forget(self):
         self.clear()
-        self.rows: list[tuple[int, int, int]] = []
-        self.canon, self.raw, self.flags = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.uint8)
+        self.rows: list[tuple[int, int, int, int]] = []
+        self.canon, self.raw, self.more = (np.empty(0, np.uint64) for _ in range(3))
+        self.flags = np.empty(0, np.uint8)
 
     def __missing__(self, word: bytes) -> int:
         n = self[word] = len(self.rows)
         self.rows.append(_token(word))
         return n
 
-    def of(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(canonical hashes, raw hashes, is a slot) of a text's words."""
+    def of(self, text: bytes) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """Plain hashes of a text's tokens, and its forms (canonical hashes, is a slot): with all
+        capitalised words as names, and if it differs with those that begin no sentence."""
         if len(self.rows) > 600_000:
             self.forget()
         words = text.split()
         at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         if len(self.canon) < len(self.rows):
-            canon, raw, flags = zip(*self.rows[len(self.canon):], strict=True)
+            raw, canon, flags, more = zip(*self.rows[len(self.canon):], strict=True)
             self.canon = np.concatenate([self.canon, np.array(canon, np.uint64)])
             self.raw = np.concatenate([self.raw, np.array(raw, np.uint64)])
+            self.more = np.concatenate([self.more, np.array(more, np.uint64)])
             self.flags = np.concatenate([self.flags, np.array(flags, np.uint8)])
-        canon, flags = self.canon[at], self.flags[at]
-        slot = flags >= 4
-        name = np.flatnonzero(flags & 1)
-        if len(name):  # not one if it is the first word or the word before ends a sentence
-            name = name[(name > 0) & (flags[name - 1] & 2 == 0)]
-            canon[name] = _NAME
-            slot[name] = True
-        return canon, self.raw[at], slot
-
-
-def _token(word: bytes) -> tuple[int, int, int]:
-    """(canonical hash, raw hash, flags) of a word."""
+        canon, raw, flags = self.canon[at], self.raw[at], self.flags[at]
+        slot, inside = flags & 4 != 0, flags & 1 != 0
+        name = inside & (flags & 32 == 0)
+        inside[:1] = False  # it begins a sentence, as does a word after one's end
+        inside[1:] &= flags[:-1] & 2 == 0
+        two = np.flatnonzero(flags & 8)
+        if len(two):
+            times = np.ones(len(at), np.int64)
+            times[two] = 2
+            second = np.cumsum(times)[two] - 1
+            canon, raw, slot, name, inside = (np.repeat(x, times) for x in (canon, raw, slot, name, inside))
+            unit = flags[two] & 16 != 0
+            raw[second] = self.more[at[two]]
+            canon[second] = np.where(unit, _UNIT, raw[second])
+            slot[second], name[second], inside[second] = unit, False, False
+        forms = [(np.where(name, _NAME, canon), slot | name)]
+        if (inside != name).any():
+            forms.append((np.where(inside, _NAME, canon), slot | inside))
+        return raw, forms
+
+
+def _token(word: bytes) -> tuple[int, int, int, int]:
+    """(plain hash, canonical hash, flags, plain hash of the attached token) of a word."""
     import xxhash
 
+    digest = xxhash.xxh3_64_intdigest
     core = word.strip(EDGE) or word
     ends = 2 * (word.rstrip(b"\"')]}>*_")[-1:] in (b".", b"!", b"?", b":"))
-    raw = xxhash.xxh3_64_intdigest(core)
     if core.isascii():
         low = core.lower()
         capital = len(core) > 1 and 65 <= core[0] <= 90 and not 65 <= core[1] <= 90
@@ -101,34 +130,81 @@ def _token(word: bytes) -> tuple[int, int, int]:
         text = core.decode("utf-8", "replace")
         low = text.lower().encode()
         capital = len(text) > 1 and text[0].isupper() and not text[1].isupper()
-    if low in NUMBER_WORDS or (core[0] in b"0123456789+-" and _NUMBER.fullmatch(core)):
-        return int(_NUM), raw, 4 | ends
+    if low in NUMBER_WORDS or b"-" in low and all(w in NUMBER_WORDS for w in low.split(b"-")):
+        return digest(low), int(_NUM), 4 | ends, 0
     if low in UNITS:
-        return int(_UNIT), raw, 4 | ends
-    return raw if low == core else xxhash.xxh3_64_intdigest(low), raw, capital | ends
-
-
-def windows(canon: np.ndarray, raw: np.ndarray, slot: np.ndarray, width: int) -> np.ndarray:
-    """Hash of every window of ``width`` tokens."""
-    n = len(canon) - width + 1
+        return digest(low), int(_UNIT), 4 | ends, 0
+    number = _NUMBER.match(low)
+    if number:
+        rest = low[number.end():]
+        if not rest or rest in ORDINALS:
+            return digest(low), int(_NUM), 4 | ends, 0
+        if rest.split(b"-")[0] in UNITS:  # 5km, 20-year, 20-year-old
+            return digest(low[:number.end()].rstrip(b".,:/-")), int(_NUM), 4 | 8 | 16 * (rest in UNITS) | ends, digest(rest)
+    raw = digest(low)
+    return raw, raw, (capital and (33 if low in NEVER_NAMES else 1)) | ends, 0
+
+
+def sparse_spans(slot: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, length) of the windows longer than WINDOW that hold just SPARSE words outside
+    placeholders: from each token to the last such word, and to each token from the first.
+    Tokens more than ``near`` before the first (after the last) cannot decide a run."""
+    at, words = np.arange(len(slot)), np.flatnonzero(~slot)
+    if len(words) < SPARSE:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    k = np.searchsorted(words, at)
+    begin = at[k + SPARSE <= len(words)]
+    k = k[:len(begin)]
+    ahead = words[k] - begin <= near
+    begin, last = begin[ahead], words[k[ahead] + SPARSE - 1]
+    k = np.searchsorted(words, at, "right")
+    end = at[k >= SPARSE]
+    k = k[len(at) - len(end):]
+    behind = end - words[k - 1] <= near
+    end, first = end[behind], words[k[behind] - SPARSE]
+    spans = np.unique(np.stack([np.r_[begin, first], np.r_[last, end]], axis=1), axis=0)
+    # a window of WINDOW tokens does where it holds enough words
+    count = np.concatenate([[0], np.cumsum(~slot)])
+    a, b = spans[:, 0], spans[:, 1] + 1
+    head = count[np.minimum(a + WINDOW, len(slot))] - count[a]
+    tail = count[b] - count[np.maximum(b - WINDOW, 0)]
+    long = (b - a > WINDOW) & (2 * np.minimum(head, tail) < WINDOW)
+    return a[long], (b - a)[long]
+
+
+def windows(raw: np.ndarray, forms: list[tuple[np.ndarray, np.ndarray]], width: int,
+            near: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(hash, first, length, is of the last form, is a slot) of all windows: of ``width`` tokens by
+    their plain words and in each form that has enough words, and the longer ones among
+    numbers.  The last form has the plain windows where it lacks words."""
+    n = len(raw) - width + 1
     if n <= 0:
-        return np.empty(0, np.uint64)
-    if not slot.any():
-        return window_hashes(canon, width)
-    literal = np.concatenate([[0], np.cumsum(~slot)])
-    enough = 2 * (literal[width:] - literal[:n]) >= width
-    out = window_hashes(canon, width)
-    if not enough.all():
-        out = np.where(enough, out, window_hashes(raw, width) ^ np.uint64(0xA5A5A5A5))
-    return out
-
-
-def _window_rows(frame: DataFrame, widths, sieve=None) -> DataFrame:
-    """(h, width, key, id, pos, raw, slots) rows of ``frame`` (key, id, t); ``raw`` holds the
-    window's word hashes, ``slots`` its slot bits.  ``widths`` None: WINDOW or the whole
+        return
+    plain = window_hashes(raw, width)
+    hashes, enough = [], []
+    for canon, slot in forms:
+        words = np.concatenate([[0], np.cumsum(~slot)])
+        enough.append(2 * (words[width:] - words[:n]) >= width)
+        hashes.append(np.where(enough[-1], window_hashes(canon, width), plain) if slot.any() else plain)
+    last, lengths = hashes[-1], np.full(n, width)
+    yield plain, np.arange(n), lengths, plain == last, forms[0][1]
+    seen = [plain]
+    for (canon, slot), h, ok in zip(forms, hashes, enough, strict=True):
+        at = np.flatnonzero(np.logical_and.reduce([h != other for other in seen]))
+        seen.append(h)
+        if len(at):
+            yield h[at], at, lengths[at], h[at] == last[at], slot
+        if width == WINDOW and not ok.all():
+            first, length = sparse_spans(slot, near)
+            yield span_hashes(canon, first, length), first, length, np.zeros(len(first), bool), slot
+
+
+def _window_rows(frame: DataFrame, widths, near: int, sieve=None) -> DataFrame:
+    """(h, width, key, id, pos, n, last, raw, slots) rows of ``frame`` (key, id, t); ``raw`` holds
+    the window's plain hashes, ``slots`` a byte a token, 1 for slots.  ``widths`` None: WINDOW or the whole
     of a shorter text."""
     schema = pa.schema([("h", pa.int64()), ("width", pa.int32()), ("key", pa.int64()), ("id", pa.int64()),
-                        ("pos", pa.int32()), ("n", pa.int32()), ("raw", pa.binary()), ("slots", pa.int32())])
+                        ("pos", pa.int32()), ("n", pa.int32()), ("last", pa.bool_()), ("raw", pa.binary()), ("slots", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens()
@@ -136,52 +212,61 @@ def _window_rows(frame: DataFrame, widths, sieve=None) -> DataFrame:
         for cols in batched(batches):
             out: list[list] = [[] for _ in schema]
             for key, d, t in zip(cols["key"], cols["id"], cols["t"], strict=True):
-                canon, raw, slot = tokens.of(t or b"")
-                n = len(canon)
+                raw, forms = tokens.of(t or b"")
+                n = len(raw)
                 if n < LEAST:
                     continue
                 for width in widths or (min(WINDOW, n),):
-                    h = windows(canon, raw, slot, width)
-                    at = np.flatnonzero(in_bitmap(h, bits)) if bits is not None else np.arange(len(h))
-                    if not len(at):
-                        continue
-                    mask = (slot[at[:, None] + np.arange(width)] << np.arange(width)).sum(axis=1)
-                    for values, col in zip((h[at].view(np.int64).tolist(), [width] * len(at), [key] * len(at),
-                                            [d] * len(at), at.tolist(), [n] * len(at),
-                                            [raw[i:i + width].tobytes() for i in at.tolist()], mask.tolist()),
-                                           out, strict=True):
-                        col += values
+                    for h, first, length, last, slot in windows(raw, forms, width, near):
+                        at = np.flatnonzero(in_bitmap(h, bits)) if bits is not None else np.arange(len(h))
+                        if not len(at):
+                            continue
+                        spans = list(zip(first[at].tolist(), length[at].tolist(), strict=True))
+                        for values, col in zip((h[at].view(np.int64).tolist(), length[at].tolist(), [key] * len(at),
+                                                [d] * len(at), first[at].tolist(), [n] * len(at),
+                                                last[at].tolist(), [raw[i:i + k].tobytes() for i, k in spans],
+                                                [slot[i:i + k].tobytes() for i, k in spans]), out, strict=True):
+                            col += values
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)],
                                              schema=schema)
 
-    return frame.mapInArrow(run, "h long, width int, key long, id long, pos int, n int, raw binary, slots int")
+    return frame.mapInArrow(run, "h long, width int, key long, id long, pos int, n int, last boolean, "
+                                  "raw binary, slots binary")
 
 
 def longest_run(hits: list[tuple]) -> int:
     """Most tokens covered by a run of windows (item position, width, document words, item words,
-    slot bits) on one diagonal that overlap or touch, with consistent slots."""
+    slots) on one diagonal that overlap or touch, with consistent slots.  Of the windows at
+    a position those that fit go on."""
     best = begin = end = 0
     there: dict[bytes, bytes] = {}
     back: dict[bytes, bytes] = {}
-    for pos, width, d_raw, i_raw, slots in sorted(hits):
-        pairs = [(i_raw[8 * j:8 * j + 8], d_raw[8 * j:8 * j + 8]) for j in range(width) if slots >> j & 1]
-        agree = len({a for a, _ in pairs}) == len({b for _, b in pairs}) == len(set(pairs))
-        fits = agree and all(there.get(a, b) == b and back.get(b, a) == a for a, b in pairs)
-        if not fits or pos > end or not end:
+
+    def fits(pairs: set) -> bool:
+        return all(there.get(a, b) == b and back.get(b, a) == a for a, b in pairs)
+
+    for pos, group in groupby(sorted(hits), key=itemgetter(0)):
+        agree = []
+        for _, width, d_raw, i_raw, slots in group:
+            pairs = {(i_raw[8 * j:8 * j + 8], d_raw[8 * j:8 * j + 8]) for j in range(width) if slots[j]}
+            if len({a for a, _ in pairs}) == len({b for _, b in pairs}) == len(pairs):
+                agree.append((width, pairs))
+        if not end or pos > end or not any(fits(pairs) for _, pairs in agree):
             there, back, begin, end = {}, {}, pos, 0
-            if not agree:
-                continue
-        there.update(pairs)
-        back.update((b, a) for a, b in pairs)
-        end = pos + width
-        best = max(best, end - begin)
+        for width, pairs in agree:
+            if fits(pairs):
+                there.update(pairs)
+                back.update((b, a) for a, b in pairs)
+                end = max(end, pos + width)
+                best = max(best, end - begin)
     return best
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
           item_text: str = "text", run: int = RUN) -> DataFrame:
     """(key, doc_id, item_id, tokens, item_tokens) of each document and leaked item:
-    ``tokens`` is the longest consistent run, ``key`` a hash of id and text."""
+    ``tokens`` is the longest consistent run, by the reading with names inside sentences if that
+    shows the leak alone, else by all readings; ``key`` a hash of id and text."""
     spark = docs.sparkSession
     bound_batches(spark)
     d = F.col(doc_id).cast("long")
@@ -189,18 +274,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     rows = docs.select(F.xxhash64(d, raw).alias("key"), d.alias("id"), raw.alias("t"))
     items = benchmark.select(F.lit(0).cast("long").alias("key"), F.col(item_id).cast("long").alias("id"),
                              F.col(item_text).cast("binary").alias("t"))
-    wanted = stored(_window_rows(items, None), "decontamination-items")
-    widths = tuple(sorted(r["width"] for r in wanted.select("width").distinct().collect()))  # LEAST to WINDOW
+    wanted = stored(_window_rows(items, None, run), "decontamination-items")
+    widths = tuple(sorted(r["width"] for r in wanted.where(F.col("width") <= WINDOW).select("width").distinct().collect()))  # LEAST to WINDOW
     if not widths:
         widths = (WINDOW,)
     sieve = spark.sparkContext.broadcast(bitmap(wanted, "h", BITS))
-    found = _window_rows(rows, widths, sieve)
-    both = found.select("h", "width", "key", "id", "pos", "raw", "slots").join(
+    found = _window_rows(rows, widths, run, sieve)
+    both = found.select("h", "width", "key", "id", "pos", "last", "raw", "slots").join(
         wanted.select("h", "width", F.col("id").alias("item_id"), F.col("pos").alias("at"), F.col("n").alias("item_tokens"),
-                      F.col("raw").alias("item_raw")), ["h", "width"])
-    # a diagonal holds at most one window for each position of the item
+                      F.col("raw").alias("item_raw"), F.col("last").alias("item_last")), ["h", "width"])
+    # a diagonal holds a few windows for each position of the item
     diagonal = (both.groupBy("key", "id", "item_id", "item_tokens", (F.col("pos") - F.col("at")).alias("diagonal"))
-                .agg(F.collect_list(F.struct("at", "width", "raw", "item_raw", "slots")).alias("hits")))
+                .agg(F.collect_list(F.struct("at", "width", "raw", "item_raw", "slots",
+                                               (F.col("last") & F.col("item_last")).alias("last"))).alias("hits")))
     schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("item_id", pa.int64()), ("tokens", pa.int32()),
                         ("item_tokens", pa.int32())])
 
@@ -209,7 +295,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
             keep = []
             for key, i, item, n, hits in zip(cols["key"], cols["id"], cols["item_id"], cols["item_tokens"], cols["hits"],
                                              strict=True):
-                got = longest_run([tuple(x.values()) for x in hits])
+                hits = [tuple(x.values()) for x in hits]
+                got = longest_run([x[:5] for x in hits if x[5]])
+                if got < min(run, n):
+                    got = longest_run([x[:5] for x in hits])
                 if got >= min(run, n):
                     keep.append((key, i, item, got, n))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(

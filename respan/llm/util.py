@@ -93,6 +93,13 @@ def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return mix64((sums[k:] - sums[:n]) * down[:n] + np.uint64(k))
 
 
+def span_hashes(h: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The hashes :func:`window_hashes` gives the spans of ``length`` from ``first``."""
+    up, down = _powers(len(h))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up, dtype=np.uint64)])
+    return mix64((sums[first + length] - sums[first]) * down[first] + length.astype(np.uint64))
+
+
 class WordHashes(dict):
     """64-bit hashes of words, remembered within a worker (emptied when large)."""
 

@@ -403,6 +403,22 @@ def test_decontamination_matches_exact_search(spark):
                 assert (r.doc_id, k) in out
 
 
+def leaked(spark, items, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r.doc_id, r.item_id) for r in decontamination.leaks(df, bench).collect()}
+
+
+def test_decontamination_finds_verbatim_copies_from_the_first_word(spark):
+    letters = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi".split()
+    items = [" ".join([f"Start{n}", *letters[:n - 1]]) for n in range(5, 15)]
+    texts = [f"here {t} {end}" for end in ("there", "") for t in items] + [f"Done. {t.lower()}" for t in items]
+    texts += [f"words {' '.join(t.split()[1:])}" for t in items[:9]]
+    got = leaked(spark, items, texts)
+    assert {(i, i % 10) for i in range(30)} <= got
+    assert not {(30 + i, i) for i in range(9)} & got
+
+
 # ---------------------------------------------------------------- 9 packing
 def test_packing(spark, docs, empty):
     path = tokenizer_path("byte_bpe_50k.json")
