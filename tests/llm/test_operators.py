@@ -419,6 +419,18 @@ def test_decontamination_finds_verbatim_copies_from_the_first_word(spark):
     assert not {(30 + i, i) for i in range(9)} & got
 
 
+def test_decontamination_finds_refilled_slots(spark):
+    pairs = [("Anna has $12. Ben has $15. Anna gives Ben the rest of it and walks home.",
+              "Tom has $9. Max has $11. Tom gives Max the rest of it and walks home."),
+             ("A 20-year lease of the 3rd house, 5km out, costs seventeen coins in sixty parts or so",
+              "A 35-year lease of the 2nd house, 8km out, costs nineteen coins in ninety parts or so"),
+             ("Add 12 15 18 21 24 27 to 31 33 35 37 39 41 then take 50 51 52 53 54 away and halve it",
+              "Add 13 16 19 22 25 28 to 32 34 36 38 40 42 then take 60 61 62 63 64 away and halve it")]
+    got = leaked(spark, [a for a, _ in pairs], [f"so it is said {b} once more" for _, b in pairs]
+                 + [" ".join(map(str, range(100, 160))), "Tom has $9. Max has $11. Tom gives Tom the rest of it and walks home."])
+    assert got == {(0, 0), (1, 1), (2, 2)}
+
+
 # ---------------------------------------------------------------- 9 packing
 def test_packing(spark, docs, empty):
     path = tokenizer_path("byte_bpe_50k.json")
