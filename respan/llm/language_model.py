@@ -7,10 +7,10 @@ cut into classes of :data:`CLASS`, so a symbol's probability is that of its clas
 that within its class.  A word that is no symbol has the probability of ``other`` times
 its smoothed share of all such words.  Thus every text has a complete probability.
 
-Training: every training document gives one window of :data:`SPAN` tokens at a hashed
-place, so the sample grows with the corpus.  Each task trains its own copy on its windows by
-truncated backpropagation (segments of :data:`SEGMENT` steps, the state carried on), and
-the copies' mean starts the next round.  Scoring carries the state through whole documents.
+Training: every training document is cut into consecutive windows of :data:`SPAN` tokens, so
+all words are learned from, each in one round.  Each task trains its own copy on its documents by
+truncated backpropagation (segments of :data:`SEGMENT` steps, the state carried through the
+document), and the copies' mean starts the next round; tasks grow with the tokens.  Scoring carries the state through whole documents.
 
 Scale: words with the largest counts (at most :data:`HEAD`) are broadcast; the rare ones,
 which are most different words but few tokens, are joined by shuffle.
@@ -37,8 +37,8 @@ from respan.llm.util import batched, bound_batches, stored
 HEAD, MODEL = 100_000, 1022
 CLASS, HIDDEN = 32, 16
 SPAN, SEGMENT, LANES, RATE, ROUNDS = 32, 16, 128, 0.01, 2
-#: Training windows a task, and the most tasks of a round.
-TASK_WINDOWS, TASKS = 8000, 4096
+#: Training windows a task.
+TASK_WINDOWS = 8000
 #: Steps whose outputs are computed at a time, and lanes that run side by side.
 STEPS, SCORE_LANES = 32, 512
 END, OTHER = 0, 1
@@ -149,13 +149,39 @@ def log_probabilities(p: dict, h: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def train_windows(p: dict[str, np.ndarray], windows: np.ndarray, lanes: int = LANES) -> dict[str, np.ndarray]:
-    """A copy of ``p`` after one pass over windows (n, SPAN + 1) of symbols, padded with -1."""
+def dealt(sizes: np.ndarray, lanes: int) -> list[list[int]]:
+    """Documents of each lane, of about equal length together, the longest lane first."""
+    heap, owner = [(0, k) for k in range(lanes)], [[] for _ in range(lanes)]
+    for i in np.argsort(-sizes, kind="stable").tolist():
+        load, k = heapq.heappop(heap)
+        owner[k].append(i)
+        heapq.heappush(heap, (load + int(sizes[i]), k))
+    return [owner[k] for _, k in sorted(heap, reverse=True)]
+
+
+def train_windows(p: dict[str, np.ndarray], windows: np.ndarray, sizes: np.ndarray | None = None,
+                  lanes: int = LANES) -> dict[str, np.ndarray]:
+    """A copy of ``p`` after one pass over windows (n, SPAN + 1) of symbols, padded with -1.
+
+    ``sizes`` has the windows of each document, one after another (none: one each); the state
+    is carried from window to window of a document."""
     p = {k: v.copy() for k, v in p.items()}
     opt = gru.Adam(p, RATE)
-    for i in range(0, len(windows), lanes):
-        w = windows[i:i + lanes]
-        h = np.zeros((HIDDEN, len(w)), np.float32)
+    sizes = np.ones(len(windows), np.int64) if sizes is None else sizes
+    begin = np.cumsum(sizes) - sizes
+    lanes = min(lanes, len(sizes))
+    rng = np.random.default_rng(13)
+    order = [np.concatenate([np.arange(begin[i], begin[i] + sizes[i]) for i in rng.permutation(mine)])
+             for mine in dealt(sizes, lanes) if mine]
+    begins = np.zeros(len(windows), bool)
+    begins[begin] = True
+    long = np.array([len(o) for o in order])
+    h = np.zeros((HIDDEN, len(order)), np.float32)
+    for turn in range(int(long[0]) if len(long) else 0):
+        active = int((long > turn).sum())  # lanes are sorted by length
+        at = np.array([o[turn] for o in order[:active]])
+        w = windows[at]
+        h = np.where(begins[at], np.float32(0), h[:, :active])
         for s in range(0, SPAN, SEGMENT):
             x, y = np.maximum(w[:, s:s + SEGMENT].T, 0), w[:, s + 1:s + SEGMENT + 1].T
             use = np.flatnonzero(y.ravel() >= 0)
@@ -179,7 +205,7 @@ def train_windows(p: dict[str, np.ndarray], windows: np.ndarray, lanes: int = LA
             back = np.zeros_like(flat)
             back[use] = dh
             grads |= gru.backward(p, x, tape, back.reshape(len(x), len(w), HIDDEN).transpose(0, 2, 1))
-            opt.update(grads)
+            opt.update(grads, len(use) / (lanes * SEGMENT))  # few tokens, such as a long text's end, move it less
             h = states[-1]  # the state goes on, the gradient does not
     return p
 
@@ -231,32 +257,30 @@ def document_log_probabilities(p: dict, docs: list[np.ndarray]) -> np.ndarray:
 
 
 # ---------------------------------------------------------------- training in the cluster
+def text_windows(symbols: np.ndarray) -> np.ndarray:
+    """All windows of a text's symbols, one after another: the symbol before each and SPAN
+    targets, the last of all END; padded with -1."""
+    n = -(-(len(symbols) + 1) // SPAN)
+    s = np.full(n * SPAN + 1, -1, np.int32)
+    s[0], s[1:len(symbols) + 1], s[len(symbols) + 1] = END, symbols, END
+    return np.lib.stride_tricks.sliding_window_view(s, SPAN + 1)[::SPAN]
+
+
 def _windows(rows: DataFrame, vocab) -> DataFrame:
-    """One window of symbols of each row (key, t): the symbol before it and SPAN targets."""
+    """All windows of each row (key, t), flat."""
     schema = pa.schema([("key", pa.int64()), ("w", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, symbol = vocab.value.index, vocab.value.symbol
+        get, symbol = vocab.value.index.get, vocab.value.symbol
         for cols in batched(batches):
             out = []
-            for key, t in zip(cols["key"], cols["t"], strict=True):
-                t = t or b""
-                room = 24 * SPAN  # bytes that hold SPAN words as a rule; more are not needed
-                at = key % max(len(t) - room // 2, 1)
-                words = t[at:at + room].lower().split()
-                whole = at + room >= len(t)
-                if at and words:
-                    words = words[1:]  # may be the rest of a word
-                if not whole and words:
-                    words = words[:-1]
-                got = [int(symbol[index.get(w, -1)]) for w in words[:SPAN + 1]]
-                if whole and len(got) <= SPAN:
-                    got.append(END)
-                if not at:
-                    got = [END, *got][:SPAN + 1]
-                out.append(got + [-1] * (SPAN + 1 - len(got)))
-            yield pa.RecordBatch.from_arrays([pa.array(cols["key"], pa.int64()), pa.array(out, pa.list_(pa.int32()))],
-                                             schema=schema)
+            for t in cols["t"]:
+                words = (t or b"").lower().split()
+                at = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+                out.append(text_windows(symbol[at]).ravel())
+            offsets = np.concatenate([[0], np.cumsum([len(w) for w in out])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cols["key"], pa.int64()), pa.ListArray.from_arrays(offsets, np.concatenate(out))], schema=schema)
 
     return rows.select("key", "t").mapInArrow(run, "key long, w array<int>")
 
@@ -270,16 +294,16 @@ def train(rows: DataFrame, vocab: Vocabulary, shared) -> dict[str, np.ndarray]:
     windows = stored(_windows(rows, shared), "lm-windows")
     names = sorted(p)
     shapes = {k: p[k].shape for k in names}
-    tasks = int(np.clip(vocab.docs // (ROUNDS * TASK_WINDOWS), 1, TASKS))
+    tasks = max(1, int(vocab.tokens) // (ROUNDS * TASK_WINDOWS * SPAN))
     schema = pa.schema([("n", pa.int64()), ("v", pa.list_(pa.float32()))])
     for turn in range(ROUNDS):
         start = spark.sparkContext.broadcast(p)
 
         def run(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
-            got = [np.array(b.column(0).flatten()).reshape(-1, SPAN + 1) for b in batches if b.num_rows]
-            w = np.concatenate(got) if got else np.empty((0, SPAN + 1), np.int32)
-            if len(w):
-                q = train_windows(start.value, w)
+            got = [(np.array(b.column(0).flatten()), np.array(b.column(0).value_lengths())) for b in batches if b.num_rows]
+            if got:
+                w = np.concatenate([a for a, _ in got]).reshape(-1, SPAN + 1)
+                q = train_windows(start.value, w, np.concatenate([n for _, n in got]) // (SPAN + 1))
                 flat = np.concatenate([q[k].ravel() for k in names]).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([pa.array([len(w)], pa.int64()),
                                                   pa.array([flat], pa.list_(pa.float32()))], schema=schema)

@@ -329,6 +329,32 @@ def test_training_lowers_the_loss():
     assert language_model.document_log_probabilities(q, list(w[:50].astype(np.int32))).sum() > 0.8 * before
 
 
+def test_every_word_is_trained_on(spark):
+    span = language_model.SPAN
+    for n in (0, 1, span - 1, span, 5 * span + 7):
+        w = language_model.text_windows(np.arange(2, n + 2))
+        targets = w[:, 1:].ravel()
+        assert targets[targets >= 0].tolist() == [*range(2, n + 2), language_model.END]
+        assert w[0, 0] == language_model.END and (w[1:, 0] == w[:-1, -1]).all()
+    texts = [" ".join(f"w{i % 50}" for i in range(3000)), "日" * 2000 + " 本", None]
+    df = spark.createDataFrame([(i, None if t is None else t.encode()) for i, t in enumerate(texts)], "key long, t binary")
+    counts = language_model.word_counts(df)
+    vocab = language_model.Vocabulary(counts, 3)
+    vocab.level = None
+    rows = language_model._windows(df, spark.sparkContext.broadcast(vocab)).collect()
+    used = {r.key: sum(x >= 0 for x in np.reshape(r.w, (-1, span + 1))[:, 1:].ravel()) for r in rows}
+    assert used == {0: 3001, 1: 3, 2: 1}
+
+
+def test_training_carries_the_state(spark):
+    rng = np.random.default_rng(4)
+    w = rng.integers(0, 40, (6, language_model.SPAN + 1)).astype(np.int32)
+    p = language_model.new_model(np.bincount(w.ravel(), minlength=40).astype(float))
+    one = language_model.train_windows(p, w, np.array([6]))
+    cut = language_model.train_windows(p, w, np.array([1] * 6), lanes=1)
+    assert all(np.isfinite(v).all() for v in one.values()) and not np.allclose(one["W"], cut["W"])
+
+
 # ---------------------------------------------------------------- 7 toxicity
 def test_toxicity(spark, docs, empty):
     rng = random.Random(9)
