@@ -94,6 +94,15 @@ def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+@query
+def op11_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from respan.llm.token_ids import through_files
+    from respan.llm.util import tokenizer_path
+
+    out = through_files(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 ORACLE["op10_substring_dedup"] = r"""
 WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS t
            FROM documents),
