@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from respan.llm import pfor
-from respan.llm.packing import WordIds
+from respan.llm.packing import MEMORY, WordIds
 from respan.llm.util import batched, bound_batches
 from respan.session import scratch_path
 
@@ -74,6 +74,7 @@ class LibraryIds(WordIds):
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
         rest = [b for b in range(256) if b not in plain]
         self.alphabet = {b: 256 + i for i, b in enumerate(rest)}
+        self.model = tokenizer.model.tokenize
         self.known: dict[str, bytes] = {}
 
     def clear(self) -> None:
@@ -82,16 +83,28 @@ class LibraryIds(WordIds):
 
     def unit(self, piece: str) -> bytes:
         """Ids of one match of the pre-tokeniser's pattern."""
-        v = self.known.get(piece)
-        if v is None:
+        if piece.isascii() and piece[1:].isalpha() and piece[0] == " ":
+            line = "\u0120" + piece[1:]
+        else:
             line = piece.encode().decode("latin-1").translate(self.alphabet)
-            v = self.known[piece] = array("I", [t.id for t in self.tokenizer.model.tokenize(line)]).tobytes()
+        v = self.known[piece] = array("I", [t.id for t in self.model(line)]).tobytes()
         return v
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > 300_000:
-            self.known.clear()
-        out: list = [None if self.far.search(t) else b"".join(map(self.unit, self.find(t))) for t in texts]
+        known, unit = self.known, self.unit
+        if len(known) + len(texts) > MEMORY:
+            known.clear()
+        out: list = []
+        for t in texts:
+            if not t.isascii() and self.far.search(t):
+                out.append(None)
+                continue
+            if t[1:].isalpha() and t[0] == " ":
+                out.append(known.get(t) or unit(t))
+            elif t[1:-1].isalpha() and t[0] == " " and t[-1] in ".,;:!?":
+                out.append((known.get(t[:-1]) or unit(t[:-1])) + (known.get(t[-1]) or unit(t[-1])))
+            else:
+                out.append(b"".join([known.get(p) or unit(p) for p in self.find(t)]))
         far = [i for i, v in enumerate(out) if v is None]
         for i, e in zip(far, self.tokenizer.encode_batch_fast([texts[i] for i in far], add_special_tokens=False), strict=True):
             out[i] = array("I", e.ids).tobytes()
