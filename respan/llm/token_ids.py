@@ -42,7 +42,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from respan.llm import pfor
-from respan.llm.packing import MEMORY, WordIds
 from respan.llm.util import batched, bound_batches
 from respan.session import scratch_path
 
@@ -52,29 +51,33 @@ FOOT = struct.Struct("<QQQQ8s")
 CHUNK = 1024
 #: Text bytes that a file aims at; smaller inputs are cut finer, down to LEAST bytes, to keep all cores busy.
 FILE_BYTES, LEAST = 192 << 20, 8 << 20
+#: Entries of a worker's memory of words and pieces (about 200 bytes each); it is emptied when full.
+MEMORY = 1_500_000
 #: Bytes of ids in one batch of rows read.
 READ_BYTES = 8 << 20
 
 
 # ---------------------------------------------------------------- encoding
-class LibraryIds(WordIds):
-    """Ids of words (with one space before them) by the library's own model."""
+class LibraryIds(dict):
+    """Ids (bytes) of words with one space before them, by the library's own model; a word is
+    encoded when it is first met."""
 
     def __init__(self, tokenizer):
         import regex
 
         import public_tokenizers
 
-        dict.__init__(self)
-        self.tokenizer = tokenizer
-        self.specials = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        self.far = regex.compile("[^\x00-ɏ]")
+        super().__init__()
+        self.tokenizer, self.model = tokenizer, tokenizer.model.tokenize
+        special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.special = regex.compile("|".join(map(regex.escape, special)) or "(?!)").search
+        self.far = regex.compile("[^\x00-\u024f]").search
+        self.blank = regex.compile(r" (?!\S)").search
         self.find = regex.compile(public_tokenizers.PATTERN).findall
         # the byte-level alphabet: bytes that print stand for themselves, the others from 256 on
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
         rest = [b for b in range(256) if b not in plain]
         self.alphabet = {b: 256 + i for i, b in enumerate(rest)}
-        self.model = tokenizer.model.tokenize
         self.known: dict[str, bytes] = {}
 
     def clear(self) -> None:
@@ -90,25 +93,36 @@ class LibraryIds(WordIds):
         v = self.known[piece] = array("I", [t.id for t in self.model(line)]).tobytes()
         return v
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, text: str) -> bytes:
+        """Ids of a text without a special token's string."""
         known, unit = self.known, self.unit
-        if len(known) + len(texts) > MEMORY:
-            known.clear()
-        out: list = []
-        for t in texts:
-            if not t.isascii() and self.far.search(t):
-                out.append(None)
-                continue
-            if t[1:].isalpha() and t[0] == " ":
-                out.append(known.get(t) or unit(t))
-            elif t[1:-1].isalpha() and t[0] == " " and t[-1] in ".,;:!?":
-                out.append((known.get(t[:-1]) or unit(t[:-1])) + (known.get(t[-1]) or unit(t[-1])))
-            else:
-                out.append(b"".join([known.get(p) or unit(p) for p in self.find(t)]))
-        far = [i for i, v in enumerate(out) if v is None]
-        for i, e in zip(far, self.tokenizer.encode_batch_fast([texts[i] for i in far], add_special_tokens=False), strict=True):
-            out[i] = array("I", e.ids).tobytes()
-        return out
+        if not text.isascii() and self.far(text):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        if text[1:].isalpha() and text[0] == " ":
+            return known.get(text) or unit(text)
+        if text[1:-1].isalpha() and text[0] == " " and text[-1] in ".,;:!?":
+            return (known.get(text[:-1]) or unit(text[:-1])) + (known.get(text[-1]) or unit(text[-1]))
+        return b"".join([known.get(p) or unit(p) for p in self.find(text)])
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) + len(self.known) > MEMORY:
+            self.clear()
+        v = self[word] = self.encode(" " + word)
+        return v
+
+    def ids(self, text: str) -> bytes:
+        if self.special(text):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        parts = text.split(" ")
+        if self.blank(text):  # a space before white space or the end joins what follows
+            merged = [parts[0]]
+            for p in parts[1:]:
+                if p and not p[0].isspace():
+                    merged.append(p)
+                else:
+                    merged[-1] += " " + p
+            parts = merged
+        return self.encode(parts[0]) + b"".join(map(self.__getitem__, parts[1:]))
 
 
 _IDS: dict[str, LibraryIds] = {}
@@ -146,9 +160,8 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame:
         words = library_ids(tokenizer_path)
         end = struct.pack("<I", end_id)
         for cols in batched(batches):
-            ids = [v + end for v in words.ids([t or "" for t in cols["text"]])]
+            ids = [words.ids(t or "") + end for t in cols["text"]]
             yield pa.RecordBatch.from_arrays([pa.array(cols["doc_id"], pa.int64()), pa.array(ids, pa.binary())], schema=schema)
-        words.clear()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
 
