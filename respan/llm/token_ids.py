@@ -308,7 +308,9 @@ class _Reader(DataSourceReader):
         with fs.open_input_file(f"{folder}/manifest.json") as source:
             return [_Part(f["name"], f["before"]) for f in json.loads(source.read())["files"]]
 
-    def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: _Part | None) -> Iterator[pa.RecordBatch]:
+        if not isinstance(partition, _Part):  # a folder without files is read as one empty partition
+            return
         fs, folder = store(self.path)
         with fs.open_input_file(f"{folder}/{partition.name}") as source:
             index = FileIndex(source)

@@ -92,3 +92,33 @@ def token_ids(texts: list[str | None], path: str) -> list[list[int]]:
 
 def crc_ids(ids: list[int]) -> int:
     return zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))
+
+
+def fim(doc_id, text: str | None) -> tuple:
+    """(n, form, prefix_chars, middle_chars, output)."""
+    t = text or ""
+    units = re.findall("[A-Za-z]+|[^A-Za-z]", t)
+    d = hashlib.sha256(f"1:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    h1, h2, h3, h4 = (int(d[8 * i:8 * i + 8], 16) for i in range(4))
+    a, b = sorted((h1 % (len(units) + 1), h2 % (len(units) + 1)))
+    if not t or "<P>" in t or "<S>" in t or "<M>" in t or h3 % 100 >= 90:
+        return len(units), "plain", None, None, t
+    p, m, s = "".join(units[:a]), "".join(units[a:b]), "".join(units[b:])
+    if h4 % 100 < 20:
+        return len(units), "spm", len(p), len(m), f"<S>{s}<P>{p}<M>{m}"
+    return len(units), "psm", len(p), len(m), f"<P>{p}<S>{s}<M>{m}"
+
+
+def periodic_runs(w: list) -> list[tuple[int, int, int]]:
+    """(start, length, period), comparing all words at every distance."""
+    found: dict[tuple[int, int], int] = {}
+    for q in range(1, len(w) // 4 + 1):
+        j = 0
+        while j < len(w) - q:
+            k = j
+            while k < len(w) - q and w[k] == w[k + q]:
+                k += 1
+            if k - j + q >= max(6, 4 * q):
+                found.setdefault((j, k - j + q), q)
+            j = max(k, j + 1)
+    return sorted(((s, n, q) for (s, n), q in found.items()), key=lambda r: (r[0], r[2]))
