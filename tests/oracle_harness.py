@@ -25,7 +25,7 @@ def duck(sf_dir: str):
 
 
 def _norm(v):
-    if v is None:
+    if v is None or v is pd.NA:
         return "NULL"
     if isinstance(v, float):
         if math.isnan(v):
@@ -50,7 +50,7 @@ def compare(spark, name: str, sf_dir: str, verbose: bool = True):
 
     t0 = time.time()
     sdf = E.queries()[name](spark, sf_dir)
-    spd = sdf.toPandas()
+    spd = sdf.toArrow().to_pandas(integer_object_nulls=True, timestamp_as_object=False)  # null integers stay integers
     t1 = time.time()
     sql = E.oracle_sql().get(name)
     if sql is None:
