@@ -51,16 +51,16 @@ FOOT = struct.Struct("<QQQQ8s")
 CHUNK = 1024
 #: Text bytes that a file aims at; smaller inputs are cut finer, down to LEAST bytes, to keep all cores busy.
 FILE_BYTES, LEAST = 192 << 20, 8 << 20
-#: Entries of a worker's memory of words and pieces (about 200 bytes each); it is emptied when full.
-MEMORY = 1_500_000
+#: Words, and matches of the pattern, that a worker remembers (about 180 bytes each); emptied when full.
+MEMORY = 400_000
 #: Bytes of ids in one batch of rows read.
 READ_BYTES = 8 << 20
 
 
 # ---------------------------------------------------------------- encoding
 class LibraryIds(dict):
-    """Ids (bytes) of words with one space before them, by the library's own model; a word is
-    encoded when it is first met."""
+    """Ids (bytes) of words with one space before them, by the library's own model; words, and the
+    matches of the pre-tokeniser's pattern that they consist of, are encoded when first met."""
 
     def __init__(self, tokenizer):
         import regex
@@ -78,41 +78,45 @@ class LibraryIds(dict):
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
         rest = [b for b in range(256) if b not in plain]
         self.alphabet = {b: 256 + i for i, b in enumerate(rest)}
-        self.known: dict[str, bytes] = {}
-
-    def clear(self) -> None:
-        super().clear()
-        self.known.clear()
+        self.pieces: dict[str, bytes] = {}
 
     def unit(self, piece: str) -> bytes:
         """Ids of one match of the pre-tokeniser's pattern."""
-        if piece.isascii() and piece[1:].isalpha() and piece[0] == " ":
-            line = "\u0120" + piece[1:]
-        else:
-            line = piece.encode().decode("latin-1").translate(self.alphabet)
-        v = self.known[piece] = array("I", [t.id for t in self.model(line)]).tobytes()
+        v = self.pieces.get(piece)
+        if v is None:
+            if piece[0] == " " and piece.isascii() and piece[1:].isalpha():
+                line = "\u0120" + piece[1:]
+            else:
+                line = piece.encode().decode("latin-1").translate(self.alphabet)
+            if len(self.pieces) >= MEMORY:
+                self.pieces.clear()
+            v = self.pieces[piece] = array("I", [t.id for t in self.model(line)]).tobytes()
         return v
 
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
     def encode(self, text: str) -> bytes:
         """Ids of a text without a special token's string."""
-        known, unit = self.known, self.unit
         if not text.isascii() and self.far(text):
-            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        if text[1:].isalpha() and text[0] == " ":
-            return known.get(text) or unit(text)
-        if text[1:-1].isalpha() and text[0] == " " and text[-1] in ".,;:!?":
-            return (known.get(text[:-1]) or unit(text[:-1])) + (known.get(text[-1]) or unit(text[-1]))
-        return b"".join([known.get(p) or unit(p) for p in self.find(text)])
+            return self.whole(text)
+        return b"".join(map(self.unit, self.find(text)))
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) + len(self.known) > MEMORY:
+        if word.isalpha() and (word.isascii() or not self.far(word)):
+            v = self.unit(" " + word)
+        elif word[:-1].isalpha() and word[-1] in ".,;:!?" and (word.isascii() or not self.far(word)):
+            v = self.unit(" " + word[:-1]) + self.unit(word[-1])
+        else:
+            v = self.encode(" " + word)
+        if len(self) >= MEMORY:
             self.clear()
-        v = self[word] = self.encode(" " + word)
+        self[word] = v
         return v
 
     def ids(self, text: str) -> bytes:
         if self.special(text):
-            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+            return self.whole(text)
         parts = text.split(" ")
         if self.blank(text):  # a space before white space or the end joins what follows
             merged = [parts[0]]
