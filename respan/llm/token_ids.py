@@ -261,8 +261,10 @@ def read_span(path: str, start: int, length: int) -> np.ndarray:
 
 
 class _Writer(DataSourceArrowWriter):
-    def __init__(self, path: str):
-        self.path = path
+    """Writes (doc_id, ids), or (doc_id, text) that the task encodes itself."""
+
+    def __init__(self, path: str, tokenizer: str | None, end_id: int):
+        self.path, self.tokenizer, self.end = path, tokenizer, struct.pack("<I", end_id)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         from pyspark import TaskContext
@@ -273,9 +275,11 @@ class _Writer(DataSourceArrowWriter):
         name = f"part-{task.partitionId():06d}-{uuid.uuid4().hex}.pfor"
         with fs.open_output_stream(f"{folder}/{name}") as out:
             file = FileWriter(out)
+            words = library_ids(self.tokenizer) if self.tokenizer else None
             for batch in iterator:
-                for doc, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    file.add(doc, np.frombuffer(ids.as_buffer(), "<u4"))
+                for doc, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    ids = words.ids(v.as_py() or "") + self.end if words else v.as_buffer()
+                    file.add(doc, np.frombuffer(ids, "<u4"))
             file.close()
         return Written(task.partitionId(), name, len(file.docs), file.tokens)
 
@@ -337,7 +341,8 @@ class _Reader(DataSourceReader):
 
 
 class TokenIdFiles(DataSource):
-    """Data source ``pfor``: written from (doc_id, ids), read as (doc_id, start, n_tokens, ids)."""
+    """Data source ``pfor``: written from (doc_id, ids), or from (doc_id, text) with the option
+    ``tokenizer`` (and ``endId``), read as (doc_id, start, n_tokens, ids)."""
 
     @classmethod
     def name(cls) -> str:
@@ -350,13 +355,15 @@ class TokenIdFiles(DataSource):
         return _Reader(self.options["path"])
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
-        return _Writer(self.options["path"])
+        return _Writer(self.options["path"], self.options.get("tokenizer"), int(self.options.get("endid", 0)))
 
 
-def write_ids(rows: DataFrame, path: str) -> None:
-    """Write (doc_id, ids) rows, whose partitions are ranges in document order, to a new folder."""
+def write_ids(rows: DataFrame, path: str, **options) -> None:
+    """Write (doc_id, ids) rows, whose partitions are ranges in document order, to a new folder
+    (rows of (doc_id, text) with the options of :class:`TokenIdFiles`)."""
     rows.sparkSession.dataSource.register(TokenIdFiles)
-    rows.write.format("pfor").mode("append").save(path)
+    bound_batches(rows.sparkSession, 8 << 20, 1000)
+    rows.write.format("pfor").mode("append").options(**options).save(path)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -369,5 +376,5 @@ def through_files(docs: DataFrame, tokenizer_path: str, path: str | None = None)
     """Encode ``documents``, write the files (by default below the shared folder), read them back."""
     spark = docs.sparkSession
     path = path or scratch_path(spark, f"token-ids-{uuid.uuid4().hex}")
-    write_ids(encode(ordered(docs), tokenizer_path), path)
+    write_ids(ordered(docs), path, tokenizer=tokenizer_path)
     return read_ids(spark, path)

@@ -74,6 +74,8 @@ def test_token_files(spark, docs, empty):
         at += r.n_tokens
     ids = [(r.doc_id, tuple(np.frombuffer(r.ids, "<u4").tolist())) for r in got]
     assert collections.Counter(ids) == collections.Counter((d, tuple(want[d, t])) for d, t in ROWS)
+    token_ids.write_ids(token_ids.encode(token_ids.ordered(docs), PATH), path + "-ids")  # the same from a table of ids
+    assert sorted(map(tuple, token_ids.read_ids(spark, path + "-ids").select("start", "ids").collect())) == [(r.start, r.ids) for r in got]
     # one span of one file through its block index
     names = [r.name for r in spark.read.option("multiLine", True).json(f"{path}/manifest.json").selectExpr("inline(files)").collect()]
     whole = token_ids.read_span(f"{path}/{names[0]}", 0, 10**9)
