@@ -278,7 +278,7 @@ class _Writer(DataSourceArrowWriter):
             words = library_ids(self.tokenizer) if self.tokenizer else None
             for batch in iterator:
                 for doc, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    ids = words.ids(v.as_py() or "") + self.end if words else v.as_buffer()
+                    ids = words.ids(v.as_py() or "") + self.end if words is not None else v.as_buffer()
                     file.add(doc, np.frombuffer(ids, "<u4"))
             file.close()
         return Written(task.partitionId(), name, len(file.docs), file.tokens)
