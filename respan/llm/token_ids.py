@@ -52,7 +52,7 @@ CHUNK = 1024
 #: Text bytes that a file aims at; smaller inputs are cut finer, down to LEAST bytes, to keep all cores busy.
 FILE_BYTES, LEAST = 192 << 20, 8 << 20
 #: Words, and matches of the pattern, that a worker remembers (about 180 bytes each); emptied when full.
-MEMORY = 400_000
+MEMORY = 700_000
 #: Bytes of ids in one batch of rows read.
 READ_BYTES = 8 << 20
 
