@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from respan import catalog as C
 from respan.catalog import read_table, with_fixtures
+from respan.operators import svd
 from respan.operators import text as T
 from respan.operators import vectors as V
 from respan.operators.split import exact_split, split_sql
@@ -114,6 +116,33 @@ def q_tfidf_transform(spark, sf):
     return _weights(spark, sf).where(F.col("split") != "train").drop("split")
 
 
+@register("tfidf_svd", _fx(
+    f"""SELECT (SELECT n FROM ntr) AS n_docs, count(*) AS n_terms, least(1000, least((SELECT n FROM ntr), count(*)) - 1) AS components_allowed,
+           {r6('sum(ss)', 'squared_weight')}, {r6('(sum(ss) - sum(s * s) / (SELECT n FROM ntr)) / (SELECT n FROM ntr)', 'total_variance')},
+           true AS orthogonal, true AS projection_has_singular_lengths, true AS captures_its_share, true AS new_rows_stay_within
+        FROM (SELECT term, sum(weight) AS s, sum(weight * weight) AS ss FROM tfidf WHERE split = 'train' GROUP BY term)""", extra=_TFIDF_SQL))
+def q_tfidf_svd(spark, sf):
+    """Fitted on all training weights, every other document projected.  SQL has no solver, so
+    beside the sums the row holds what fixes a truncated SVD: orthonormal right vectors, columns of
+    the projection as long as the singular values, at least the share of squared weight that k of
+    min(n, d) leading directions have, and no new row longer than its own weights (all of length 1)."""
+    w = _weights(spark, sf)
+    m = svd.fit_svd(w.where(F.col("split") == "train").drop("split"))
+    square = F.transform("svd", lambda x: x * x)
+    lengths = m.projection.select(F.posexplode(square).alias("c", "v")).groupBy("c").agg(F.sum("v").alias("v")).toPandas()
+    found = lengths.sort_values("c")["v"].to_numpy()
+    allowed = min(svd.N_COMPONENTS, min(m.n_rows, m.n_columns) - 1)
+    least = allowed / min(m.n_rows, m.n_columns) * m.squared_weight
+    longest = (m.transform(w.where(F.col("split") != "train").drop("split"))
+               .select(F.aggregate(square, F.lit(0.0), lambda a, v: a + v).alias("v")).agg(F.max("v")).first()[0])
+    row = (m.n_rows, m.n_columns, allowed, round(m.squared_weight, 6), round(m.total_variance, 6), m.orthogonality_error < 1e-9,
+           bool(len(found) == m.k and np.allclose(found, m.singular_values ** 2, rtol=1e-6, atol=1e-9)),
+           bool(least * (1 - 1e-6) <= (m.singular_values ** 2).sum() <= m.squared_weight * (1 + 1e-9)), longest <= 1 + 1e-9)
+    return spark.createDataFrame([row], "n_docs long, n_terms long, components_allowed long, squared_weight double, total_variance double, "
+                                 "orthogonal boolean, projection_has_singular_lengths boolean, captures_its_share boolean, "
+                                 "new_rows_stay_within boolean")
+
+
 def _chunk_sql(mode: str) -> str:
     if mode == "plain":
         w = s = 458
