@@ -233,6 +233,18 @@ def attention_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def document_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attention edges between the tokens of ``documents`` (three layers, four heads)."""
+    docs = read_table(spark, sf_dir, "documents")
+    n_docs = docs.agg(F.max("doc_id") + 1).first()[0]
+    size = docs.select(F.col("doc_id").alias("doc"), F.size(F.split("text", r"\s+")).cast("long").alias("n"))
+    li = read_table(spark, sf_dir, "lineitem").withColumn("doc", F.col("l_orderkey") % n_docs).join(size, "doc")
+    return li.select("doc", F.expr("cast(l_linenumber % 3 as int)").alias("layer"), F.expr("cast(l_partkey div 16 % 4 as int)").alias("head"),
+                     F.expr("cast((l_partkey % n) * (l_suppkey % n) div n as int)").alias("from_pos"),
+                     F.expr("cast((l_partkey % n) * (l_orderkey % n) div n as int)").alias("to_pos"),
+                     (F.col("l_quantity") / 50.0).alias("weight"))
+
+
 # --------------------------------------------------------------------------- DuckDB twins
 
 
@@ -278,6 +290,13 @@ FIXTURE_SQL = {
         f"{_sql_pick(['5', '10', '20'], 'l_suppkey')} AS n_estimators, "
         f"{_sql_pick(['3', '5', '7'], 'l_partkey')} AS max_depth FROM lineitem"
     ),
+    "document_edges": (
+        "SELECT doc, CAST(l_linenumber % 3 AS INTEGER) AS layer, CAST((l_partkey // 16) % 4 AS INTEGER) AS head, "
+        "CAST((l_partkey % n) * (l_suppkey % n) // n AS INTEGER) AS from_pos, "
+        "CAST((l_partkey % n) * (l_orderkey % n) // n AS INTEGER) AS to_pos, l_quantity / 50.0 AS weight "
+        "FROM (SELECT *, l_orderkey % (SELECT max(doc_id) + 1 FROM documents) AS doc FROM lineitem) JOIN "
+        "(SELECT doc_id AS doc, CAST(len(regexp_split_to_array(text, '\\s+')) AS BIGINT) AS n FROM documents) USING (doc)"
+    ),
     "attention_edges": (
         "SELECT l_orderkey AS doc, CAST(l_linenumber % 2 AS INTEGER) AS layer, "
         "CAST((l_partkey // 16) % 4 AS INTEGER) AS head, CAST(l_partkey % 16 AS INTEGER) AS from_pos, "

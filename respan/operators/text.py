@@ -11,6 +11,7 @@ its size is bounded, so it is broadcast.  Features stay sparse as (doc, term, we
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Sequence
 
@@ -176,15 +177,23 @@ def chunk_table(docs: DataFrame, mode: str, key: str = "doc_id", text: str = "te
     return d.select(key, F.size("chunks").alias("n_chunks"), F.posexplode_outer("chunks").alias("chunk_idx", "tokens"))
 
 
+def keyword_hits(docs: DataFrame, keywords: Sequence[str] = DSL_KEYWORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, keyword, pos): tokens (split at white space, lower case) that contain a keyword.  Tokens
+    without any are dropped before the others are repeated for each keyword that they hold."""
+    words = sorted({k.lower() for k in keywords})
+    toks = docs.select(key, F.posexplode(F.split(F.lower(F.col(text)), r"\s+")).alias("pos", "token"))
+    toks = toks.where(F.col("token").rlike("|".join(re.escape(w) for w in words)))
+    held = F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(F.col("token"), w))
+    return toks.select(key, F.explode(held).alias("keyword"), "pos")
+
+
 def keyword_positions(docs: DataFrame, keywords: Sequence[str] = DSL_KEYWORDS, key: str = "doc_id",
                       text: str = "text") -> DataFrame:
     """Positions of tokens containing each keyword (case-insensitive): count,
     first position and the position list."""
-    toks = docs.select(key, F.posexplode(F.split(F.lower(F.col(text)), r"\s+")).alias("pos", "token"))
-    kw = F.explode(F.array(*[F.lit(k.lower()) for k in keywords])).alias("keyword")
-    hits = toks.select(key, "pos", "token", kw).where(F.col("token").contains(F.col("keyword")))
-    return hits.groupBy(key, "keyword").agg(F.count(F.lit(1)).alias("occurrences"), F.min("pos").alias("first_pos"),
-                                           F.sort_array(F.collect_list("pos")).alias("positions"))
+    return (keyword_hits(docs, keywords, key, text).groupBy(key, "keyword")
+            .agg(F.count(F.lit(1)).alias("occurrences"), F.min("pos").alias("first_pos"),
+                 F.sort_array(F.collect_list("pos")).alias("positions")))
 
 
 def document_metadata(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

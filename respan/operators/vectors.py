@@ -149,6 +149,75 @@ def keyword_attention(edges: DataFrame, position: int = 0, seq_len: int = 16) ->
                                           F.coalesce(to, F.lit(0.0)).alias("mean_to"))
 
 
+TOP_TOKENS = 20  # fixed value (reference default)
+
+
+def keyword_edges(edges: DataFrame, first: DataFrame) -> DataFrame:
+    """(doc, keyword, layer, pos, attention_from, attention_to) between each keyword's first
+    position (``first``: doc, keyword, pos) and every token it has an edge with, in every layer.
+
+    Heads are averaged, a head without the edge counts as 0.  Both joins are on (document,
+    position), so edges that touch no keyword drop out at once."""
+    one = edges.groupBy("doc", "layer", "head", "from_pos", "to_pos").agg(F.avg("weight").alias("w"))
+    at = first.select("doc", "keyword", F.col("pos").alias("at"))
+
+    def side(near: str, far: str, column: str, other: str) -> DataFrame:
+        near_edges = one.select("doc", "layer", F.col(near).alias("at"), F.col(far).alias("pos"), F.col("w").alias(column))
+        return near_edges.join(at, ["doc", "at"]).withColumn(other, F.lit(0.0)).select(
+            "doc", "keyword", "layer", "pos", "attention_from", "attention_to")
+
+    both = side("from_pos", "to_pos", "attention_from", "attention_to").unionByName(
+        side("to_pos", "from_pos", "attention_to", "attention_from"))
+    heads = edges.groupBy("doc", "layer").agg(F.countDistinct("head").alias("_h"))
+    summed = both.groupBy("doc", "keyword", "layer", "pos").agg(F.sum("attention_from").alias("f"), F.sum("attention_to").alias("t"))
+    return summed.join(heads, ["doc", "layer"]).select("doc", "keyword", "layer", "pos", (F.col("f") / F.col("_h")).alias("attention_from"),
+                                                       (F.col("t") / F.col("_h")).alias("attention_to"))
+
+
+def keyword_layers(edges: DataFrame, first: DataFrame, lengths: DataFrame) -> DataFrame:
+    """Per (doc, keyword, layer) the mean attention from and to the keyword over all of the
+    document's tokens (``lengths``: doc, n_tokens); layers without such an edge have 0."""
+    layers = edges.select("doc", "layer").distinct()
+    sums = keyword_edges(edges, first).groupBy("doc", "keyword", "layer").agg(
+        F.sum("attention_from").alias("f"), F.sum("attention_to").alias("t"))
+    every = first.select("doc", "keyword").join(layers, "doc").join(lengths, "doc")
+    zero = F.lit(0.0)
+    return every.join(sums, ["doc", "keyword", "layer"], "left").select(
+        "doc", "keyword", "layer", (F.coalesce("f", zero) / F.col("n_tokens")).alias("mean_from"),
+        (F.coalesce("t", zero) / F.col("n_tokens")).alias("mean_to"))
+
+
+def keyword_vectors(edges: DataFrame, first: DataFrame, lengths: DataFrame) -> DataFrame:
+    """(doc, keyword, layer, attention_from, attention_to) with arrays over all tokens of the document."""
+    layers = edges.select("doc", "layer").distinct()
+    every = first.select("doc", "keyword").join(layers, "doc").join(lengths, "doc").select(
+        "doc", "keyword", "layer", F.explode(F.sequence(F.lit(0), F.col("n_tokens").cast("int") - 1)).alias("pos"))
+    zero = F.lit(0.0)
+    dense = every.join(keyword_edges(edges, first), ["doc", "keyword", "layer", "pos"], "left").groupBy("doc", "keyword", "layer").agg(
+        F.sort_array(F.collect_list(F.struct("pos", F.coalesce("attention_from", zero).alias("f"),
+                                             F.coalesce("attention_to", zero).alias("t")))).alias("v"))
+    return dense.select("doc", "keyword", "layer", F.col("v.f").alias("attention_from"), F.col("v.t").alias("attention_to"))
+
+
+def keyword_top_tokens(edges: DataFrame, first: DataFrame, tokens: DataFrame, top_k: int = TOP_TOKENS) -> DataFrame:
+    """(doc, keyword, direction, rank, pos, token, attention): the ``top_k`` tokens of each
+    document (``tokens``: doc, pos, token) with most attention from and to the keyword in
+    the document's last layer, ties and tokens without an edge by position.
+
+    Tokens without an edge can only fill up the list, and its places are then the document's
+    first positions, so ``top_k`` of them are enough."""
+    last = edges.groupBy("doc").agg(F.max("layer").alias("layer"))
+    found = keyword_edges(edges, first).join(last, ["doc", "layer"]).select("doc", "keyword", "pos", "attention_from", "attention_to")
+    fill = (first.select("doc", "keyword").join(last.select("doc"), "doc")
+            .join(tokens.where(F.col("pos") < top_k).select("doc", "pos"), "doc")
+            .select("doc", "keyword", "pos", F.lit(0.0).alias("attention_from"), F.lit(0.0).alias("attention_to")))
+    both = found.unionByName(fill).groupBy("doc", "keyword", "pos").agg(F.sum("attention_from").alias("from"), F.sum("attention_to").alias("to"))
+    long = both.select("doc", "keyword", "pos", F.explode(F.create_map(F.lit("from"), "from", F.lit("to"), "to")).alias("direction", "attention"))
+    order = Window.partitionBy("doc", "keyword", "direction").orderBy(F.col("attention").desc(), "pos")
+    top = long.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
+    return top.join(tokens, ["doc", "pos"]).select("doc", "keyword", "direction", "rank", "pos", "token", "attention")
+
+
 def normalize_attention(edges: DataFrame) -> DataFrame:
     """Min-max normalise each (doc, layer, head) matrix; a constant matrix -> 1."""
     w = Window.partitionBy("doc", "layer", "head")

@@ -184,17 +184,23 @@ def q_chunk_precompute(spark, sf):
     return _chunk_out(T.chunk_table(_docs(spark, sf), "precompute"))
 
 
-@register("keyword_positions", _fx(
-    """SELECT doc_id, keyword, count(*) AS occurrences, min(pos) AS first_pos FROM (
-         SELECT doc_id, CAST(i - 1 AS BIGINT) AS pos, token, keyword FROM (
+_TOKENS_SQL = """
+toks AS (SELECT doc_id AS doc, CAST(i - 1 AS INTEGER) AS pos, token FROM (
            SELECT doc_id, unnest(a) AS token, generate_subscripts(a, 1) AS i FROM (
-             SELECT doc_id, regexp_split_to_array(lower(text), '\\s+') AS a FROM documents)),
-           (SELECT unnest(["""
-    + ", ".join(f"'{k.lower()}'" for k in T.DSL_KEYWORDS) + """]) AS keyword)
-         WHERE contains(token, keyword)) GROUP BY doc_id, keyword"""))
+             SELECT doc_id, regexp_split_to_array(lower(text), '\\s+') AS a FROM documents))),
+hits AS (SELECT doc, keyword, pos FROM toks, (SELECT unnest([""" + ", ".join(f"'{k.lower()}'" for k in T.DSL_KEYWORDS) + """]) AS keyword)
+         WHERE contains(token, keyword))
+"""
+
+
+@register("keyword_positions", _fx(
+    """SELECT doc AS doc_id, keyword, count(*) AS occurrences, CAST(min(pos) AS BIGINT) AS first_pos,
+              md5(string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos)) AS positions_md5 FROM hits GROUP BY doc, keyword""",
+    extra=_TOKENS_SQL))
 def q_keywords(spark, sf):
     k = T.keyword_positions(_docs(spark, sf))
-    return k.select("doc_id", "keyword", "occurrences", F.col("first_pos").cast("bigint").alias("first_pos"))
+    return k.select("doc_id", "keyword", "occurrences", F.col("first_pos").cast("bigint").alias("first_pos"),
+                    F.md5(F.concat_ws(",", F.transform("positions", lambda p: p.cast("string"))).cast("binary")).alias("positions_md5"))
 
 
 @register("document_metadata", _fx(
@@ -333,6 +339,52 @@ def q_keyword_attention(spark, sf):
     return V.keyword_attention(C.attention_edges(spark, sf), position=0)
 
 
+_PROFILE_SQL = _TOKENS_SQL.rstrip() + """,
+kfirst AS (SELECT doc, keyword, min(pos) AS pos FROM hits GROUP BY doc, keyword),
+one AS (SELECT doc, layer, head, from_pos, to_pos, avg(weight) AS w FROM document_edges GROUP BY ALL),
+heads AS (SELECT doc, layer, count(DISTINCT head) AS h FROM document_edges GROUP BY ALL),
+kedge AS (SELECT doc, keyword, layer, pos, sum(f) / max(h) AS f, sum(t) / max(h) AS t FROM (
+            SELECT o.doc, k.keyword, o.layer, o.to_pos AS pos, o.w AS f, 0.0 AS t FROM one o JOIN kfirst k ON k.doc = o.doc AND k.pos = o.from_pos
+            UNION ALL SELECT o.doc, k.keyword, o.layer, o.from_pos, 0.0, o.w FROM one o JOIN kfirst k ON k.doc = o.doc AND k.pos = o.to_pos)
+          JOIN heads USING (doc, layer) GROUP BY doc, keyword, layer, pos),
+lens AS (SELECT doc, count(*) AS n FROM toks GROUP BY doc)
+"""
+
+
+def _profile_input(spark, sf):
+    """(edges, first keyword positions, tokens, lengths) of the documents, positions counted alike."""
+    docs = _docs(spark, sf).withColumnRenamed("doc_id", "doc")
+    first = T.keyword_hits(docs, key="doc").groupBy("doc", "keyword").agg(F.min("pos").alias("pos"))
+    split = F.split(F.lower(F.col("text")), r"\s+")
+    return (C.document_edges(spark, sf), first, docs.select("doc", F.posexplode(split).alias("pos", "token")),
+            docs.select("doc", F.size(split).alias("n_tokens")))
+
+
+@register("keyword_profile_layers", _fx(
+    f"""SELECT k.doc, k.keyword, heads.layer, {r6('coalesce(f, 0.0) / n', 'mean_from')}, {r6('coalesce(t, 0.0) / n', 'mean_to')}
+        FROM kfirst k JOIN heads ON heads.doc = k.doc JOIN lens ON lens.doc = k.doc
+        LEFT JOIN (SELECT doc, keyword, layer, sum(f) AS f, sum(t) AS t FROM kedge GROUP BY ALL) s
+               ON s.doc = k.doc AND s.keyword = k.keyword AND s.layer = heads.layer""", "document_edges", extra=_PROFILE_SQL))
+def q_keyword_profile_layers(spark, sf):
+    """Mean attention from and to each keyword's first position, over all tokens, in every layer."""
+    edges, first, _, lengths = _profile_input(spark, sf)
+    return V.keyword_layers(edges, first, lengths)
+
+
+@register("keyword_profile_top", _fx(
+    f"""SELECT doc, keyword, direction, CAST(rank AS INTEGER) AS rank, pos, token, {r6('attention', 'attention')} FROM (
+          SELECT *, row_number() OVER (PARTITION BY doc, keyword, direction ORDER BY {r6('attention')} DESC, pos) AS rank FROM (
+            SELECT k.doc, k.keyword, d.direction, toks.pos, toks.token, coalesce(CASE WHEN d.direction = 'from' THEN e.f ELSE e.t END, 0.0) AS attention
+            FROM kfirst k JOIN (SELECT doc, max(layer) AS layer FROM document_edges GROUP BY doc) l ON l.doc = k.doc
+            JOIN toks ON toks.doc = k.doc CROSS JOIN (SELECT unnest(['from', 'to']) AS direction) d
+            LEFT JOIN kedge e ON e.doc = k.doc AND e.keyword = k.keyword AND e.layer = l.layer AND e.pos = toks.pos)) WHERE rank <= 20""",
+    "document_edges", extra=_PROFILE_SQL))
+def q_keyword_profile_top(spark, sf):
+    """The 20 tokens with most attention from and to each keyword in the last layer."""
+    edges, first, tokens, _ = _profile_input(spark, sf)
+    return V.keyword_top_tokens(edges, first, tokens)
+
+
 @register("normalize_attention", _fx(
     f"""SELECT doc, layer, head, from_pos, to_pos, {r6('weight', 'weight')},
            {r6('CASE WHEN max(weight) OVER w = min(weight) OVER w THEN 1.0 ELSE (weight - min(weight) OVER w) / (max(weight) OVER w - min(weight) OVER w) END', 'norm_weight')}
