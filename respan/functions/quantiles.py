@@ -35,9 +35,9 @@ BUCKETS, CHUNK = 1024, 64
 BROADCAST_EDGES = 1 << 22
 
 
-def _bucketize(data: DataFrame, groups: list[str], buckets: int, n_groups: int) -> tuple[DataFrame, DataFrame]:
-    """Rows with their bucket ``_bk``, and per-bucket stats with running [start, end) ranks."""
-    buckets = max(CHUNK, min(buckets, BROADCAST_EDGES // max(n_groups, 1)))
+def bucketize(data: DataFrame, groups: list[str], buckets: int, n_groups: int, least: int = CHUNK) -> tuple[DataFrame, DataFrame]:
+    """Rows (value ``_v``) with their bucket ``_bk``, odd for a single value, and per-bucket stats with running [start, end) ranks."""
+    buckets = max(least, min(buckets, BROADCAST_EDGES // max(n_groups, 1)))
     # one string literal instead of thousands keeps the plan small
     probs = ",".join(repr(i / buckets) for i in range(1, buckets))
     edges = data.groupBy(*groups).agg(
@@ -63,7 +63,7 @@ def _bucketize(data: DataFrame, groups: list[str], buckets: int, n_groups: int)
 
 def _select_ranks(data: DataFrame, groups: list[str], ranks: DataFrame, buckets: int, n_groups: int) -> DataFrame:
     """Values at 0-based ranks ``_r`` within each group: (groups..., _r, _val)."""
-    bucketed, stats = _bucketize(data, groups, buckets, n_groups)
+    bucketed, stats = bucketize(data, groups, buckets, n_groups)
     located = ranks.join(stats, groups, "inner").where((F.col("_r") >= F.col("_start")) & (F.col("_r") < F.col("_end")))
     point = located.where(F.col("_lo") == F.col("_hi")).select(*groups, "_r", F.col("_lo").alias("_val"))
     need = located.where(F.col("_lo") != F.col("_hi")).select(*groups, "_bk", "_start", "_r")

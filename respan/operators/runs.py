@@ -426,68 +426,6 @@ def early_stop(history: DataFrame, key: str = "val_loss", patience: int = 30) ->
         F.max("step").alias("last_epoch"))
 
 
-def _running_median_before(pdf):
-    """Per (study, step) group: median of the values of strictly earlier trial numbers
-    (two-heap running median, O(n log n)); rows sharing a number do not see each other."""
-    import heapq
-
-    import numpy as np
-    import pandas as pd
-
-    pdf = pdf.sort_values("number", kind="mergesort")
-    lo: list[float] = []  # max-heap (negated)
-    hi: list[float] = []  # min-heap
-    med = np.full(len(pdf), np.nan)
-    cnt = np.zeros(len(pdf), dtype=np.int64)
-    nums = pdf["number"].to_numpy()
-    vals = pdf["value"].to_numpy(dtype=float)
-    i = 0
-    while i < len(pdf):
-        j = i
-        while j < len(pdf) and nums[j] == nums[i]:
-            j += 1
-        n = len(lo) + len(hi)
-        if n:
-            m = -lo[0] if len(lo) > len(hi) else (-lo[0] + hi[0]) / 2.0
-            med[i:j] = m
-        cnt[i:j] = n
-        for v in vals[i:j]:
-            if np.isnan(v):
-                continue
-            if lo and v > -lo[0]:
-                heapq.heappush(hi, v)
-            else:
-                heapq.heappush(lo, -v)
-            if len(lo) > len(hi) + 1:
-                heapq.heappush(hi, -heapq.heappop(lo))
-            elif len(hi) > len(lo):
-                heapq.heappush(lo, -heapq.heappop(hi))
-        i = j
-    out = pdf[["study", "number", "step", "value"]].copy()
-    out["median_before"] = med
-    out["n_before"] = cnt
-    return out
-
-
-def median_prune(values: DataFrame, n_startup: int = 10, n_warmup: int = 0) -> DataFrame:
-    """W10 (audit form): at (study, trial, step) flag a trial whose intermediate value is
-    worse (greater) than the median of the earlier trials' values at that step, once at
-    least ``n_startup`` earlier trials reported the step and step >= ``n_warmup``.
-
-    The running median needs order, so each (study, step) group - one study's trials,
-    bounded by its n_trials - runs a two-heap running median in ``applyInPandas``
-    (O(n log n); a growing-frame percentile window would be quadratic)."""
-    schema = "study string, number bigint, step int, value double, median_before double, n_before bigint"
-    v = values.select("study", F.col("number").cast("bigint"), F.col("step").cast("int"),
-                      F.col("value").cast("double"))
-    d = v.groupBy("study", "step").applyInPandas(_running_median_before, schema)
-    prune = (F.col("n_before") >= n_startup) & (F.col("step") >= n_warmup) & (F.col("value") > F.col("median_before"))
-    d = d.withColumn("pruned_here", prune)
-    return d.groupBy("study", "number").agg(
-        F.min(F.when(F.col("pruned_here"), F.col("step"))).alias("prune_step"),
-        F.max("step").alias("last_step"))
-
-
 def best_trial(trials: DataFrame, params: Sequence[str], direction: str = "minimize") -> DataFrame:
     """Best trial per study; failed trials count as +inf; maximised objectives
     (r2) are negated before taking the minimum."""

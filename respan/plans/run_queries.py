@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from respan import catalog as C
 from respan.catalog import with_fixtures
+from respan.operators import pruning
 from respan.operators import runs as R
 from respan.plans.registry import r6, register
 
@@ -599,7 +600,7 @@ def _intermediate_values(spark, sf):
              WINDOW w AS (PARTITION BY study, step ORDER BY number RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
        GROUP BY study, number""", extra=_PRUNE_VALUES_SQL))
 def q_median_prune(spark, sf):
-    out = R.median_prune(_intermediate_values(spark, sf), n_startup=10, n_warmup=0)
+    out = pruning.median_prune(_intermediate_values(spark, sf), n_startup=10, n_warmup=0)
     # nullable integers compare as doubles (pandas turns them into floats on one side)
     return out.withColumn("prune_step", F.col("prune_step").cast("double"))
 
