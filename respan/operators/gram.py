@@ -68,6 +68,52 @@ def ridge(gram: np.ndarray, alpha: float) -> np.ndarray:
     return np.append(w, mean[-1] - w @ mean[:d])
 
 
+def _centred(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Covariances of x, of x with y, means of x, and the mean of y."""
+    n = gram[-2, -2]
+    mean = gram[-2] / n
+    cov = gram / n - np.outer(mean, mean)
+    d = len(gram) - 2
+    return cov[:d, :d], cov[:d, -1], mean[:d], mean[-1]
+
+
+def lasso_path(gram: np.ndarray, alphas: Sequence[float], tol: float = 1e-13, max_sweeps: int = 20_000) -> np.ndarray:
+    """Coefficients and intercept (last row) of min |y - Xw - b|^2 / 2n + alpha |w|_1, a column for
+    each alpha: covariance coordinate descent, from the largest alpha on, each started where
+    the one before ended.  A feature without variance has coefficient 0."""
+    cov, cxy, mean, level = _centred(gram)
+    d = len(cov)
+    scale = np.diag(cov).copy()
+    live = np.flatnonzero(scale > 1e-15 * max(1.0, float(scale.max(initial=0.0))))
+    w, left = np.zeros(d), cxy.copy()  # left: covariance of each feature with the residual
+    out = np.zeros((d + 1, len(alphas)))
+    for column in sorted(range(len(alphas)), key=lambda i: -alphas[i]):
+        alpha = alphas[column]
+        for _ in range(max_sweeps):
+            moved = 0.0
+            for j in live:
+                z = left[j] + scale[j] * w[j]
+                new = np.sign(z) * max(abs(z) - alpha, 0.0) / scale[j]
+                step = new - w[j]
+                if step:
+                    left -= cov[:, j] * step
+                    w[j] = new
+                    moved = max(moved, step * step * scale[j])
+            if moved <= tol * tol * max(1.0, float(cxy @ cxy)):
+                break
+        out[:d, column], out[d, column] = w, level - w @ mean
+    return out
+
+
+def lasso_residual(gram: np.ndarray, model: np.ndarray, alpha: float) -> np.ndarray:
+    """How far each feature is from the optimality condition of the lasso: the covariance with the
+    residual is alpha times the sign of a coefficient, and within alpha where that is 0."""
+    cov, cxy, _, _ = _centred(gram)
+    w = model[:-1]
+    g = cxy - cov @ w
+    return np.where(w != 0, np.abs(g - alpha * np.sign(w)), np.maximum(np.abs(g) - alpha, 0.0))
+
+
 def error_sums(df: DataFrame, group: str, x: str, y: str, models: np.ndarray) -> dict[int, np.ndarray]:
     """For each group and model (columns of ``models``): n, sum e^2, sum |e|, sum y, sum y^2."""
     def add(xs, ys):
@@ -86,20 +132,41 @@ def metrics(sums: np.ndarray) -> dict[str, float]:
     return {"mse": sse / n, "mae": sae / n, "r2": r2}
 
 
-def cross_validate_ridge(folded: DataFrame, x: str, y: str, alpha: float = 1.0, fold: str = "fold") -> DataFrame:
-    """M9: (fold, metric, train_score, test_score) of ridge on all features: two passes over
-    the rows, k solves on the driver."""
+def cross_validate_path(folded: DataFrame, x: str, y: str, alphas: Sequence[float], kind: str = "lasso", fold: str = "fold") -> DataFrame:
+    """M9: (fold, alpha, metric, train_score, test_score, optimality) of lasso or ridge on all features:
+    two passes over the rows for all folds and alphas, the fits come from the Gram matrices.
+    ``optimality`` is the largest residual of the fit's optimality condition."""
     gram = gram_sums(folded, fold, x, y)
     ids = sorted(gram)
     total = sum(gram.values())
-    models = np.stack([ridge(total - gram[k], alpha) for k in ids], axis=1)
-    errors = error_sums(folded, fold, x, y, models)
+    fits, off = [], {}
+    for k in ids:
+        rest = total - gram[k]
+        if kind == "lasso":
+            fits.append(lasso_path(rest, alphas))
+            far = [lasso_residual(rest, fits[-1][:, i], a).max(initial=0.0) for i, a in enumerate(alphas)]
+        elif kind == "ridge":
+            fits.append(np.stack([ridge(rest, a) for a in alphas], axis=1))
+            cov, cxy, _, _ = _centred(rest)
+            far = [np.abs(cxy - cov @ fits[-1][:-1, i] - a / rest[-2, -2] * fits[-1][:-1, i]).max(initial=0.0) for i, a in enumerate(alphas)]
+        else:
+            raise ValueError(f"unknown model {kind!r}")
+        off[k] = far
+    errors = error_sums(folded, fold, x, y, np.concatenate(fits, axis=1))
     rows = []
     for j, k in enumerate(ids):
-        test = metrics(errors[k][:, j])
-        train = metrics(sum(errors[o][:, j] for o in ids if o != k))
-        rows += [(k, m, train[m], test[m]) for m in ("mse", "mae", "r2")]
-    return folded.sparkSession.createDataFrame(rows, "fold int, metric string, train_score double, test_score double")
+        for i, a in enumerate(alphas):
+            column = j * len(alphas) + i
+            test = metrics(errors[k][:, column])
+            train = metrics(sum(errors[o][:, column] for o in ids if o != k))
+            rows += [(k, float(a), m, train[m], test[m], float(off[k][i])) for m in ("mse", "mae", "r2")]
+    return folded.sparkSession.createDataFrame(
+        rows, "fold int, alpha double, metric string, train_score double, test_score double, optimality double")
+
+
+def cross_validate_ridge(folded: DataFrame, x: str, y: str, alpha: float = 1.0, fold: str = "fold") -> DataFrame:
+    """M9: (fold, metric, train_score, test_score) of ridge on all features."""
+    return cross_validate_path(folded, x, y, [alpha], "ridge", fold).select("fold", "metric", "train_score", "test_score")
 
 
 def learning_curve_ridge(train: DataFrame, others: dict[str, DataFrame], x: str, y: str, rank: str,

@@ -441,6 +441,7 @@ def q_mse_vs_baselines(spark, sf):
 # ----------------------------------------------------------------------------- folds and cross-validation
 
 from respan.operators import crossval as CV  # noqa: E402
+from respan.operators.gram import cross_validate_path, cross_validate_ridge  # noqa: E402
 from respan.functions.hashing import sql_hash_hex  # noqa: E402
 
 _K = 5
@@ -507,14 +508,71 @@ def q_cv_summary(spark, sf):
     return M.cv_summary(_cv(spark, sf, "ridge_1d"))
 
 
-@register("cross_validate_ridge", f"""SELECT CAST(fold AS INTEGER) AS fold, metric, true AS sane FROM range(0, {_K}) t(fold),
-    (SELECT unnest(['mse', 'mae', 'r2']) AS metric)""")
-def q_cv_ridge(spark, sf):
-    """M9 with ridge on all features: scores of every fold; training rows are explained at
-    least as well as by their mean, test errors are not negative."""
-    from respan.operators.gram import cross_validate_ridge
+_SWEEPS = 60
+_LASSO_ALPHAS = [0.3, 0.1, 0.03, 0.01]
+
+
+def _path_sql(alphas: list[float], kind: str) -> str:
+    """Coordinate descent in SQL: step s of the recursion updates feature s % 64 + 1 of every (fold, alpha)."""
+    z = "list_inner_product(g.crow, r.w) - g.scale * r.w[g.j]"
+    if kind == "lasso":
+        new = f"CASE WHEN g.c - ({z}) > r.alpha THEN (g.c - ({z}) - r.alpha) WHEN g.c - ({z}) < -r.alpha THEN (g.c - ({z}) + r.alpha) ELSE 0.0 END / g.scale"
+    else:
+        new = f"(g.c - ({z})) / (g.scale + r.alpha / g.n)"
+    return f"""
+fx AS (SELECT row_id, target AS y, CAST(x AS DOUBLE[]) AS x FROM features),
+ed AS (SELECT list_distinct(list_filter(quantile_cont(y, [0.2, 0.4, 0.6, 0.8]), lambda e: e > min(y) AND e < max(y))) AS edges FROM fx),
+fb AS (SELECT fx.*, CAST(len(list_filter(edges, lambda e: e < y)) AS INTEGER) AS bin FROM fx, ed),
+folded AS MATERIALIZED (SELECT row_id, y, x, CAST((row_number() OVER (PARTITION BY bin ORDER BY {sql_hash_hex('row_id')}, row_id) - 1) % {_K} AS INTEGER) AS fold FROM fb),
+flat AS (SELECT fold, row_id, y, unnest(x) AS v, generate_subscripts(x, 1) AS j FROM folded),
+pairs AS (SELECT a.fold, a.j, b.j AS k, sum(a.v * b.v) AS s FROM flat a JOIN flat b USING (row_id) GROUP BY a.fold, a.j, b.j),
+ones AS (SELECT fold, j, count(*) AS n, sum(v) AS sx, sum(y) AS sy, sum(v * y) AS sxy FROM flat GROUP BY fold, j),
+tp AS (SELECT j, k, sum(s) AS s FROM pairs GROUP BY j, k),
+tone AS (SELECT j, sum(n) AS n, sum(sx) AS sx, sum(sy) AS sy, sum(sxy) AS sxy FROM ones GROUP BY j),
+ro AS (SELECT o.fold, o.j, t.n - o.n AS n, t.sx - o.sx AS sx, t.sy - o.sy AS sy, t.sxy - o.sxy AS sxy FROM ones o JOIN tone t USING (j)),
+cv AS (SELECT p.fold, p.j, p.k, (t.s - p.s) / a.n - (a.sx / a.n) * (b.sx / b.n) AS c FROM pairs p JOIN tp t ON t.j = p.j AND t.k = p.k
+       JOIN ro a ON a.fold = p.fold AND a.j = p.j JOIN ro b ON b.fold = p.fold AND b.j = p.k),
+g AS MATERIALIZED (SELECT cv.fold, CAST(cv.j AS INTEGER) AS j, list(cv.c ORDER BY cv.k) AS crow, max(CASE WHEN cv.j = cv.k THEN cv.c END) AS scale,
+            max(ro.sxy / ro.n - (ro.sx / ro.n) * (ro.sy / ro.n)) AS c, max(ro.n) AS n
+     FROM cv JOIN ro ON ro.fold = cv.fold AND ro.j = cv.j GROUP BY cv.fold, cv.j),
+r AS (SELECT fold, alpha, 0 AS step, list_transform(range(64), lambda i: CAST(0 AS DOUBLE)) AS w
+      FROM (SELECT DISTINCT fold FROM folded), (SELECT unnest({alphas}::DOUBLE[]) AS alpha)
+      UNION ALL
+      SELECT r.fold, r.alpha, r.step + 1, list_concat(list_concat(r.w[1:g.j - 1], [CAST({new} AS DOUBLE)]), r.w[g.j + 1:64])
+      FROM r JOIN g ON g.fold = r.fold AND g.j = r.step % 64 + 1 WHERE r.step < {64 * _SWEEPS}),
+fit AS (SELECT r.fold, r.alpha, r.w, m.my - list_inner_product(m.mx, r.w) AS b
+        FROM r JOIN (SELECT fold, list(sx / n ORDER BY j) AS mx, max(sy / n) AS my FROM ro GROUP BY fold) m USING (fold) WHERE step = {64 * _SWEEPS}),
+ex AS (SELECT fit.fold, fit.alpha, CASE WHEN f.fold = fit.fold THEN 'test' ELSE 'train' END AS role,
+              f.y - list_inner_product(f.x, fit.w) - fit.b AS err, f.y FROM folded f, fit),
+sc AS (SELECT fold, alpha, role, avg(err * err) AS mse, avg(abs(err)) AS mae, 1 - sum(err * err) / (var_pop(y) * count(*)) AS r2 FROM ex GROUP BY ALL),
+lg AS (SELECT fold, alpha, role, metric, score FROM (UNPIVOT sc ON mse, mae, r2 INTO NAME metric VALUE score)),
+fs AS (SELECT fold, alpha, metric, max(CASE WHEN role = 'train' THEN score END) AS train_score,
+              max(CASE WHEN role = 'test' THEN score END) AS test_score FROM lg GROUP BY fold, alpha, metric)
+"""
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH", "WITH RECURSIVE", 1)
+
+
+def _folded_all(spark, sf):
     f = C.features(spark, sf).select("row_id", "x", F.col("target").alias("y"))
-    out = cross_validate_ridge(CV.stratified_folds(f, "row_id", "y", _K), "x", "y")
-    ok = F.when(F.col("metric") == "r2", F.col("train_score") >= -1e-9).otherwise(
-        (F.col("train_score") >= 0) & (F.col("test_score") >= 0))
-    return out.select("fold", "metric", ok.alias("sane"))
+    return CV.stratified_folds(f, "row_id", "y", _K)
+
+
+@register("cross_validate_ridge", _recursive(_fx(
+    f"SELECT fold, metric, {r6('train_score', 'train_score')}, {r6('test_score', 'test_score')} FROM fs", "features",
+    extra=_path_sql([1.0], "ridge"))))
+def q_cv_ridge(spark, sf):
+    """M9 with ridge on all features: scores of every fold."""
+    return cross_validate_ridge(_folded_all(spark, sf), "x", "y")
+
+
+@register("cross_validate_lasso", _recursive(_fx(
+    f"SELECT fold, alpha, metric, {r6('train_score', 'train_score')}, {r6('test_score', 'test_score')}, true AS optimal FROM fs", "features",
+    extra=_path_sql(_LASSO_ALPHAS, "lasso"))))
+def q_cv_lasso(spark, sf):
+    """M9 with lasso on all features along a path of alphas: scores of every fold, and whether
+    every coefficient meets the optimality condition."""
+    out = cross_validate_path(_folded_all(spark, sf), "x", "y", _LASSO_ALPHAS)
+    return out.select("fold", "alpha", "metric", "train_score", "test_score", (F.col("optimality") < 1e-9).alias("optimal"))
