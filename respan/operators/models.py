@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from respan.functions.hashing import uniform
-from respan.operators import svr
+from respan.operators import forest, svr
 from respan.operators.crossval import hash_rank
 from respan.operators.metrics import regression_metrics, scalar_row
 
@@ -127,12 +127,9 @@ def lasso_estimator(alpha: float, y: str) -> LinearRegression:
 
 
 def rf_estimator(y: str, n_estimators: int = 10, max_depth: int = 5, min_samples_leaf: int = 1,
-                 seed: int = 42, min_samples_split: int = 2) -> RandomForestRegressor:
+                 seed: int = 42) -> RandomForestRegressor:
     """M4: random forest with the reference defaults (binned splits: equal in kind).
-
-    The estimator has no least size of a node to split; children of at least half of it
-    mean that no smaller node is split."""
-    min_samples_leaf = max(min_samples_leaf, min_samples_split // 2)
+    ``min_samples_split`` has no counterpart here; see :mod:`respan.operators.forest`."""
     return RandomForestRegressor(featuresCol="features", labelCol=y, numTrees=n_estimators, maxDepth=max_depth,
                                  minInstancesPerNode=min_samples_leaf, seed=seed)
 
@@ -146,16 +143,16 @@ def fit(train: DataFrame, kind: str, x: str, y: str, params: dict | None = None)
     if kind == "lasso":
         return lasso_estimator(params.get("alpha", LASSO_ALPHA), y).fit(t)
     if kind == "rf":
-        return rf_estimator(y, params.get("n_estimators", 10), params.get("max_depth", 5),
-                            params.get("min_samples_leaf", 1), min_samples_split=params.get("min_samples_split", 2)).fit(t)
+        rf = rf_estimator(y, params.get("n_estimators", 10), params.get("max_depth", 5), params.get("min_samples_leaf", 1))
+        return forest.fit_forest(t, rf, params.get("min_samples_split", 2))
     if kind in ("svm", "svr"):
         return svr.fit_svr(train, x, y, **{**SVR_DEFAULTS, **params})
     raise ValueError(f"Unknown model type: {kind}")
 
 
 def score(model, df: DataFrame, x: str, out: str = "yhat") -> DataFrame:
-    """M7: batch scoring (MLlib transform, or the SVR model)."""
-    if isinstance(model, svr.SVRModel):
+    """M7: batch scoring (MLlib transform, the SVR model or a forest's node table)."""
+    if isinstance(model, (svr.SVRModel, forest.ForestModel)):
         return model.transform(df, x, out)
     return model.transform(_vec(df, x)).withColumnRenamed("prediction", out).drop("features")
 
@@ -181,9 +178,10 @@ def predict_with(df: DataFrame, make_model: Callable[[], Callable[[np.ndarray],
 
 # ---------------------------------------------------------------- M8 uncertainty
 
-def predictive_uncertainty(draws: DataFrame, key: str = "row_id") -> DataFrame:
-    """M8: mean and std (ddof 1) over repeated stochastic predictions per row."""
-    return draws.groupBy(key).agg(F.avg("pred").alias("mean_pred"), F.stddev_samp("pred").alias("std_pred"),
+def predictive_uncertainty(draws: DataFrame, keys: Sequence[str] = ("row_id",)) -> DataFrame:
+    """M8: mean and std (ddof 1) over repeated stochastic predictions per row; a fitted forest
+    gives them without a table of draws (``ForestModel.uncertainty``)."""
+    return draws.groupBy(*keys).agg(F.avg("pred").alias("mean_pred"), F.stddev_samp("pred").alias("std_pred"),
                                   F.count(F.lit(1)).alias("n_draws"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from respan import catalog as C
 from respan.catalog import with_fixtures
 from respan.functions.hashing import sql_hash_hex, sql_uniform
+from respan.operators import forest
 from respan.operators import models as MD
 from respan.operators.metrics import regression_metrics
 from respan.operators.split import exact_split, split_sql
@@ -122,22 +123,44 @@ def q_learning_curve_ridge(spark, sf):
 
 
 _DRAWS_SQL = """
-dr AS (SELECT row_id, yhat + ((row_id * (d + 3)) % 17 - 8) / 10.0 AS pred
-       FROM model_predictions, range(0, 10) t(d) WHERE model = 'm0')
+dr AS (SELECT model, row_id, yhat + ((row_id * (d + 3)) % 17 - 8) / 10.0 AS pred FROM model_predictions, range(0, 10) t(d))
 """
 
 
 def _draws(spark, sf):
-    p = C.model_predictions(spark, sf).where(F.col("model") == "m0")
-    d = p.select("row_id", "yhat", F.explode(F.sequence(F.lit(0), F.lit(MD.UNCERTAINTY_DRAWS - 1))).alias("d"))
-    return d.select("row_id", (F.col("yhat") + ((F.col("row_id") * (F.col("d") + 3)) % 17 - 8) / 10.0).alias("pred"))
+    p = C.model_predictions(spark, sf)
+    d = p.select("model", "row_id", "yhat", F.explode(F.sequence(F.lit(0), F.lit(MD.UNCERTAINTY_DRAWS - 1))).alias("d"))
+    return d.select("model", "row_id", (F.col("yhat") + ((F.col("row_id") * (F.col("d") + 3)) % 17 - 8) / 10.0).alias("pred"))
 
 
 @register("predictive_uncertainty", _fx(
-    f"SELECT row_id, {r6('avg(pred)', 'mean_pred')}, {r6('stddev_samp(pred)', 'std_pred')}, count(*) AS n_draws FROM dr GROUP BY row_id",
+    f"SELECT model, row_id, {r6('avg(pred)', 'mean_pred')}, {r6('stddev_samp(pred)', 'std_pred')}, count(*) AS n_draws FROM dr GROUP BY model, row_id",
     "model_predictions", extra=_DRAWS_SQL))
 def q_uncertainty(spark, sf):
-    return MD.predictive_uncertainty(_draws(spark, sf))
+    """M8 on a table of draws, all models."""
+    return MD.predictive_uncertainty(_draws(spark, sf), ["model", "row_id"])
+
+
+@register("ensemble_uncertainty", _fx(
+    "SELECT row_id, CAST(10 AS BIGINT) AS n_draws, true AS same_mean, true AS same_std FROM features", "features"))
+def q_ensemble_uncertainty(spark, sf):
+    """M8 from the members of a fitted forest, over all rows, against the predictions that the
+    library's own trees give one by one."""
+    tr, _ = _xy(spark, sf)
+    rf = MD.rf_estimator("y")
+    fitted = rf.fit(MD._vec(tr, "x"))
+    model = forest.ForestModel(forest.node_table(spark, fitted), fitted.numFeatures, rf.getMaxDepth())
+    rows = MD._vec(C.features(spark, sf).select("row_id", "x"), "x")
+    for i, tree in enumerate(fitted.trees):
+        rows = tree.setPredictionCol(f"p{i}").transform(rows)
+    own = F.array(*[f"p{i}" for i in range(len(fitted.trees))])
+    out = model.uncertainty(rows.select("row_id", "x", own.alias("own")), "x", ["row_id", "own"])
+    mean = F.aggregate("own", F.lit(0.0), lambda a, v: a + v) / F.size("own")
+    out = out.withColumn("mean", mean)
+    squares = F.aggregate(F.transform("own", lambda v: (v - F.col("mean")) ** 2), F.lit(0.0), lambda a, v: a + v)
+    std = F.sqrt(squares / (F.size("own") - 1))
+    return out.select("row_id", "n_draws", (F.abs(F.col("mean_pred") - F.col("mean")) < 1e-9).alias("same_mean"),
+                      (F.abs(F.col("std_pred") - std) < 1e-9).alias("same_std"))
 
 
 def _u(salt: str) -> str:
