@@ -4,19 +4,22 @@ T17-T19, T22).
 Vectors are handled in long form (doc, [chunk,] dim, value) so pooling is a grouped
 weighted sum by (doc, dim) - no per-document Python and no dense matrix on the
 driver.  The default encoder is signed feature hashing of tokens (no weights to
-ship); a real model plugs in through :func:`encode_with` (``mapInPandas`` with the
-model loaded once per task).
+ship); a real model plugs in through :func:`encode_documents` (``mapInPandas``
+with the model loaded once per task).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import time
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from respan.functions.quantiles import exact_percentiles
+from respan.operators.text import BERT_MAX_LENGTH, chunk_tokens, tokenize
 
 HASH_DIM = 64
 # Position weights of the weighted chunk pooling
@@ -89,31 +92,101 @@ def first_token_pool(tok: DataFrame, key: str = "doc_id") -> DataFrame:
     return l2_normalize(v, [key])
 
 
-def encode_with(docs: DataFrame, make_encoder: Callable[[], Callable[[list[str]], list[list[float]]]],
-                key: str = "doc_id", text: str = "text") -> DataFrame:
-    """T15 / S12 surface: encode documents with a user model inside ``mapInPandas``.
-    The encoder is built once per task; a failure is recorded per row (zero-length
-    vector and the error text) instead of failing the job."""
-    import time
+FALLBACK_CHARS = 1000  # fixed value (reference's last resort)
+
+
+def encode_in_parts(encode: Callable[[list[str]], Sequence], texts: list[str], batch: int) -> tuple[list, list]:
+    """Vectors and errors of texts from an encoder that takes lists: a failing call is cut in half
+    until the texts that fail stand alone; theirs are None with the error's text."""
+    vecs: list = [None] * len(texts)
+    errors: list = [None] * len(texts)
+    waiting = [(a, min(a + batch, len(texts))) for a in range(0, len(texts), batch)][::-1]
+    while waiting:
+        a, b = waiting.pop()
+        try:
+            found = list(encode(texts[a:b]))
+            if len(found) != b - a:
+                raise ValueError(f"{len(found)} vectors for {b - a} texts")
+            vecs[a:b] = [np.asarray(v, float) for v in found]
+        except Exception as ex:  # the encoder is foreign code: any failure is isolated
+            if b - a > 1:
+                waiting += [((a + b) // 2, b), (a, (a + b) // 2)]
+            else:
+                errors[a] = repr(ex)
+    return vecs, errors
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(v)
+    return v / n if n else v
+
+
+def _pooled(vecs: list[np.ndarray], how: str) -> np.ndarray:
+    units = [_unit(v) for v in vecs]
+    return _unit((units[0] + units[-1]) / 2 if how == "first_last" else np.mean(units, axis=0))
+
+
+def encode_documents(docs: DataFrame, make_encoder: Callable[[], Callable[[list[str]], Sequence]], key: str = "doc_id", text: str = "text",
+                     chunks: str = "plain", pool: str = "mean", blank: str = "space", dim: int | None = None, batch: int = 16) -> DataFrame:
+    """Documents encoded chunk by chunk with a user model, built once per task.
+
+    Chunks (T11, texts of their tokens) go to the encoder in lists of ``batch``; a chunk that fails is
+    left out (:func:`encode_in_parts`).  A document without any encoded chunk is tried as its
+    truncated text, then as its first 1000 characters (``level`` says which; the reference's
+    ladder).  A blank text is encoded as one space (``blank`` = "space") or is a zero vector of
+    ``dim`` numbers ("zero", which also stands for a document that failed at every level).
+
+    Columns: key, vec, dim (null without a vector), level (chunks, truncated, first_1000, blank, failed), n_chunks,
+    n_failed, token_count, file_size_bytes, processing_time_seconds, timestamp, error (the first)."""
+    if blank not in ("space", "zero") or (blank == "zero" and dim is None):
+        raise ValueError("blank is 'space', or 'zero' with a number of dimensions")
+    body = F.coalesce(F.col(text), F.lit(""))
+    d = docs.select(key, body.alias("t"), tokenize(body).alias("_t"))
+    parts = F.transform(chunk_tokens(F.col("_t"), chunks), lambda c: F.array_join(c, " "))
+    d = d.select(key, "t", F.size("_t").cast("long").alias("token_count"), parts.alias("parts"),
+                 F.array_join(F.slice("_t", 1, BERT_MAX_LENGTH), " ").alias("short"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = make_encoder()
+        encode = make_encoder()
         for b in batches:
-            vecs, errs, secs = [], [], []
-            for t in b[text].tolist():
-                t0 = time.perf_counter()
-                try:
-                    vecs.append([float(x) for x in enc([t if t.strip() else " "])[0]])
-                    errs.append(None)
-                except Exception as ex:  # per-row isolation
-                    vecs.append([])
-                    errs.append(repr(ex))
-                secs.append(time.perf_counter() - t0)
-            yield pd.DataFrame({key: b[key], "vec": vecs, "file_size_bytes": b[text].str.encode("utf-8").str.len(),
-                                "processing_time_seconds": secs, "error": errs})
-
-    schema = f"{key} bigint, vec array<double>, file_size_bytes bigint, processing_time_seconds double, error string"
-    return docs.select(key, text).mapInPandas(run, schema)
+            rows = []
+            for k, t, tokens, pieces, short in b.itertuples(index=False):
+                began = time.perf_counter()
+                empty = not t.strip()
+                # a text of signs only has no token: it is its own chunk
+                pieces = [] if empty else (list(pieces) or [t])
+                vecs, errors = encode_in_parts(encode, pieces, batch)
+                good = [v for v in vecs if v is not None]
+                level, vec = ("chunks", _pooled(good, pool)) if good else ("failed", None)
+                if empty:
+                    level, vec = "blank", None
+                    if blank == "space":
+                        tries = [("blank", " ")]
+                    else:
+                        tries, vec = [], np.zeros(dim)
+                else:
+                    tries = [("truncated", short or t), ("first_1000", t[:FALLBACK_CHARS])]
+                for name, line in tries:
+                    if vec is None:
+                        one, failed = encode_in_parts(encode, [line], 1)
+                        errors += failed
+                        if one[0] is not None:
+                            level, vec = name, _unit(one[0])
+                if vec is None:
+                    level = "failed"
+                    vec = np.zeros(dim) if blank == "zero" else None
+                rows.append((k, None if vec is None else vec.tolist(), None if vec is None else len(vec), level, len(pieces),
+                             sum(v is None for v in vecs), tokens, len(t.encode()), time.perf_counter() - began, pd.Timestamp.now("UTC"),
+                             next((e for e in errors if e), None)))
+            frame = pd.DataFrame(rows, columns=names)
+            frame["dim"] = frame["dim"].astype("Int32")
+            yield frame
+
+    kind = docs.schema[key].dataType.simpleString()
+    schema = (f"`{key}` {kind}, vec array<double>, dim int, level string, n_chunks long, n_failed long, token_count long, "
+              "file_size_bytes long, processing_time_seconds double, timestamp timestamp, error string")
+    names = [f.split()[0].strip("`") for f in schema.split(", ")]
+    return d.mapInPandas(run, schema)
 
 
 def last_layer_head_mean(edges: DataFrame) -> DataFrame:

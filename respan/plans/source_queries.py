@@ -12,7 +12,9 @@ from respan.catalog import read_table, with_fixtures
 from respan.operators import samples as S
 from respan.operators.split import exact_split, split_sql
 from respan.plans.evaluation_queries import _SAMPLES_SQL, _samples
+from respan.operators.vectors import encode_documents
 from respan.plans.registry import r6, register
+from respan.plans.text_queries import _chunk_sql
 from respan.plans.text_queries import _TFIDF_SQL
 from respan.session import scratch_path
 from respan.sources import scans as SC
@@ -139,33 +141,47 @@ def q_model_roundtrip(spark, sf):
     return both.select("row_id", (F.col("yhat") == F.col("before")).alias("agrees"))
 
 
-@register("embed_store", "SELECT doc_id, CAST(16 AS INTEGER) AS dim, CAST(strlen(text) AS BIGINT) AS file_size_bytes, "
-          "NULL::VARCHAR AS error FROM documents")
-def q_embed_store(spark, sf):
-    """Documents encoded by a per-task Python encoder with per-row metadata and
-    error capture, appended to a Parquet store."""
-    from respan.operators.vectors import encode_with
-
+def _character_encoder(fails=None):
+    """An encoder of 16 character counts, one call for a list of texts; texts for which ``fails``
+    holds make the whole call fail, as a model's out-of-memory error would."""
     def make():
-        import zlib
-
         import numpy as np
 
-        def enc(texts):
-            out = []
-            for t in texts:
-                v = np.zeros(16)
-                for tok in t.lower().split():
-                    # stable across processes and retries (Python's hash() is salted per process)
-                    v[zlib.crc32(tok.encode("utf-8")) % 16] += 1.0
-                n = np.linalg.norm(v)
-                out.append(v / n if n else v)
-            return out
-        return enc
-    d = read_table(spark, sf, "documents")
+        def encode(texts):
+            if fails is not None and any(fails(t) for t in texts):
+                raise RuntimeError("a text of this call cannot be encoded")
+            return [np.bincount(np.frombuffer(t.encode("utf-32-le"), np.uint32) % 16, minlength=16).astype(float) for t in texts]
+        return encode
+    return make
+
+
+@register("embed_store", f"""WITH {_chunk_sql('plain').strip()}
+SELECT doc_id, CAST(16 AS INTEGER) AS dim, CAST(strlen(text) AS BIGINT) AS file_size_bytes, NULL::VARCHAR AS error,
+       CAST(len(t) AS BIGINT) AS token_count, CASE WHEN trim(text) = '' THEN 'blank' ELSE 'chunks' END AS level
+FROM documents JOIN tok USING (doc_id)""")
+def q_embed_store(spark, sf):
+    """Documents encoded by a per-task Python encoder with metadata and error capture,
+    appended to a Parquet store."""
     path = _tmp(spark, "store")
-    encode_with(d, make).write.mode("append").parquet(path)
-    return spark.read.parquet(path).select("doc_id", F.size("vec").alias("dim"), "file_size_bytes", "error")
+    encode_documents(read_table(spark, sf, "documents"), _character_encoder()).write.mode("append").parquet(path)
+    return spark.read.parquet(path).select("doc_id", "dim", "file_size_bytes", "error", "token_count", "level")
+
+
+@register("encode_ladder", f"""WITH {_chunk_sql('plain').strip()},
+pt AS (SELECT doc_id, array_to_string(c, ' ') AS part FROM ct WHERE chunk_idx IS NOT NULL
+       UNION ALL SELECT doc_id, text FROM documents JOIN nch USING (doc_id) WHERE n_chunks = 0 AND trim(text) <> ''),
+f AS (SELECT d.doc_id, d.text, count(part) AS n_chunks, count(part) FILTER (WHERE length(part) % 3 = 0) AS n_failed
+      FROM documents d LEFT JOIN pt USING (doc_id) GROUP BY d.doc_id, d.text),
+s AS (SELECT f.*, CASE WHEN len(t) > 0 THEN array_to_string(t[1:510], ' ') ELSE text END AS short FROM f JOIN tok USING (doc_id)),
+l AS (SELECT *, CASE WHEN trim(text) = '' THEN 'blank' WHEN n_failed < n_chunks THEN 'chunks' WHEN length(short) % 3 <> 0 THEN 'truncated'
+                     WHEN length(text[1:1000]) % 3 <> 0 THEN 'first_1000' ELSE 'failed' END AS level FROM s)
+SELECT doc_id, n_chunks, n_failed, level, level <> 'failed' AS has_vector, n_failed > 0 AS has_error FROM l""")
+def q_encode_ladder(spark, sf):
+    """An encoder that fails on texts whose length is a multiple of 3: chunks are isolated
+    by bisection, then the truncated text and the first 1000 characters are tried."""
+    out = encode_documents(read_table(spark, sf, "documents"), _character_encoder(lambda t: len(t) % 3 == 0))
+    return out.select("doc_id", "n_chunks", "n_failed", "level", F.col("vec").isNotNull().alias("has_vector"),
+                      F.col("error").isNotNull().alias("has_error"))
 
 
 @register("stream_pending", _fx(

@@ -213,16 +213,23 @@ def q_metadata(spark, sf):
 
 
 @register("blank_documents", _fx(
-    "SELECT doc_id, trim(text) = '' AS is_blank, CASE WHEN trim(text) = '' THEN ' ' ELSE 'text' END AS bert_input, "
-    "CASE WHEN trim(text) = '' THEN 'zero' ELSE 'encode' END AS llama_path FROM (SELECT doc_id, "
-    "CASE WHEN doc_id % 7 = 0 THEN '  ' ELSE text END AS text FROM documents)"))
+    f"""SELECT doc_id, trim(text) = '' AS is_blank, {r6('1.0', 'bert_norm')}, trim(text) = '' AS bert_is_space,
+           {r6("CASE WHEN trim(text) = '' THEN 0.0 ELSE 1.0 END", 'llama_norm')} FROM (SELECT doc_id,
+           CASE WHEN doc_id % 7 = 0 THEN '  ' ELSE text END AS text FROM documents)"""))
 def q_blank(spark, sf):
-    """Blank-document rule (BERT embeds ' ', LLaMA returns a zero vector); every
-    seventh text is made blank."""
+    """Blank documents are encoded as one space (BERT path) or become a zero vector (LLaMA
+    path); every seventh text is made blank.  The encoder counts characters, so a space is a unit vector."""
     d = _docs(spark, sf).withColumn("text", F.when(F.col("doc_id") % 7 == 0, "  ").otherwise(F.col("text")))
-    blank = F.trim(F.col("text")) == ""
-    return d.select("doc_id", blank.alias("is_blank"), F.when(blank, " ").otherwise("text").alias("bert_input"),
-                    F.when(blank, "zero").otherwise("encode").alias("llama_path"))
+
+    def make():
+        return lambda texts: [np.bincount(np.frombuffer(t.encode("utf-32-le"), np.uint32) % 16, minlength=16) for t in texts]
+
+    def norm(c):
+        return F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, v: a + v * v))
+    bert = V.encode_documents(d, make).select("doc_id", (F.col("level") == "blank").alias("is_blank"), norm("vec").alias("bert_norm"),
+                                              (F.get("vec", F.lit(0)) == 1.0).alias("bert_is_space"))
+    llama = V.encode_documents(d, make, blank="zero", dim=16, chunks="precompute").select("doc_id", norm("vec").alias("llama_norm"))
+    return bert.join(llama, "doc_id")
 
 
 # ------------------------------------------------------------------ vectors
