@@ -184,6 +184,32 @@ def q_encode_ladder(spark, sf):
                       F.col("error").isNotNull().alias("has_error"))
 
 
+@register("collect_pairs", """
+SELECT 'generated__' || doc_id AS model, status, CASE WHEN status = 'pair' THEN strlen(text) + 1 END::DOUBLE AS doc_bytes,
+       CASE WHEN status = 'pair' THEN CASE WHEN doc_id % 10 = 3 THEN 'h,a' || chr(10) || doc_id || chr(10) ELSE 'h' || chr(10) || doc_id || ',1' || chr(10) END END AS csv_text
+FROM (SELECT *, CASE doc_id % 10 WHEN 0 THEN 'no document' WHEN 1 THEN 'no measurements' WHEN 2 THEN 'header only' ELSE 'pair' END AS status FROM documents)""")
+def q_collect_pairs(spark, sf):
+    """Nested folders are written (some without a document, without measurements, with a header only, with
+    two CSVs), searched in tasks, and the pairs copied and read back by their manifest."""
+    from respan.sources.files import write_text_files
+    d = read_table(spark, sf, "documents").select(F.col("doc_id").alias("i"), "text")
+    kind, folder = F.col("i") % 10, F.concat(F.lit("generated__"), F.col("i").cast("string"), F.lit(".tpcm"))
+    i = F.col("i").cast("string")
+    docs = d.where(kind != 0).select(F.concat(folder, F.lit("/"), folder).alias("file"), F.lit(0).alias("pos"), F.col("text").alias("line"))
+    plain = d.where(~kind.isin(1, 2)).select(F.concat(folder, F.lit("/sub/Usage_Scenario_b.csv")).alias("file"),
+                                             F.posexplode(F.array(F.lit("h"), F.concat(i, F.lit(",1")))).alias("pos", "line"))
+    more = d.where(kind == 3).select(F.concat(folder, F.lit("/a/Usage_Scenario_a.csv")).alias("file"),
+                                     F.posexplode(F.array(F.lit("h,a"), i)).alias("pos", "line"))
+    header = d.where(kind == 2).select(F.concat(folder, F.lit("/Usage_Scenario_h.csv")).alias("file"), F.lit(0).alias("pos"), F.lit("h").alias("line"))
+    other = d.where(kind == 1).select(F.concat(folder, F.lit("/notes.csv")).alias("file"), F.lit(0).alias("pos"), F.lit("h").alias("line"))
+    root, out = _tmp(spark, "PCMs"), _tmp(spark, "pairs")
+    write_text_files(docs.unionByName(plain).unionByName(more).unionByName(header).unionByName(other), root, "file", ["pos"], "line")
+    found = SC.find_pairs(spark, root)
+    SC.stage_pairs(found.where("status = 'pair'"), out)
+    both = SC.read_pairs(spark, out).select("model", F.octet_length("doc_text").cast("double").alias("doc_bytes"), "csv_text")
+    return found.select("model", "status").join(both, "model", "left")
+
+
 @register("stream_pending", _fx(
     "SELECT 'model_' || CAST(doc_id AS VARCHAR) AS base_name, CAST(len(t) AS INTEGER) AS token_count FROM tok",
     extra="tok AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}') AS t FROM documents)"))

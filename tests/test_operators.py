@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from respan.functions.quantiles import exact_percentiles
 from respan.operators import metrics as M
+from respan.operators import pruning
 from respan.operators import runs as R
 from respan.operators.split import exact_split, sizes_70_15_15
 
@@ -77,13 +78,12 @@ def test_parse_run_name_quirk_and_fix(spark):
 def test_running_median_matches_bruteforce(spark):
     rng = np.random.default_rng(3)
     pdf = pd.DataFrame({"study": "s", "number": rng.permutation(200), "step": 1, "value": rng.normal(size=200)})
-    out = R._running_median_before(pdf).sort_values("number")
+    out = pruning.earlier_values(spark.createDataFrame(pdf)).orderBy("number").toPandas()
     ordered = pdf.sort_values("number")["value"].to_numpy()
     for i, row in enumerate(out.itertuples()):
-        if i == 0:
-            assert math.isnan(row.median_before)
-        else:
-            assert abs(row.median_before - np.median(ordered[:i])) < 1e-12
+        assert (row.n_before, row.n_less) == (i, (ordered[:i] < ordered[i]).sum())
+        if i and 2 * row.n_less == i:  # the median lies between the neighbours
+            assert abs((row.below + row.above) / 2 - np.median(ordered[:i])) < 1e-12
 
 
 def test_bootstrap_reproducible(spark):
