@@ -10,7 +10,9 @@ from respan import catalog as C
 from respan.catalog import with_fixtures
 from respan.operators import pruning
 from respan.operators import runs as R
+from respan.operators import sweeps as SW
 from respan.plans.registry import r6, register
+from respan.session import stored
 
 
 def _fx(body: str, *names: str, extra: str = "") -> str:
@@ -504,6 +506,62 @@ def q_sweep_plan(spark, sf):
     return vals.select("parameter", "value", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("run"))
 
 
+_SWEPT = ["n_estimators", "max_depth", "alpha", "C", "kernel", "learning_rate", "batch_size", "epochs", "embedding", "model", "normalize_targets"]
+_VALUES_SQL = """
+vals AS (SELECT DISTINCT model_type AS model, parameter, value FROM (UNPIVOT (SELECT model_type, """ + ", ".join(
+    f"{c} AS {c}" if c != "model" else "model_type AS model" for c in _SWEPT) + """ FROM runs_wide) ON """ + ", ".join(_SWEPT) + """
+         INTO NAME parameter VALUE value))
+"""
+
+
+def _values_list(rows) -> str:
+    return ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" for x in r) + ")" for r in rows)
+
+
+_SWEEP_SQL = _VALUES_SQL.rstrip() + f""",
+mem(parent, child) AS (VALUES {_values_list([(s, m) for s, ms in SW.SETS.items() for m in ms])}),
+reach AS (SELECT parent AS root, child AS name FROM mem UNION SELECT reach.root, mem.child FROM reach JOIN mem ON mem.parent = reach.name),
+sw(name, parameter, base) AS (VALUES {_values_list([(s, p, m or SW.BASELINE['model']) for s, (p, m) in SW.SWEEPS.items()])}),
+os AS (SELECT root, sw.* FROM (SELECT * FROM reach UNION SELECT name, name FROM sw) r JOIN sw USING (name)),
+sv AS (SELECT DISTINCT sw.name, vals.value FROM sw JOIN vals ON vals.parameter = sw.parameter
+       AND (vals.model = sw.base OR sw.parameter IN ('model', 'embedding', 'normalize_targets'))),
+pos AS (SELECT name, value, row_number() OVER (PARTITION BY name ORDER BY try_cast(value AS DOUBLE) NULLS LAST, value) AS position FROM sv),
+al AS (SELECT root, name, parameter, base, CAST(NULL AS VARCHAR) AS value, 0 AS position FROM os
+       UNION ALL SELECT root, os.name, parameter, base, pos.value, pos.position FROM os JOIN pos USING (name))
+"""
+
+
+@register("sweep_sets", _fx(
+    f"""SELECT root, name AS sweep, CAST(position AS INTEGER) AS position, CASE WHEN value IS NOT NULL THEN parameter END AS parameter, value, model,
+           CAST(run AS INTEGER) AS run, what || '_model=' || model || '_emb=' || emb || '_norm=' || norm || '_run' || run AS experiment_name,
+           CASE WHEN what LIKE 'C=%' THEN value WHEN model = 'svm' THEN '{SW.BASELINE['C']}' END AS config_c
+        FROM (SELECT *, CASE WHEN value IS NOT NULL AND parameter = 'model' THEN value ELSE base END AS model,
+                     CASE WHEN value IS NOT NULL AND parameter = 'embedding' THEN value ELSE 'tfidf' END AS emb,
+                     CASE WHEN value IS NOT NULL AND parameter = 'normalize_targets' THEN value ELSE 'false' END AS norm,
+                     CASE WHEN value IS NULL THEN 'baseline' ELSE parameter || '=' || value END AS what FROM al), range(1, 4) t(run)""",
+    W, extra=_SWEEP_SQL).replace("WITH", "WITH RECURSIVE", 1))
+def q_sweep_sets(spark, sf):
+    """All named sets and the sweeps that they reach, values per model from the run log."""
+    out = SW.sweep_runs(spark, SW.values_by_model(_runs(spark, sf), _SWEPT))
+    return out.select("root", "sweep", "position", "parameter", "value", "model", "run", "experiment_name", F.col("config")["C"].alias("config_c"))
+
+
+@register("experiment_grid_values", _fx(
+    """SELECT g.mode, g.embedding, g.model, v.parameter, v.value FROM (SELECT 'summary' AS mode, embedding, model FROM
+         (SELECT DISTINCT embedding_type AS embedding FROM runs_wide), (SELECT DISTINCT model_type AS model FROM runs_wide)) g
+       JOIN (SELECT * FROM vals WHERE parameter NOT IN ('model', 'embedding', 'normalize_targets')
+             UNION ALL SELECT DISTINCT model, NULL, NULL FROM vals) v ON v.model = g.model
+       WHERE NOT (g.model = 'torch' AND g.embedding = 'tfidf')""", W, extra=_VALUES_SQL))
+def q_grid_values(spark, sf):
+    """J7 with the values of each model: distinct values of each dimension first, then the grid."""
+    values = SW.values_by_model(_runs(spark, sf), [*_SWEPT, "prediction_mode"])
+    values = stored(values, "grid-values")  # a few rows, read for the dimensions and for the grid
+    dims = values.select("parameter", "value").distinct().groupBy().pivot("parameter", ["prediction_mode", "embedding", "model"]).agg(
+        F.collect_list("value")).withColumnRenamed("prediction_mode", "mode")
+    g = SW.grid_with_values(dims, values.where("parameter <> 'prediction_mode'"), ["mode", "embedding", "model"])
+    return g.where(~((F.col("model") == "torch") & (F.col("embedding") == "tfidf")))
+
+
 # ---------------------------------------------------------------- baselines beside run statistics
 
 
