@@ -3,10 +3,10 @@
 Numbers, names and units become typed placeholders; all other words count by their
 lower-cased letters.  Windows of :data:`WINDOW` such tokens are hash-joined between
 documents and benchmark items, which also finds questions whose slots were filled anew.
-Windows on one diagonal (document position minus item position) are then walked: a run
-counts while the slots are consistent, i.e. each item value always became the same
-document value and the reverse.  An item leaks into a document if a consistent run
-covers :data:`RUN` tokens, or the whole of a shorter item.
+The tokens they cover on one diagonal (document position minus item position) are then walked: a
+run counts while the slots are consistent, i.e. each item value always became the same document
+value and the reverse; from a slot that disagrees it goes on just past the earlier one.  An item
+leaks into a document if a consistent run covers :data:`RUN` tokens, or the whole of a shorter item.
 
 Windows are looked up in three readings: by their plain lower-cased words; with the capitalised
 words that do not begin a sentence as names; and with all capitalised words as names but
@@ -15,9 +15,10 @@ words that do not begin a sentence as names; and with all capitalised words as n
 words outside placeholders than half of it grows until it holds :data:`SPARSE` such words,
 so number-heavy questions match by longer runs and bare tables of numbers only if equal.
 
-Scale: a bitmap of fixed size with the benchmark's windows sifts the documents' windows
-where they are read (it can only let too many pass); the rest meet the benchmark's in a
-join whose hot keys adaptive execution may split.
+Scale: bitmaps of fixed size with the benchmark's words and windows sift the documents where
+they are read (they can only let too many pass).  A window matches only if each of its tokens is a
+slot or a word of the benchmark, so only stretches of such tokens are hashed at all; windows
+that pass meet the benchmark's in a join whose hot keys adaptive execution may split.
 
 Defined cases: null and empty texts match nothing; items below :data:`LEAST` words are no
 evidence and never match; repeated items are answered each by item_id; repeated rows of
@@ -29,8 +30,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import groupby
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -65,10 +64,12 @@ _NUM, _NAME, _UNIT = (np.uint64(x) for x in (0x4E554D, 0x4E414D45, 0x554E4954))
 class Tokens(dict):
     """Token table of a task: the number of each word, and by number the hash of its lower-cased
     core, its canonical hash and flags (1 capitalised, 2 ends a sentence, 4 number or unit, 8 a
-    second token is attached, 16 that is a unit, 32 capitalised but never a name)."""
+    second token is attached, 16 that is a unit, 32 capitalised but never a name, 64 may stand in a
+    benchmark window: a slot, or a word in the bitmap ``known``)."""
 
-    def __init__(self):
+    def __init__(self, known: np.ndarray | None = None):
         super().__init__()
+        self.known = known
         self.forget()
 
     def forget(self):
@@ -82,23 +83,48 @@ class Tokens(dict):
         self.rows.append(_token(word))
         return n
 
-    def of(self, text: bytes) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-        """Plain hashes of a text's tokens, and its forms (canonical hashes, is a slot): with all
-        capitalised words as names, and if it differs with those that begin no sentence."""
+    def numbers(self, text: bytes) -> np.ndarray:
+        """The number of each of a text's words; the table's columns cover them."""
         if len(self.rows) > 600_000:
             self.forget()
         words = text.split()
         at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         if len(self.canon) < len(self.rows):
             raw, canon, flags, more = zip(*self.rows[len(self.canon):], strict=True)
+            raw, flags, more = np.array(raw, np.uint64), np.array(flags, np.uint8), np.array(more, np.uint64)
+            if self.known is not None:
+                may = in_bitmap(raw, self.known) | (flags & (1 | 4 | 8) != 0)
+                flags |= np.where(may, np.uint8(64), np.uint8(0))
             self.canon = np.concatenate([self.canon, np.array(canon, np.uint64)])
-            self.raw = np.concatenate([self.raw, np.array(raw, np.uint64)])
-            self.more = np.concatenate([self.more, np.array(more, np.uint64)])
-            self.flags = np.concatenate([self.flags, np.array(flags, np.uint8)])
+            self.raw, self.more = np.concatenate([self.raw, raw]), np.concatenate([self.more, more])
+            self.flags = np.concatenate([self.flags, flags])
+        return at
+
+    def stretches(self, at: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
+        """(first word, end, first token) of the stretches of at least ``least`` tokens that may all stand in a
+        benchmark window; no window of another place can match."""
+        flags = self.flags[at]
+        may = flags & 64 != 0
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], may, [False]])))
+        first, end = edge[::2], edge[1::2]
+        two = flags & 8 != 0
+        extra = np.concatenate([[0], np.cumsum(two)]) if two.any() else None
+        if extra is None:
+            keep = end - first >= least
+            return zip(first[keep].tolist(), end[keep].tolist(), first[keep].tolist(), strict=True)
+        keep = end - first + extra[end] - extra[first] >= least
+        first, end = first[keep], end[keep]
+        return zip(first.tolist(), end.tolist(), (first + extra[first]).tolist(), strict=True)
+
+    def forms(self, at: np.ndarray, before: int | None) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """Plain hashes of the tokens of some consecutive words (``before``: the word ahead of them), and their forms
+        (canonical hashes, is a slot): with all capitalised words as names, and if it differs with
+        those that begin no sentence."""
         canon, raw, flags = self.canon[at], self.raw[at], self.flags[at]
         slot, inside = flags & 4 != 0, flags & 1 != 0
         name = inside & (flags & 32 == 0)
-        inside[:1] = False  # it begins a sentence, as does a word after one's end
+        # the first word of a text begins a sentence, as does a word after one's end
+        inside[:1] &= before is not None and not self.flags[before] & 2
         inside[1:] &= flags[:-1] & 2 == 0
         two = np.flatnonzero(flags & 8)
         if len(two):
@@ -115,6 +141,10 @@ class Tokens(dict):
             forms.append((np.where(inside, _NAME, canon), slot | inside))
         return raw, forms
 
+    def of(self, text: bytes) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """Plain hashes and forms of a whole text."""
+        return self.forms(self.numbers(text), None)
+
 
 def _token(word: bytes) -> tuple[int, int, int, int]:
     """(plain hash, canonical hash, flags, plain hash of the attached token) of a word."""
@@ -202,31 +232,35 @@ def windows(raw: np.ndarray, forms: list[tuple[np.ndarray, np.ndarray]], width:
 def _window_rows(frame: DataFrame, widths, near: int, sieve=None) -> DataFrame:
     """(h, width, key, id, pos, n, last, raw, slots) rows of ``frame`` (key, id, t); ``raw`` holds
     the window's plain hashes, ``slots`` a byte a token, 1 for slots.  ``widths`` None: WINDOW or the whole
-    of a shorter text."""
+    of a shorter text.  ``sieve``: bitmaps of the benchmark's windows and of its words; only stretches of
+    words that may stand in its windows are hashed."""
     schema = pa.schema([("h", pa.int64()), ("width", pa.int32()), ("key", pa.int64()), ("id", pa.int64()),
                         ("pos", pa.int32()), ("n", pa.int32()), ("last", pa.bool_()), ("raw", pa.binary()), ("slots", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens()
-        bits = sieve.value if sieve is not None else None
+        bits, known = sieve.value if sieve is not None else (None, None)
+        tokens = Tokens(known)
         for cols in batched(batches):
             out: list[list] = [[] for _ in schema]
             for key, d, t in zip(cols["key"], cols["id"], cols["t"], strict=True):
-                raw, forms = tokens.of(t or b"")
-                n = len(raw)
-                if n < LEAST:
-                    continue
-                for width in widths or (min(WINDOW, n),):
-                    for h, first, length, last, slot in windows(raw, forms, width, near):
-                        at = np.flatnonzero(in_bitmap(h, bits)) if bits is not None else np.arange(len(h))
-                        if not len(at):
-                            continue
-                        spans = list(zip(first[at].tolist(), length[at].tolist(), strict=True))
-                        for values, col in zip((h[at].view(np.int64).tolist(), length[at].tolist(), [key] * len(at),
-                                                [d] * len(at), first[at].tolist(), [n] * len(at),
-                                                last[at].tolist(), [raw[i:i + k].tobytes() for i, k in spans],
-                                                [slot[i:i + k].tobytes() for i, k in spans]), out, strict=True):
-                            col += values
+                numbers = tokens.numbers(t or b"")
+                places = [(0, len(numbers), 0)] if known is None else tokens.stretches(numbers, min(widths))
+                for a, b, ahead in places:
+                    raw, forms = tokens.forms(numbers[a:b], numbers[a - 1] if a else None)
+                    n = len(raw)
+                    if n < LEAST:
+                        continue
+                    for width in widths or (min(WINDOW, n),):
+                        for h, first, length, last, slot in windows(raw, forms, width, near):
+                            at = np.flatnonzero(in_bitmap(h, bits)) if bits is not None else np.arange(len(h))
+                            if not len(at):
+                                continue
+                            spans = list(zip(first[at].tolist(), length[at].tolist(), strict=True))
+                            for values, col in zip((h[at].view(np.int64).tolist(), length[at].tolist(), [key] * len(at),
+                                                    [d] * len(at), (first[at] + ahead).tolist(), [n] * len(at),
+                                                    last[at].tolist(), [raw[i:i + k].tobytes() for i, k in spans],
+                                                    [slot[i:i + k].tobytes() for i, k in spans]), out, strict=True):
+                                col += values
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)],
                                              schema=schema)
 
@@ -234,31 +268,45 @@ def _window_rows(frame: DataFrame, widths, near: int, sieve=None) -> DataFrame:
                                   "raw binary, slots binary")
 
 
+def _words_bitmap(items: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size over the plain hashes of the items' tokens."""
+    schema = pa.schema([("w", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = Tokens()
+        for cols in batched(batches):
+            for t in cols["t"]:
+                raw, _ = tokens.of(t or b"")
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(raw).view(np.int64))], schema=schema)
+
+    return bitmap(items.mapInArrow(run, "w long"), "w", BITS)
+
+
 def longest_run(hits: list[tuple]) -> int:
-    """Most tokens covered by a run of windows (item position, width, document words, item words,
-    slots) on one diagonal that overlap or touch, with consistent slots.  Of the windows at
-    a position those that fit go on."""
-    best = begin = end = 0
-    there: dict[bytes, bytes] = {}
-    back: dict[bytes, bytes] = {}
-
-    def fits(pairs: set) -> bool:
-        return all(there.get(a, b) == b and back.get(b, a) == a for a, b in pairs)
-
-    for pos, group in groupby(sorted(hits), key=itemgetter(0)):
-        agree = []
-        for _, width, d_raw, i_raw, slots in group:
-            pairs = {(i_raw[8 * j:8 * j + 8], d_raw[8 * j:8 * j + 8]) for j in range(width) if slots[j]}
-            if len({a for a, _ in pairs}) == len({b for _, b in pairs}) == len(pairs):
-                agree.append((width, pairs))
-        if not end or pos > end or not any(fits(pairs) for _, pairs in agree):
-            there, back, begin, end = {}, {}, pos, 0
-        for width, pairs in agree:
-            if fits(pairs):
-                there.update(pairs)
-                back.update((b, a) for a, b in pairs)
-                end = max(end, pos + width)
-                best = max(best, end - begin)
+    """Most tokens of a run on one diagonal that windows (item position, width, document words, item
+    words, slots) cover without a gap, with consistent slots.  A token is a slot if any window
+    has it as one.  Where a slot disagrees with an earlier one, the run goes on from just past that one."""
+    tokens: dict[int, tuple[bytes, bytes, bool]] = {}
+    for pos, width, d_raw, i_raw, slots in hits:
+        for j in range(width):
+            old = tokens.get(pos + j)
+            if old is None or slots[j] and not old[2]:
+                tokens[pos + j] = i_raw[8 * j:8 * j + 8], d_raw[8 * j:8 * j + 8], bool(slots[j])
+    best, begin, before = 0, 0, None
+    there: dict[bytes, tuple[bytes, int]] = {}  # value -> what it became, and where last
+    back: dict[bytes, tuple[bytes, int]] = {}
+    for p in sorted(tokens):
+        if p - 1 != before:
+            begin = p
+        before = p
+        a, b, slot = tokens[p]
+        if slot:
+            for became, x, y in ((there, a, b), (back, b, a)):
+                old = became.get(x)
+                if old is not None and old[0] != y:
+                    begin = max(begin, old[1] + 1)
+                became[x] = (y, p)
+        best = max(best, p + 1 - begin)
     return best
 
 
@@ -278,14 +326,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     widths = tuple(sorted(r["width"] for r in wanted.where(F.col("width") <= WINDOW).select("width").distinct().collect()))  # LEAST to WINDOW
     if not widths:
         widths = (WINDOW,)
-    sieve = spark.sparkContext.broadcast(bitmap(wanted, "h", BITS))
+    sieve = spark.sparkContext.broadcast((bitmap(wanted, "h", BITS), _words_bitmap(items)))
     found = _window_rows(rows, widths, run, sieve)
     both = found.select("h", "width", "key", "id", "pos", "last", "raw", "slots").join(
         wanted.select("h", "width", F.col("id").alias("item_id"), F.col("pos").alias("at"), F.col("n").alias("item_tokens"),
                       F.col("raw").alias("item_raw"), F.col("last").alias("item_last")), ["h", "width"])
     # a diagonal holds a few windows for each position of the item
     diagonal = (both.groupBy("key", "id", "item_id", "item_tokens", (F.col("pos") - F.col("at")).alias("diagonal"))
-                .agg(F.collect_list(F.struct("at", "width", "raw", "item_raw", "slots",
+                .agg(F.collect_set(F.struct("at", "width", "raw", "item_raw", "slots",
                                                (F.col("last") & F.col("item_last")).alias("last"))).alias("hits")))
     schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("item_id", pa.int64()), ("tokens", pa.int32()),
                         ("item_tokens", pa.int32())])
