@@ -68,24 +68,49 @@ class Tokens(dict):
     benchmark window: a slot, or a word in the bitmap ``known``)."""
 
     def __init__(self, known: np.ndarray | None = None):
+        import xxhash
+
         super().__init__()
-        self.known = known
+        self.known, self.digest = known, xxhash.xxh3_64_intdigest
+        if known is not None:
+            self.bits, self.shift = known.view(np.uint8).tobytes(), 64 - (len(known).bit_length() + 5)
         self.forget()
 
     def forget(self):
         self.clear()
-        self.rows: list[tuple[int, int, int, int]] = []
+        #: the first two rows stand for all words that no benchmark window holds (the second ends a sentence)
+        self.rows: list[tuple[int, int, int, int]] = [] if self.known is None else [(0, 0, 0, 0), (0, 0, 2, 0)]
         self.canon, self.raw, self.more = (np.empty(0, np.uint64) for _ in range(3))
         self.flags = np.empty(0, np.uint8)
 
     def __missing__(self, word: bytes) -> int:
+        if self.known is not None:
+            n = self.unknown(word)
+            if n is not None:
+                self[word] = n
+                return n
         n = self[word] = len(self.rows)
         self.rows.append(_token(word))
         return n
 
+    def unknown(self, word: bytes) -> int | None:
+        """The shared row of a lower-case word of letters that is no slot and not in the benchmark."""
+        core = word.strip(EDGE)
+        if core.isascii():
+            if not (core.isalpha() and core.islower()) or core in NUMBER_WORDS or core in UNITS:
+                return None
+        else:
+            text = core.decode("utf-8", "replace")
+            if not (text.isalpha() and text.islower() and text.lower() == text):
+                return None
+        at = self.digest(core) >> self.shift
+        if self.bits[at >> 3] >> (at & 7) & 1:
+            return None
+        return int(_ends(word)) if core != word else 0
+
     def numbers(self, text: bytes) -> np.ndarray:
         """The number of each of a text's words; the table's columns cover them."""
-        if len(self.rows) > 600_000:
+        if len(self) > 600_000:
             self.forget()
         words = text.split()
         at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
@@ -146,13 +171,18 @@ class Tokens(dict):
         return self.forms(self.numbers(text), None)
 
 
+def _ends(word: bytes) -> bool:
+    """Whether a word ends a sentence."""
+    return word.rstrip(b"\"')]}>*_")[-1:] in (b".", b"!", b"?", b":")
+
+
 def _token(word: bytes) -> tuple[int, int, int, int]:
     """(plain hash, canonical hash, flags, plain hash of the attached token) of a word."""
     import xxhash
 
     digest = xxhash.xxh3_64_intdigest
     core = word.strip(EDGE) or word
-    ends = 2 * (word.rstrip(b"\"')]}>*_")[-1:] in (b".", b"!", b"?", b":"))
+    ends = 2 * _ends(word)
     if core.isascii():
         low = core.lower()
         capital = len(core) > 1 and 65 <= core[0] <= 90 and not 65 <= core[1] <= 90
