@@ -259,11 +259,11 @@ def windows(raw: np.ndarray, forms: list[tuple[np.ndarray, np.ndarray]], width:
             yield span_hashes(canon, first, length), first, length, np.zeros(len(first), bool), slot
 
 
-def _window_rows(frame: DataFrame, widths, near: int, sieve=None) -> DataFrame:
+def _window_rows(frame: DataFrame, widths, near: int, sieve=None, least: int = LEAST) -> DataFrame:
     """(h, width, key, id, pos, n, last, raw, slots) rows of ``frame`` (key, id, t); ``raw`` holds
     the window's plain hashes, ``slots`` a byte a token, 1 for slots.  ``widths`` None: WINDOW or the whole
     of a shorter text.  ``sieve``: bitmaps of the benchmark's windows and of its words; only stretches of
-    words that may stand in its windows are hashed."""
+    at least ``least`` tokens that may stand in its windows are hashed."""
     schema = pa.schema([("h", pa.int64()), ("width", pa.int32()), ("key", pa.int64()), ("id", pa.int64()),
                         ("pos", pa.int32()), ("n", pa.int32()), ("last", pa.bool_()), ("raw", pa.binary()), ("slots", pa.binary())])
 
@@ -274,7 +274,7 @@ def _window_rows(frame: DataFrame, widths, near: int, sieve=None) -> DataFrame:
             out: list[list] = [[] for _ in schema]
             for key, d, t in zip(cols["key"], cols["id"], cols["t"], strict=True):
                 numbers = tokens.numbers(t or b"")
-                places = [(0, len(numbers), 0)] if known is None else tokens.stretches(numbers, min(widths))
+                places = [(0, len(numbers), 0)] if known is None else tokens.stretches(numbers, least)
                 for a, b, ahead in places:
                     raw, forms = tokens.forms(numbers[a:b], numbers[a - 1] if a else None)
                     n = len(raw)
@@ -353,11 +353,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     items = benchmark.select(F.lit(0).cast("long").alias("key"), F.col(item_id).cast("long").alias("id"),
                              F.col(item_text).cast("binary").alias("t"))
     wanted = stored(_window_rows(items, None, run), "decontamination-items")
+    # all tokens of a run stand in one stretch, so a stretch has as many as the shortest run that counts
+    least = min(run, wanted.agg(F.min("n")).first()[0] or run)
     widths = tuple(sorted(r["width"] for r in wanted.where(F.col("width") <= WINDOW).select("width").distinct().collect()))  # LEAST to WINDOW
     if not widths:
         widths = (WINDOW,)
     sieve = spark.sparkContext.broadcast((bitmap(wanted, "h", BITS), _words_bitmap(items)))
-    found = _window_rows(rows, widths, run, sieve)
+    found = _window_rows(rows, widths, run, sieve, least)
     both = found.select("h", "width", "key", "id", "pos", "last", "raw", "slots").join(
         wanted.select("h", "width", F.col("id").alias("item_id"), F.col("pos").alias("at"), F.col("n").alias("item_tokens"),
                       F.col("raw").alias("item_raw"), F.col("last").alias("item_last")), ["h", "width"])
