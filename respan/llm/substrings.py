@@ -1,6 +1,7 @@
-"""Substring deduplication by relative Lempel-Ziv parsing.
+"""Substring deduplication by a join of word windows in blocks.
 
-A document's words are factored against all documents with a smaller id.  The reference
+It stands in place of a relative Lempel-Ziv parse (see README): no document is factored; "phrase" and
+"factor" below mean runs of windows that a document with a smaller id has.  The reference
 is indexed in *blocks*: each window of :data:`WINDOW` words has an anchor, its least
 :data:`GRAM`-gram hash, and the consecutive windows with one anchor form a block of up to
 ``WINDOW - GRAM + 1`` windows.  Equal passages fall into equal blocks, whatever stands around them.
