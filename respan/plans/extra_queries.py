@@ -56,7 +56,7 @@ def q_baseline_table(spark, sf):
        GROUP BY s.run_id, s.epoch""", "metric_history"))
 def q_training_history(spark, sf):
     """(key, step, value) pivoted per run on a dense epoch spine 1..max step."""
-    h = C.metric_history(spark, sf)
+    h = C.metric_history(spark, sf)  # its rows stand together by run, for all three groupings
     spine = h.groupBy("run_id").agg(F.max("step").alias("m")).select(
         "run_id", F.explode(F.sequence(F.lit(1), F.col("m"))).alias("epoch"))
     wide = h.groupBy("run_id", F.col("step").alias("epoch")).pivot(
