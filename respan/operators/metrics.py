@@ -278,8 +278,11 @@ def align_predictions(df: DataFrame, models: Sequence[str], key: str = "row_id",
     A model whose row count differs from the reference model (the first) is dropped."""
     counts = df.groupBy(model).agg(F.count(F.lit(1)).alias("n"))
     ref = counts.where(F.col(model) == models[0]).select(F.col("n").alias("n_ref"))
-    keep = counts.join(ref, F.col("n") == F.col("n_ref"), "inner").select(model)
-    kept = df.join(keep, model, "left_semi")
+    keep = counts.join(ref, F.col("n") == F.col("n_ref"), "inner").select(model).where(F.col(model).isin(list(models)))
+    # rows meet by key before they are pivoted: a task's maps hold its share of the keys, not
+    # all the distinct keys of an input split
+    df = df.repartition(key)
+    kept = df.join(F.broadcast(keep), model, "left_semi")
     wide = kept.groupBy(key).pivot(model, list(models)).agg(F.first(pred))
     actual = df.where(F.col(model) == models[0]).select(key, F.col(y).alias("actual"))
     return actual.join(wide, key, "inner")
@@ -327,22 +330,23 @@ def bootstrap_replicates(df: DataFrame, groups: Sequence[str], key: str = "row_i
 
 
 def _poisson_partial_sums(groups: list[str], key: str, y: str, yhat: str, n_boot: int, seed: int,
-                          chunk_rows: int = 2048):
+                          chunk_rows: int = 256):
     """mapInPandas body: per batch and group, the B weighted partial sums, with the same
-    integer random stream as :func:`respan.functions.hashing.with_stream_uniform`."""
+    integer random stream as :func:`respan.functions.hashing.with_stream_uniform`: 32-bit
+    integers that wrap around, compared with the CDF scaled by 2**32 and rounded up, which decides alike."""
     import numpy as np
     import pandas as pd
 
     from respan.functions.hashing import GOLDEN32, MIX32_MULT, MOD32
 
-    cdf = np.asarray(POISSON1_CDF)
-    reps = np.arange(n_boot, dtype=np.uint64)
+    edges = [np.uint32(c) for c in (math.ceil(c * MOD32) for c in POISSON1_CDF) if c < MOD32]
+    steps = np.arange(n_boot, dtype=np.uint32) * np.uint32(GOLDEN32)
 
     def mix(x):
         for step in range(3):
-            x = x ^ (x >> np.uint64(16))
+            x ^= x >> np.uint32(16)
             if step < 2:
-                x = (x * np.uint64(MIX32_MULT)) % np.uint64(MOD32)
+                x *= np.uint32(MIX32_MULT)
         return x
 
     def run(batches):
@@ -353,17 +357,18 @@ def _poisson_partial_sums(groups: list[str], key: str, y: str, yhat: str, n_boot
             for gkey, sub in (pdf.groupby(groups, sort=False) if groups else [((), pdf)]):
                 gk = gkey if isinstance(gkey, tuple) else (gkey,)
                 acc = sums.setdefault(gk, np.zeros((5, n_boot)))
-                k = np.mod(sub[key].to_numpy(dtype=np.int64), MOD32).astype(np.uint64)
-                s0 = mix((k + np.uint64(seed * GOLDEN32 % MOD32)) % np.uint64(MOD32))
+                k = np.mod(sub[key].to_numpy(dtype=np.int64), MOD32).astype(np.uint32)
+                s0 = mix(k + np.uint32(seed * GOLDEN32 % MOD32))
                 yy = sub[y].to_numpy(dtype=float)
                 e = yy - sub[yhat].to_numpy(dtype=float)
                 cols = np.vstack([np.ones_like(e), e * e, np.abs(e), yy, yy * yy])
                 for i in range(0, len(sub), chunk_rows):
                     sl = slice(i, i + chunk_rows)
-                    x = (s0[sl, None] + reps[None, :] * np.uint64(GOLDEN32)) % np.uint64(MOD32)
-                    u = mix(x).astype(float) / 4294967296.0
-                    w = np.searchsorted(cdf, u, side="right").astype(float)
-                    acc += cols[:, sl] @ w
+                    x = mix(s0[sl, None] + steps[None, :])
+                    w = np.zeros(x.shape, np.uint8)
+                    for edge in edges:
+                        w += x >= edge
+                    acc += cols[:, sl] @ w.astype(float)
         for gk, acc in sums.items():
             out = {g: [v] * n_boot for g, v in zip(groups, gk)}
             out.update({"rep": np.arange(n_boot, dtype=np.int32), "sw": acc[0], "sse": acc[1], "sae": acc[2],
