@@ -7,8 +7,8 @@ them (the numpy/DuckDB ``quantile_cont`` definition is reproduced exactly):
 
 1. per group: a bounded ``percentile_approx`` sketch gives ``B-1`` bucket edges
    (1024 buckets, fewer only if there are very many groups), and the row count ``n``;
-2. each row gets its bucket (number of edges strictly below the value, found in two
-   short scans of 64 edges; a value equal to an edge gets its own point-mass bucket);
+2. each row gets its bucket (number of edges strictly below the value, found by
+   halving; a value equal to an edge gets its own point-mass bucket);
    per (group, bucket) we count rows and keep min/max -> at most G*2B small rows;
 3. for every requested probability the two neighbouring ranks
    ``floor(p(n-1))`` and ``ceil(p(n-1))`` are located in a bucket from the
@@ -30,30 +30,26 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS, CHUNK = 1024, 64
+BUCKETS, LEAST = 1024, 64
 #: Edges (doubles) of all groups together that may be broadcast: 32 MB.
 BROADCAST_EDGES = 1 << 22
 
 
-def bucketize(data: DataFrame, groups: list[str], buckets: int, n_groups: int, least: int = CHUNK) -> tuple[DataFrame, DataFrame]:
+def bucketize(data: DataFrame, groups: list[str], buckets: int, n_groups: int, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """Rows (value ``_v``) with their bucket ``_bk``, odd for a single value, and per-bucket stats with running [start, end) ranks."""
     buckets = max(least, min(buckets, BROADCAST_EDGES // max(n_groups, 1)))
     # one string literal instead of thousands keeps the plan small
     probs = ",".join(repr(i / buckets) for i in range(1, buckets))
     edges = data.groupBy(*groups).agg(
         F.expr(f"percentile_approx(_v, cast(split('{probs}', ',') as array<double>), {4 * buckets})").alias("_e"))
-    # chunks of the sorted edges, and the last edge of each
-    edges = edges.select(*groups, F.expr(f"transform(sequence(0, (size(_e) - 1) div {CHUNK}), "
-                                         f"i -> slice(_e, i * {CHUNK} + 1, {CHUNK}))").alias("_fine"))
-    edges = edges.withColumn("_last", F.transform("_fine", lambda c: F.array_max(c)))
     if n_groups * buckets <= BROADCAST_EDGES:
         edges = F.broadcast(edges)
     rows = data.join(edges, groups, "inner")  # one edge row per group
-    rows = rows.withColumn("_c", F.size(F.filter("_last", lambda e: e < F.col("_v"))))
-    inside = F.coalesce(F.get("_fine", F.col("_c")), F.expr("cast(array() as array<double>)"))
-    below = F.col("_c") * CHUNK + F.size(F.filter(inside, lambda e: e < F.col("_v")))
-    bucketed = rows.withColumn("_bk", below * 2 + F.when(F.array_contains(inside, F.col("_v")), 1).otherwise(0)
-                               ).drop("_fine", "_last", "_c")
+    # edges are sorted: those below the value are counted by halving (past their end there is null, which is not below)
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(buckets.bit_length()))])
+    rows = rows.withColumn("_c", F.aggregate(steps, F.lit(0), lambda c, s: c + F.when(F.get("_e", c + s - 1) < F.col("_v"), s).otherwise(0)))
+    same = F.coalesce(F.get("_e", F.col("_c")) == F.col("_v"), F.lit(False))
+    bucketed = rows.withColumn("_bk", F.col("_c") * 2 + F.when(same, 1).otherwise(0)).drop("_e", "_c")
     stats = (bucketed.groupBy(*groups, "_bk")
              .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
     w = Window.partitionBy(*groups).orderBy("_bk")  # at most 2 * buckets rows a group

@@ -29,6 +29,8 @@ from respan.functions.quantiles import bucketize
 from respan.session import stored
 
 GROUP = ["study", "step"]
+#: Number of a (study, step): rows are shuffled, sorted and joined by it.
+ID = "group_id"
 #: Rows that a task compares at a time (more if one group has more).
 HELD_ROWS = 1 << 16
 
@@ -48,35 +50,44 @@ def earlier_order(group: np.ndarray, order: np.ndarray, value: np.ndarray) -> tu
     seen[by] = np.maximum.accumulate(np.where(tie, np.arange(n), 0)) - start
     rank = seen  # rows of one order share it, and gaps do no harm
     bits = int(rank.max(initial=0)).bit_length()
-    group = group.astype(np.int64) << bits
     less, below, above = np.zeros(n, np.int64), np.full(n, -np.inf), np.full(n, np.inf)
-    for bit in range(bits):
-        half = (rank >> bit) & 1
-        block = (group + rank) >> (bit + 1)
-        by = np.lexsort((-half, value, block))  # equal values: the upper half first, so ties are not below
-        lower = np.flatnonzero(half[by] == 0)
-        upper = np.flatnonzero(half[by] == 1)
-        if not len(lower) or not len(upper):
-            continue
-        k = np.searchsorted(lower, upper)
+    # sorted once; equal values: the later first, so in every block its upper half and ties are not below
+    by = np.lexsort((-rank, value, group))
+    rank, value, block = rank[by], value[by], group[by].astype(np.int64)
+    block = np.cumsum(np.append(0, block[1:] != block[:-1])) if n else block
+    for bit in reversed(range(bits)):
+        half = (rank >> bit) & 1 == 1
+        count = np.cumsum(~half)  # lower rows up to here
+        start = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+        ends = np.append(start[1:], n) - 1
+        here = np.repeat(np.arange(len(start)), ends - start + 1)
+        first, last = (count - ~half)[start][here], count[ends][here]  # lower rows before and up to the end of the block
+        low = value[~half]
+        upper = np.flatnonzero(half)
+        k, a, z = count[upper], first[upper], last[upper]
         mine = by[upper]
-        first = np.searchsorted(block[by[lower]], block[mine])  # first lower row of the same block
-        less[mine] += k - first
-        has = k > first
+        less[mine] += k - a
+        has = k > a
         at = mine[has]
-        below[at] = np.maximum(below[at], value[by[lower[k[has] - 1]]])
-        nxt = np.minimum(k, len(lower) - 1)
-        has = (k < len(lower)) & (block[by[lower[nxt]]] == block[mine])
+        below[at] = np.maximum(below[at], low[k[has] - 1])
+        has = k < z
         at = mine[has]
-        above[at] = np.minimum(above[at], value[by[lower[k[has]]]])
+        above[at] = np.minimum(above[at], low[k[has]])
+        # the next blocks: the lower half of each before its upper half, both in the order of values
+        count_upper = np.cumsum(half)
+        to = np.where(half, last + count_upper - 1, first + count - first - 1 + (count_upper - half)[start][here])
+        moved = np.empty(n, np.int64)
+        moved[to] = np.arange(n)
+        block = (block * 2 + half)[moved]
+        block = np.cumsum(np.append(0, block[1:] != block[:-1]))
+        rank, value, by = rank[moved], value[moved], by[moved]
     return seen, less, np.where(np.isinf(below), np.nan, below), np.where(np.isinf(above), np.nan, above)
 
 
-def _compared(rows: DataFrame, bucket: str, order: str, prefix: str) -> DataFrame:
+def _compared(rows: DataFrame, bucket: str, order: str, prefix: str, width: int) -> DataFrame:
     """Rows with the four columns of :func:`earlier_order` within each (group, bucket); single-value buckets
-    (odd numbers) get none."""
+    (odd numbers) get none.  ``width`` is above all bucket numbers."""
     names = [f"{prefix}_seen", f"{prefix}_less", f"{prefix}_below", f"{prefix}_above"]
-    keys = [*GROUP, bucket]
     types = ["long", "long", "double", "double"]
     ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields]
                     + [f"{n} {t}" for n, t in zip(names, types, strict=True)])
@@ -86,9 +97,9 @@ def _compared(rows: DataFrame, bucket: str, order: str, prefix: str) -> DataFram
         t = pa.Table.from_batches(held).combine_chunks()
         n = t.num_rows
         new = np.zeros(n, bool)
-        for k in keys:
-            codes = t.column(k).combine_chunks().dictionary_encode().indices.to_numpy()
-            new[1:] |= codes[1:] != codes[:-1]
+        key = t.column("key").to_numpy()
+        new[1:] = key[1:] != key[:-1]
+        t = t.drop_columns("key")
         some = np.flatnonzero(t.column(bucket).to_numpy() % 2 == 0)
         found = [np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, np.nan), np.full(n, np.nan)]
         if len(some):
@@ -107,17 +118,17 @@ def _compared(rows: DataFrame, bucket: str, order: str, prefix: str) -> DataFram
             held.append(b)
             if sum(x.num_rows for x in held) < HELD_ROWS:
                 continue
-            last = tuple(b.column(k)[b.num_rows - 1].as_py() for k in keys)
-            cut = b.num_rows  # where the last group begins in this batch
-            while cut and tuple(b.column(k)[cut - 1].as_py() for k in keys) == last:
-                cut -= 1
+            key = b.column(b.num_columns - 1).to_numpy()
+            cut = int(np.searchsorted(key, key[-1]))  # where the last group begins in this batch
             if cut:
                 yield from with_order([*held[:-1], b.slice(0, cut)])
                 held = [b.slice(cut)]
         if held:
             yield from with_order(held)
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, ddl)
+    # group and bucket in one number: rows are sorted by it alone
+    rows = rows.withColumn("key", F.col(ID) * width + F.col(bucket))
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, ddl)
 
 
 def earlier_values(values: DataFrame) -> DataFrame:
@@ -126,35 +137,41 @@ def earlier_values(values: DataFrame) -> DataFrame:
     v = values.select(F.col("study").cast("string").alias("study"), F.col("number").cast("bigint").alias("number"),
                       F.col("step").cast("int").alias("step"), F.col("value").cast("double").alias("value"))
     v = v.where(F.col("value").isNotNull() & ~F.isnan("value"))
-    size = v.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.count(F.lit(1))).first()
+    groups = v.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n")).withColumn(ID, F.monotonically_increasing_id())
+    groups = stored(groups, "pruning-groups")  # written, so that every reader sees the same numbers
+    size = groups.agg(F.max("n"), F.count(F.lit(1))).first()
+    groups = groups.drop("n")
+    v = v.join(groups, GROUP).select(ID, "number", "value")
     buckets = max(2, int(np.sqrt(size[0] or 1) / 4))
-    ranged, _ = bucketize(v.withColumn("_v", F.col("number").cast("double")), GROUP, buckets, size[1], least=2)
+    ranged, _ = bucketize(v.withColumn("_v", F.col("number").cast("double")), [ID], buckets, size[1], least=2)
     ranged = ranged.withColumnRenamed("_bk", "range").withColumn("_v", F.col("value"))
-    rows, _ = bucketize(ranged, GROUP, buckets, size[1], least=2)
-    rows = rows.withColumnRenamed("_bk", "bucket").select("study", "number", "step", "value", F.col("range").cast("int").alias("range"),
+    rows, _ = bucketize(ranged, [ID], buckets, size[1], least=2)
+    rows = rows.withColumnRenamed("_bk", "bucket").select(ID, "number", "value", F.col("range").cast("int").alias("range"),
                                                           F.col("bucket").cast("int").alias("bucket"))
-    rows = _compared(rows, "range", "number", "r")
-    rows = stored(_compared(rows, "bucket", "range", "b"), "pruning-rows")  # read for the counts and again for the rows
+    rows = _compared(rows, "range", "number", "r", 2 * buckets + 2)
+    rows = _compared(rows, "bucket", "range", "b", 2 * buckets + 2)
+    rows = rows.select(ID, "number", "value", "range", "bucket", "r_seen", (F.col("r_less") + F.col("b_less")).alias("less"),
+                       F.greatest("r_below", "b_below").alias("below"), F.least("r_above", "b_above").alias("above"))
+    rows = stored(rows, "pruning-rows")  # read for the counts and again for the rows
 
-    cells = rows.groupBy(*GROUP, "range", "bucket").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("hi"), F.min("value").alias("lo"))
+    cells = rows.groupBy(ID, "range", "bucket").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("hi"), F.min("value").alias("lo"))
     # every range with every bucket of its group: about as many cells as rows
-    grid = cells.select(*GROUP, "range").distinct().join(cells.select(*GROUP, "bucket").distinct(), GROUP)
-    grid = grid.join(cells, [*GROUP, "range", "bucket"], "left")
-    before = Window.partitionBy(*GROUP, "bucket").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    grid = grid.select(*GROUP, "range", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n"),
+    grid = cells.select(ID, "range").distinct().join(cells.select(ID, "bucket").distinct(), ID)
+    grid = grid.join(cells, [ID, "range", "bucket"], "left")
+    before = Window.partitionBy(ID, "bucket").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    grid = grid.select(ID, "range", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n"),
                        F.max("hi").over(before).alias("hi"), F.min("lo").over(before).alias("lo"))
-    across = Window.partitionBy(*GROUP, "range").orderBy("bucket")
+    across = Window.partitionBy(ID, "range").orderBy("bucket")
     lower = across.rowsBetween(Window.unboundedPreceding, -1)
     higher = across.rowsBetween(1, Window.unboundedFollowing)
-    grid = grid.select(*GROUP, "range", "bucket", F.sum("n").over(Window.partitionBy(*GROUP, "range")).alias("g_seen"),
+    grid = grid.select(ID, "range", "bucket", F.sum("n").over(Window.partitionBy(ID, "range")).alias("g_seen"),
                        F.coalesce(F.sum("n").over(lower), F.lit(0)).alias("g_less"), F.max("hi").over(lower).alias("g_below"),
                        F.min("lo").over(higher).alias("g_above"),
                        F.when(F.col("bucket") % 2 == 1, F.col("lo")).alias("g_same"))  # earlier rows of a single-value bucket
-    out = rows.join(grid, [*GROUP, "range", "bucket"])
+    out = rows.join(grid, [ID, "range", "bucket"]).join(groups, ID)
     return out.select("study", "number", "step", "value", (F.col("g_seen") + F.col("r_seen")).alias("n_before"),
-                      (F.col("g_less") + F.col("r_less") + F.col("b_less")).alias("n_less"),
-                      F.greatest("g_below", "r_below", "b_below").alias("below"),
-                      F.least("g_above", "g_same", "r_above", "b_above").alias("above"))
+                      (F.col("g_less") + F.col("less")).alias("n_less"), F.greatest("g_below", rows["below"]).alias("below"),
+                      F.least("g_above", "g_same", rows["above"]).alias("above"))
 
 
 def median_prune(values: DataFrame, n_startup: int = 10, n_warmup: int = 0) -> DataFrame:

@@ -69,3 +69,24 @@ def test_one_study_of_many_trials(spark):
     value = np.where(rng.random(n) < 0.35, 0.5, rng.random(n) + 0.5 * (np.arange(n) % 3 == 0))
     rows = list(zip(["s"] * n, rng.permutation(n).tolist(), [1] * n, value.tolist(), strict=True))
     assert found(spark, rows, 5, 0) == brute(rows, 5, 0)
+
+
+def test_rows_of_many_groups_keep_their_order():
+    """Groups, orders and values with ties against plain counting; each row is sorted once, not once a halving."""
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 2, 17, 200):
+        group, order, value = np.sort(rng.integers(0, 5, n)), rng.integers(0, 40, n), rng.integers(0, 30, n) * 1.0
+        seen, less, below, above = pruning.earlier_order(group, order, value)
+        for i in range(n):
+            earlier = value[(group == group[i]) & (order < order[i])]
+            low, high = earlier[earlier < value[i]], earlier[earlier >= value[i]]
+            assert (seen[i], less[i]) == (len(earlier), len(low))
+            assert (np.isnan(below[i]) and not len(low)) or below[i] == low.max()
+            assert (np.isnan(above[i]) and not len(high)) or above[i] == high.min()
+
+
+def test_the_halving_sorts_once(monkeypatch):
+    rng, calls, lexsort = np.random.default_rng(6), [], np.lexsort
+    monkeypatch.setattr(pruning.np, "lexsort", lambda keys: calls.append(1) or lexsort(keys))
+    pruning.earlier_order(np.zeros(5000, np.int64), np.arange(5000), rng.random(5000))
+    assert len(calls) <= 2
