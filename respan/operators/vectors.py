@@ -15,8 +15,11 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from respan.functions.quantiles import exact_percentiles
 from respan.operators.text import BERT_MAX_LENGTH, chunk_tokens, tokenize
@@ -93,6 +96,8 @@ def first_token_pool(tok: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 FALLBACK_CHARS = 1000  # fixed value (reference's last resort)
+#: Documents that a task takes from an Arrow batch at a time.
+ENCODED_ROWS = 64
 
 
 def encode_in_parts(encode: Callable[[list[str]], Sequence], texts: list[str], batch: int) -> tuple[list, list]:
@@ -116,6 +121,12 @@ def encode_in_parts(encode: Callable[[list[str]], Sequence], texts: list[str], b
     return vecs, errors
 
 
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of ENCODED_ROWS: what Python makes of their texts is all that it holds beside the batch."""
+    for a in range(0, batch.num_rows, ENCODED_ROWS):
+        yield batch.slice(a, ENCODED_ROWS)
+
+
 def _unit(v: np.ndarray) -> np.ndarray:
     n = np.linalg.norm(v)
     return v / n if n else v
@@ -143,18 +154,18 @@ def encode_documents(docs: DataFrame, make_encoder: Callable[[], Callable[[list[
     body = F.coalesce(F.col(text), F.lit(""))
     d = docs.select(key, body.alias("t"), tokenize(body).alias("_t"))
     parts = F.transform(chunk_tokens(F.col("_t"), chunks), lambda c: F.array_join(c, " "))
-    d = d.select(key, "t", F.size("_t").cast("long").alias("token_count"), parts.alias("parts"),
-                 F.array_join(F.slice("_t", 1, BERT_MAX_LENGTH), " ").alias("short"))
+    d = d.select(key, "t", F.size("_t").cast("long").alias("token_count"), parts.alias("parts"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = make_encoder()
-        for b in batches:
+        for b in (part for whole in batches for part in _pieces(whole)):
             rows = []
-            for k, t, tokens, pieces, short in b.itertuples(index=False):
+            for k, t, tokens, pieces in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 began = time.perf_counter()
                 empty = not t.strip()
                 # a text of signs only has no token: it is its own chunk
-                pieces = [] if empty else (list(pieces) or [t])
+                short = " ".join(" ".join(pieces[:2] if chunks == "plain" else pieces[:1]).split(" ")[:BERT_MAX_LENGTH])
+                pieces = [] if empty else (pieces or [t])
                 vecs, errors = encode_in_parts(encode, pieces, batch)
                 good = [v for v in vecs if v is not None]
                 level, vec = ("chunks", _pooled(good, pool)) if good else ("failed", None)
@@ -178,15 +189,13 @@ def encode_documents(docs: DataFrame, make_encoder: Callable[[], Callable[[list[
                 rows.append((k, None if vec is None else vec.tolist(), None if vec is None else len(vec), level, len(pieces),
                              sum(v is None for v in vecs), tokens, len(t.encode()), time.perf_counter() - began, pd.Timestamp.now("UTC"),
                              next((e for e in errors if e), None)))
-            frame = pd.DataFrame(rows, columns=names)
-            frame["dim"] = frame["dim"].astype("Int32")
-            yield frame
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
     kind = docs.schema[key].dataType.simpleString()
     schema = (f"`{key}` {kind}, vec array<double>, dim int, level string, n_chunks long, n_failed long, token_count long, "
               "file_size_bytes long, processing_time_seconds double, timestamp timestamp, error string")
-    names = [f.split()[0].strip("`") for f in schema.split(", ")]
-    return d.mapInPandas(run, schema)
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    return d.mapInArrow(run, schema)
 
 
 def last_layer_head_mean(edges: DataFrame) -> DataFrame:

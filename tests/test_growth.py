@@ -1,7 +1,10 @@
 """What a task holds and hands on does not grow with the input."""
 
+import numpy as np
 import pyarrow as pa
+import pytest
 
+from respan.operators import vectors as V
 from respan.sources import scans as SC
 
 
@@ -23,3 +26,33 @@ def test_texts_of_pairs_are_handed_on_together(tmp_path):
     out = SC._with_texts(Batches(batch), str(tmp_path))
     assert len(out) == 1 and out[0].column(3).to_pylist() == ["text of " + n for n in names]
     assert out[0].column(4).to_pylist() == ["text of " + n for n in names[::-1]]
+
+
+def test_documents_are_encoded_in_small_parts():
+    batch = pa.RecordBatch.from_pydict({"i": list(range(200))})
+    parts = list(V._pieces(batch))
+    assert max(p.num_rows for p in parts) <= V.ENCODED_ROWS and sum((p.column(0).to_pylist() for p in parts), []) == list(range(200))
+
+
+@pytest.mark.parametrize("chunks", ["plain", "overlap", "precompute"])
+def test_the_truncated_text_is_that_of_the_tokens(spark, chunks):
+    """An encoder that fails on chunks shows the text that is tried next."""
+    sizes = [1, 508, 509, 510, 511, 1100, 3000]
+    docs = spark.createDataFrame([(n, " ".join(f"w{i}" for i in range(10, n + 10))) for n in sizes], "doc_id long, text string")
+
+    def make():
+        calls = {}
+
+        def encode(texts):
+            (text,) = texts
+            calls[text] = calls.get(text, 0) + 1
+            words = text.split(" ")
+            if calls[text] == 1 and not (words[0] == "w10" and len(words) == 510):  # first as a chunk, then truncated
+                raise RuntimeError(text)
+            return [np.array([1.0, len(words)])]
+        return encode
+
+    out = {r.doc_id: r for r in V.encode_documents(docs.repartition(len(sizes) * 4, "doc_id"), make, chunks=chunks, batch=1).collect()}
+    for n in sizes:
+        if out[n].level == "truncated":
+            assert round(out[n].vec[1] / out[n].vec[0]) == min(n, 510)
