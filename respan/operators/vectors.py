@@ -232,6 +232,8 @@ def keyword_attention(edges: DataFrame, position: int = 0, seq_len: int = 16) ->
 
 
 TOP_TOKENS = 20  # fixed value (reference default)
+#: Attention edges that a task groups.
+TASK_EDGES = 1 << 20
 
 
 def keyword_edges(edges: DataFrame, first: DataFrame) -> DataFrame:
@@ -240,6 +242,18 @@ def keyword_edges(edges: DataFrame, first: DataFrame) -> DataFrame:
 
     Heads are averaged, a head without the edge counts as 0.  Both joins are on (document,
     position), so edges that touch no keyword drop out at once."""
+    return _keyword_edges(_spread(edges), first)
+
+
+def _spread(edges: DataFrame) -> DataFrame:
+    """Edges dealt by document, about TASK_EDGES to a task at any size: nearly every edge is a group
+    of its own, and a task holds the groups of what it reads."""
+    tasks = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-edges.count() // TASK_EDGES))
+    return edges.repartition(tasks, "doc")
+
+
+def _keyword_edges(edges: DataFrame, first: DataFrame) -> DataFrame:
+    """:func:`keyword_edges` of edges that are dealt already."""
     one = edges.groupBy("doc", "layer", "head", "from_pos", "to_pos").agg(F.avg("weight").alias("w"))
     at = first.select("doc", "keyword", F.col("pos").alias("at"))
 
@@ -259,8 +273,9 @@ def keyword_edges(edges: DataFrame, first: DataFrame) -> DataFrame:
 def keyword_layers(edges: DataFrame, first: DataFrame, lengths: DataFrame) -> DataFrame:
     """Per (doc, keyword, layer) the mean attention from and to the keyword over all of the
     document's tokens (``lengths``: doc, n_tokens); layers without such an edge have 0."""
+    edges = _spread(edges)
     layers = edges.select("doc", "layer").distinct()
-    sums = keyword_edges(edges, first).groupBy("doc", "keyword", "layer").agg(
+    sums = _keyword_edges(edges, first).groupBy("doc", "keyword", "layer").agg(
         F.sum("attention_from").alias("f"), F.sum("attention_to").alias("t"))
     every = first.select("doc", "keyword").join(layers, "doc").join(lengths, "doc")
     zero = F.lit(0.0)
@@ -271,11 +286,12 @@ def keyword_layers(edges: DataFrame, first: DataFrame, lengths: DataFrame) -> Da
 
 def keyword_vectors(edges: DataFrame, first: DataFrame, lengths: DataFrame) -> DataFrame:
     """(doc, keyword, layer, attention_from, attention_to) with arrays over all tokens of the document."""
+    edges = _spread(edges)
     layers = edges.select("doc", "layer").distinct()
     every = first.select("doc", "keyword").join(layers, "doc").join(lengths, "doc").select(
         "doc", "keyword", "layer", F.explode(F.sequence(F.lit(0), F.col("n_tokens").cast("int") - 1)).alias("pos"))
     zero = F.lit(0.0)
-    dense = every.join(keyword_edges(edges, first), ["doc", "keyword", "layer", "pos"], "left").groupBy("doc", "keyword", "layer").agg(
+    dense = every.join(_keyword_edges(edges, first), ["doc", "keyword", "layer", "pos"], "left").groupBy("doc", "keyword", "layer").agg(
         F.sort_array(F.collect_list(F.struct("pos", F.coalesce("attention_from", zero).alias("f"),
                                              F.coalesce("attention_to", zero).alias("t")))).alias("v"))
     return dense.select("doc", "keyword", "layer", F.col("v.f").alias("attention_from"), F.col("v.t").alias("attention_to"))
@@ -288,8 +304,9 @@ def keyword_top_tokens(edges: DataFrame, first: DataFrame, tokens: DataFrame, to
 
     Tokens without an edge can only fill up the list, and its places are then the document's
     first positions, so ``top_k`` of them are enough."""
+    edges = _spread(edges)
     last = edges.groupBy("doc").agg(F.max("layer").alias("layer"))
-    found = keyword_edges(edges, first).join(last, ["doc", "layer"]).select("doc", "keyword", "pos", "attention_from", "attention_to")
+    found = _keyword_edges(edges, first).join(last, ["doc", "layer"]).select("doc", "keyword", "pos", "attention_from", "attention_to")
     fill = (first.select("doc", "keyword").join(last.select("doc"), "doc")
             .join(tokens.where(F.col("pos") < top_k).select("doc", "pos"), "doc")
             .select("doc", "keyword", "pos", F.lit(0.0).alias("attention_from"), F.lit(0.0).alias("attention_to")))

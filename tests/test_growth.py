@@ -3,6 +3,7 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from respan.operators import vectors as V
 from respan.sources import scans as SC
@@ -56,3 +57,16 @@ def test_the_truncated_text_is_that_of_the_tokens(spark, chunks):
     for n in sizes:
         if out[n].level == "truncated":
             assert round(out[n].vec[1] / out[n].vec[0]) == min(n, 510)
+
+
+def test_edges_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(V, "TASK_EDGES", 100)
+    edges = spark.range(5000).select((F.col("id") % 700).alias("doc"), F.lit(0).alias("layer"), (F.col("id") % 2).cast("int").alias("head"),
+                                     (F.col("id") % 5).cast("int").alias("from_pos"), (F.col("id") % 3).cast("int").alias("to_pos"),
+                                     F.lit(0.5).alias("weight"))
+    first = spark.range(700).select(F.col("id").alias("doc"), F.lit("k").alias("keyword"), F.lit(0).alias("pos"))
+    shuffles = V.keyword_edges(edges, first)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [doc" in shuffles and ", 50" in shuffles
+    lengths = first.select("doc", F.lit(5).alias("n_tokens"))
+    rows = V.keyword_layers(edges, first, lengths).collect()
+    assert len(rows) == 700 and all(0 <= r.mean_from <= 0.5 for r in rows)
