@@ -25,6 +25,7 @@ from __future__ import annotations
 import heapq
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +38,12 @@ from respan.llm.util import batched, bound_batches, stored
 HEAD, MODEL = 100_000, 1022
 CLASS, HIDDEN = 32, 16
 SPAN, SEGMENT, LANES, RATE, ROUNDS = 32, 16, 128, 0.01, 2
-#: Training windows a task.
-TASK_WINDOWS = 8000
+#: Training windows a task: enough that the longest documents leave few turns with few lanes.
+TASK_WINDOWS = 32_000
 #: Steps whose outputs are computed at a time, and lanes that run side by side.
 STEPS, SCORE_LANES = 32, 512
+#: Targets of one class that one product takes, and targets whose outputs are worked on at a time.
+BLOCK, OUTPUTS = 32, 2048
 END, OTHER = 0, 1
 LN10 = float(np.log(10))
 
@@ -122,33 +125,95 @@ def new_model(symbol_counts: np.ndarray, seed: int = 11) -> dict[str, np.ndarray
     return p
 
 
-def _by_class(cls: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(cls, kind="stable")
-    edges = np.flatnonzero(np.r_[True, np.diff(cls[order]) != 0]) if len(cls) else []
-    for a, b in zip(edges, [*edges[1:], len(cls)], strict=True):
-        yield int(cls[order[a]]), order[a:b]
+def class_blocks(cls: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions sorted by class in blocks of :data:`BLOCK` of one class each, so that all classes
+    are one batched product: the slot of each position, the position in each slot (a free slot
+    has position 0) and the number of blocks of each class."""
+    order = np.argsort(cls.astype(np.min_scalar_type(classes)), kind="stable")
+    n = np.bincount(cls, minlength=classes)
+    blocks = -(-n // BLOCK)
+    at = np.arange(len(cls)) + np.repeat((np.cumsum(blocks) - blocks) * BLOCK - (np.cumsum(n) - n), n)
+    slot = np.empty(len(cls), np.int64)
+    slot[order] = at
+    source = np.zeros(int(blocks.sum()) * BLOCK, np.int64)
+    source[at] = order
+    return slot, source, blocks
+
+
+def _blocked(rows: np.ndarray) -> np.ndarray:
+    """(features, slots) as (blocks, features, BLOCK), not copied."""
+    return rows.reshape(len(rows), -1, BLOCK).transpose(1, 0, 2)
+
+
+def _with_ones(h: np.ndarray) -> np.ndarray:
+    out = np.ones((len(h) + 1, h.shape[1]), np.float32)
+    out[:-1] = h
+    return out
+
+
+def _outputs(p: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of classes and of symbols in their classes, the bias in the last column."""
+    return np.c_[p["C"], p["cb"]], np.concatenate([p["D"], p["db"][:, :, None]], axis=2)
+
+
+def _exponentials(logits: np.ndarray) -> np.ndarray:
+    """Exponentials in place, the largest of a column 1; returns the columns' sums."""
+    logits -= logits.max(axis=0)
+    np.exp(logits, out=logits)
+    return logits.sum(axis=0)
 
 
 def log_probabilities(p: dict, h: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Natural log of the probability of symbols ``y`` after states ``h`` (n, H)."""
-    rows = np.arange(len(y))
-    cls = y // CLASS
-    logits = h @ p["C"].T
-    logits += p["cb"]
-    logits -= logits.max(axis=1, keepdims=True)
-    out = logits[rows, cls]
-    np.exp(logits, out=logits)
-    out = (out - np.log(logits.sum(axis=1))).astype(np.float64)
-    for c, at in _by_class(cls):
-        inside = h[at] @ p["D"][c].T
-        inside += p["db"][c]
-        inside -= inside.max(axis=1, keepdims=True)
-        picked = inside[np.arange(len(at)), y[at] % CLASS]
-        np.exp(inside, out=inside)
-        out[at] += picked - np.log(inside.sum(axis=1))
+    out = np.empty(len(y))
+    c, d = _outputs(p)
+    for s in range(0, len(y), OUTPUTS):  # what is worked on stays in the processor's cache
+        h1, part = _with_ones(h[s:s + OUTPUTS].T), y[s:s + OUTPUTS]
+        cls, at = part // CLASS, np.arange(len(part))
+        logits = c @ h1
+        logits -= logits.max(axis=0)
+        picked = logits[cls, at]
+        got = picked - np.log(np.exp(logits, out=logits).sum(axis=0))
+        slot, source, blocks = class_blocks(cls, len(c))
+        inside = np.empty((CLASS, len(source)), np.float32)
+        np.matmul(np.repeat(d, blocks, axis=0), _blocked(np.take(h1, source, axis=1, mode="clip")), out=_blocked(inside))
+        inside -= inside.max(axis=0)
+        picked = inside[part % CLASS, slot]
+        out[s:s + OUTPUTS] = got + (picked - np.log(np.exp(inside, out=inside).sum(axis=0))[slot])
     return out
 
 
+def output_gradients(p: dict, h: np.ndarray, y: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Gradients of the mean loss of symbols ``y`` (n; -1: no target) after states ``h`` (H, n):
+    of the output's parameters and of the states."""
+    c, d = _outputs(p)
+    h1 = _with_ones(h)
+    weight = (y >= 0) / np.float32(max(1, np.count_nonzero(y >= 0)))
+    y = np.maximum(y, 0)
+    cls = y // CLASS
+    e = c @ h1
+    sums = _exponentials(e)
+    e *= weight / sums
+    e[cls, np.arange(len(y))] -= weight
+    dc, dh = e @ h1.T, p["C"].T @ e
+    slot, source, blocks = class_blocks(cls, len(c))
+    weights, hb = np.repeat(d, blocks, axis=0), np.take(h1, source, axis=1, mode="clip")
+    e = np.empty((CLASS, len(source)), np.float32)
+    np.matmul(weights, _blocked(hb), out=_blocked(e))
+    share = np.zeros(len(source), np.float32)  # free slots have none
+    share[slot] = weight
+    sums = _exponentials(e)
+    e *= share / sums
+    e[y % CLASS, slot] -= weight
+    some = np.flatnonzero(blocks)
+    dd = np.zeros_like(d)
+    dd[some] = np.add.reduceat(np.matmul(_blocked(e), _blocked(hb).transpose(0, 2, 1)), (np.cumsum(blocks) - blocks)[some])
+    back = np.empty((len(h), len(source)), np.float32)
+    np.matmul(weights[:, :, :-1].transpose(0, 2, 1), _blocked(e), out=_blocked(back))
+    dh += np.take(back, slot, axis=1, mode="clip")
+    return {"C": dc[:, :-1], "cb": dc[:, -1], "D": dd[:, :, :-1], "db": dd[:, :, -1]}, dh
+
+
 def dealt(sizes: np.ndarray, lanes: int) -> list[list[int]]:
     """Documents of each lane, of about equal length together, the longest lane first."""
     heap, owner = [(0, k) for k in range(lanes)], [[] for _ in range(lanes)]
@@ -183,29 +248,15 @@ def train_windows(p: dict[str, np.ndarray], windows: np.ndarray, sizes: np.ndarr
         w = windows[at]
         h = np.where(begins[at], np.float32(0), h[:, :active])
         for s in range(0, SPAN, SEGMENT):
-            x, y = np.maximum(w[:, s:s + SEGMENT].T, 0), w[:, s + 1:s + SEGMENT + 1].T
-            use = np.flatnonzero(y.ravel() >= 0)
-            if not len(use):
+            x, y = np.maximum(w[:, s:s + SEGMENT].T, 0, order="C"), w[:, s + 1:s + SEGMENT + 1].T
+            used = np.count_nonzero(y >= 0)
+            if not used:
                 break
             states, tape = gru.forward(p, x, h)
-            flat = states.transpose(0, 2, 1).reshape(-1, HIDDEN)
-            hs, ys = flat[use], y.ravel()[use]
-            cls = ys // CLASS
-            d = gru.softmax(hs @ p["C"].T + p["cb"], 1)
-            d[np.arange(len(ys)), cls] -= 1
-            d /= len(ys)
-            grads = {"C": d.T @ hs, "cb": d.sum(axis=0), "D": np.zeros_like(p["D"]), "db": np.zeros_like(p["db"])}
-            dh = d @ p["C"]
-            for c, at in _by_class(cls):
-                e = gru.softmax(hs[at] @ p["D"][c].T + p["db"][c], 1)
-                e[np.arange(len(at)), ys[at] % CLASS] -= 1
-                e /= len(ys)
-                grads["D"][c], grads["db"][c] = e.T @ hs[at], e.sum(axis=0)
-                dh[at] += e @ p["D"][c]
-            back = np.zeros_like(flat)
-            back[use] = dh
-            grads |= gru.backward(p, x, tape, back.reshape(len(x), len(w), HIDDEN).transpose(0, 2, 1))
-            opt.update(grads, len(use) / (lanes * SEGMENT))  # few tokens, such as a long text's end, move it less
+            flat = states.transpose(1, 0, 2).reshape(HIDDEN, -1)
+            grads, dh = output_gradients(p, flat, y.ravel())
+            grads |= gru.backward(p, x, tape, dh.reshape(HIDDEN, len(x), len(w)).transpose(1, 0, 2))
+            opt.update(grads, used / (lanes * SEGMENT))  # few tokens, such as a long text's end, move it less
             h = states[-1]  # the state goes on, the gradient does not
     return p
 
@@ -239,19 +290,20 @@ def document_log_probabilities(p: dict, docs: list[np.ndarray]) -> np.ndarray:
             x[k, at], begins[k, at], of[k, at:at + n] = END, True, i
             at += n
     x, y, of, begins = (np.ascontiguousarray(a.T) for a in (x, y, of, begins))
+    starts = begins.any(axis=1)
     h = np.zeros((HIDDEN, lanes), np.float32)
     cols = np.empty((3 * HIDDEN, lanes), np.float32)
     for s in range(0, steps, STEPS):
         part = slice(s, min(s + STEPS, steps))
-        states = np.empty((part.stop - s, lanes, HIDDEN), np.float32)
+        states = np.empty((HIDDEN, part.stop - s, lanes), np.float32)
         for t in range(s, part.stop):
-            if begins[t].any():
+            if starts[t]:
                 h = np.where(begins[t], np.float32(0), h)
             np.take(p["U"], x[t], axis=1, out=cols, mode="clip")
             h = gru.step(cols, p["W"], h)
-            states[t - s] = h.T
+            states[:, t - s] = h
         use = np.flatnonzero(y[part].ravel() >= 0)
-        lp = log_probabilities(p, states.reshape(-1, HIDDEN)[use], y[part].ravel()[use])
+        lp = log_probabilities(p, np.take(states.reshape(HIDDEN, -1), use, axis=1).T, y[part].ravel()[use])
         out += np.bincount(of[part].ravel()[use], weights=lp, minlength=len(docs))
     return out / LN10
 
@@ -276,7 +328,7 @@ def _windows(rows: DataFrame, vocab) -> DataFrame:
             out = []
             for t in cols["t"]:
                 words = (t or b"").lower().split()
-                at = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+                at = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
                 out.append(text_windows(symbol[at]).ravel())
             offsets = np.concatenate([[0], np.cumsum([len(w) for w in out])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
@@ -343,7 +395,7 @@ def _scored(rows: DataFrame, model, vocab) -> DataFrame:
             n, known, base, others, words, ns, symbols = [], [], [], [], [], [], []
             for t in cols["t"]:
                 ws = (t or b"").lower().split()
-                at = np.array([get(w, -1) for w in ws], np.int64)
+                at = np.fromiter(map(get, ws, repeat(-1)), np.int64, len(ws))
                 sym = v.symbol[at]
                 rare = Counter([ws[i] for i in np.flatnonzero(at < 0).tolist()])
                 other = sym == OTHER

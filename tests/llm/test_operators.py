@@ -355,6 +355,35 @@ def test_training_carries_the_state(spark):
     assert all(np.isfinite(v).all() for v in one.values()) and not np.allclose(one["W"], cut["W"])
 
 
+def test_output_gradients_of_all_classes_together():
+    rng = np.random.default_rng(6)
+    p = language_model.new_model(rng.integers(1, 90, 100).astype(float))
+    h = rng.normal(size=(language_model.HIDDEN, 150)).astype(np.float32)
+    y = np.where(rng.random(150) < 0.5, 1, rng.integers(-1, 100, 150))
+    y[y // 32 == 2] = 3  # a class without targets
+    grads, dh = language_model.output_gradients(p, h, y)
+    plain = {k: np.zeros(p[k].shape) for k in ("C", "cb", "D", "db")}
+    back = np.zeros(h.shape)
+    for i in np.flatnonzero(y >= 0):
+        c, k = divmod(int(y[i]), language_model.CLASS)
+        d = gru.softmax(p["C"] @ h[:, i] + p["cb"], 0) - (np.arange(len(p["C"])) == c)
+        e = gru.softmax(p["D"][c] @ h[:, i] + p["db"][c], 0) - (np.arange(language_model.CLASS) == k)
+        for name, part, at in (("C", np.outer(d, h[:, i]), ...), ("cb", d, ...), ("D", np.outer(e, h[:, i]), c), ("db", e, c)):
+            plain[name][at] += part / (y >= 0).sum()
+        back[:, i] = (p["C"].T @ d + p["D"][c].T @ e) / (y >= 0).sum()
+    assert all(np.allclose(grads[k], plain[k], atol=1e-6) for k in plain) and np.allclose(dh, back, atol=1e-6)
+
+
+def test_lanes_of_a_training_task_are_busy():
+    """Long texts among short ones leave a task few turns in which most lanes are idle."""
+    rng, sizes = np.random.default_rng(2), []
+    while sum(sizes) < language_model.TASK_WINDOWS:
+        sizes.append(int(np.clip(np.exp(rng.normal(2.2, 1.3)), 1, 400)))
+    lanes = language_model.dealt(np.array(sizes), language_model.LANES)
+    longest = max(sum(sizes[i] for i in mine) for mine in lanes)
+    assert sum(sizes) > 0.6 * longest * language_model.LANES
+
+
 # ---------------------------------------------------------------- 7 toxicity
 def test_toxicity(spark, docs, empty):
     rng = random.Random(9)
